@@ -91,3 +91,31 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1))
+
+
+def buckets_for(df: DataFrame, input_bytes: int) -> int:
+    """As many buckets as the planner's size of ``df`` has pieces of ``input_bytes``; one for each shuffle partition at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_parts(df.sparkSession), min(size, 1 << 50) // input_bytes + 1)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values: running minima from both ends of blocks."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return np.zeros(0, x.dtype)
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... count[0] of them, then the same for the next."""
+    total = int(count.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    at = np.cumsum(count) - count
+    return np.arange(total, dtype=np.int64) + np.repeat(first.astype(np.int64) - at, count)

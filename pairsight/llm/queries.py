@@ -25,5 +25,41 @@ SELECT doc_id,
 FROM n
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.suffix_dedup import without_repeated_bytes
+
+    return without_repeated_bytes(table(spark, sf_dir, "documents"), width=200)
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(generate_series(0, CAST(length(h) / 2 AS BIGINT) - 1)) AS i FROM t),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 400 <= length(h) THEN md5(substr(h, 2 * i + 1, 400)) END AS k FROM p),
+d AS (SELECT doc_id, i, b, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 THEN 1 ELSE 0 END AS d FROM w),
+r AS (SELECT doc_id, i, b, max(d) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS r FROM d),
+s AS (SELECT doc_id, i, b, r, CASE WHEN r = 1 AND coalesce(lag(r) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS first FROM r),
+g AS (SELECT doc_id, sum(r) AS n_removed, sum(first) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE r = 0) AS kept FROM s GROUP BY doc_id)
+SELECT t.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.substring_dedup import without_repeated_words
+
+    return without_repeated_words(table(spark, sf_dir, "documents"), width=13)
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM t),
+k AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 12 <= len(w) THEN array_to_string(w[i:i + 12], ' ') END AS win FROM p),
+d AS (SELECT doc_id, i, word, CASE WHEN win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) THEN 1 ELSE 0 END AS d FROM k),
+r AS (SELECT doc_id, i, word, max(d) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS r FROM d),
+g AS (SELECT doc_id, sum(r) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE r = 0) AS kept FROM r GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op9_substring_dedup": op9_substring_dedup}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL}
