@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The vocabulary of op3: a rank file of a public byte vocabulary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,5 +65,38 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM t LEFT JOIN g USING (doc_id)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op9_substring_dedup": op9_substring_dedup}
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    from pairsight.llm.token_counts import read_vocabulary, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(vocabulary))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
+}
+#: By queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL}
