@@ -89,14 +89,42 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM t),
+d AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM g),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+i AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, t.doc_id) AS component_id
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) m ON m.node = t.doc_id
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 #: By queries that SQL can express; the others are held against brute force in tests/llm.
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_suffix_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_substring_dedup": OP9_SQL}
