@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def shingle_sets(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
 
 def cut_shingles(buckets: int, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies in chunks(batches, CHUNK):
+        for turn, (ids, bodies) in enumerate(chunks(batches, CHUNK)):
             owner, value = shingle_sets(bodies, width)
             size = np.bincount(owner, minlength=len(ids))
             first = np.cumsum(size) - size
@@ -95,7 +96,7 @@ def cut_shingles(buckets: int, width: int):
                     rep[k] = met.setdefault(value[first[k] : first[k] + size[k]].tobytes(), k)
             known = np.array([0 if d is None else d for d in ids], np.int64)
             none = np.array([d is None for d in ids], bool)
-            chunk = int(mix(np.array([int(known.sum()) * 1000003 + len(ids) + int(value.sum() & np.uint64(0x7FFFFFFF))], np.int64).view(np.uint64) ^ (value[:1] if len(value) else SALT[0]))[0] >> np.uint64(1))
+            chunk = TaskContext.get().partitionId() << 32 | turn
             rows = [(chunk % buckets, chunk, TABLE, squeeze(np.int64(len(ids)).tobytes() + known.tobytes() + none.tobytes() + size.astype(np.int64).tobytes() + rep.tobytes()))]
             mine = rep[owner] == owner
             value, owner = value[mine], owner[mine].astype(np.uint32)

@@ -115,8 +115,15 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(reach) AS componen
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairsight.llm.lm_scoring import code_lengths
+
+    return code_lengths(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
