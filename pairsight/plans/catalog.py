@@ -1,6 +1,458 @@
-"""The library's queries over the driver's tables, each with DuckDB SQL that must give the same rows."""
+"""The library's queries over the driver's tables, each with DuckDB SQL that must give the same rows.
+
+The tables hold none of the library's own inputs, so each operator runs on an analogue:
+labels as outcomes, orders as a grid of outcomes, documents as contexts and passages.
+Doubles are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairsight.functions import stats, text
+from pairsight.operators import contamination, contract, grid, mcq, paired, replication, splits
+from pairsight.plans.tables import GRID_SQL, LANGS, REFERENCE, labelled, table
+from pairsight.plans.tables import grid as grid_of
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def wilson_sql(k: str, n: str, z: str, sign: str, clamp: bool) -> str:
+    p = f"(CAST({k} AS DOUBLE) / {n})"
+    raw = f"(({p} + {z}*{z} / (2.0 * {n})) {sign} {z} * sqrt({p} * (1 - {p}) / {n} + {z}*{z} / (4.0 * {n} * {n}))) / (1 + {z}*{z} / {n})"
+    # the half width is divided by the same denominator as the middle
+    if not clamp:
+        return raw
+    return f"CASE WHEN {k} = 0 THEN 0.0 ELSE greatest(0.0, {raw}) END" if sign == "-" else f"CASE WHEN {k} = {n} THEN 1.0 ELSE least(1.0, {raw}) END"
+
+
+def mcnemar_sql(a: str, b: str) -> str:
+    n, k = f"({a} + {b})", f"least({a}, {b})"
+    return f"CASE WHEN {n} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0))))) END"
+
+
+def holm_sql(source: str, p: str, out: str, keys: str, family: str = "1") -> str:
+    """A query over ``source`` that adds the adjusted p."""
+    return f"""SELECT * EXCLUDE (_step, _rn), least(1.0, max(_step) OVER (PARTITION BY {family} ORDER BY _rn ROWS UNBOUNDED PRECEDING)) AS {out}
+FROM (SELECT *, (count(*) OVER (PARTITION BY {family}) - _rn + 1) * {p} AS _step FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY {p}, {keys}) AS _rn FROM {source}))"""
+
+
+LABELLED_SQL = "(SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(f"""
+SELECT lang, n, correct, round(accuracy, 9) AS accuracy, round({wilson_sql('correct', 'n', '1.96', '-', True)}, 9) AS ci95_low, round({wilson_sql('correct', 'n', '1.96', '+', True)}, 9) AS ci95_high
+FROM (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS correct, avg(quality) AS accuracy FROM {LABELLED_SQL} GROUP BY lang)
+""")
+def wilson_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2."""
+    return rounded(paired.accuracy(labelled(spark, sf_dir).withColumnRenamed("quality", "correct"), ["lang"]))
+
+
+@query(f"""
+SELECT source AS lang, n, correct, round(acc, 9) AS acc, round({wilson_sql('correct', 'n', '1.959963985', '-', False)}, 9) AS ci_low, round({wilson_sql('correct', 'n', '1.959963985', '+', False)}, 9) AS ci_high,
+       {wilson_sql('correct', 'n', '1.959963985', '-', False)} > 0.3 AS passes_floor
+FROM (SELECT source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS correct, avg(quality) AS acc FROM {LABELLED_SQL} GROUP BY source)
+""")
+def floor_gate_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2b, P15."""
+    rows = labelled(spark, sf_dir).select(F.col("source").alias("lang"), F.col("quality").alias("correct"))
+    return rounded(replication.floor_gate(rows))
+
+
+@query(f"""
+SELECT lang, count(*) AS n, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS only_quality, CAST(sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS only_toxic
+FROM {LABELLED_SQL} GROUP BY lang
+""")
+def paired_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3."""
+    one, other = paired.discordant(F.col("quality"), F.col("toxic"))
+    return labelled(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), one.alias("only_quality"), other.alias("only_toxic"))
+
+
+@query(f"""
+WITH c AS (SELECT source, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS a, sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS b FROM {LABELLED_SQL} GROUP BY source),
+p AS (SELECT source, a, b, {mcnemar_sql('a', 'b')} AS p FROM c)
+SELECT source, a, b, round(p, 9) AS p, round(p_holm, 9) AS p_holm FROM ({holm_sql('p', 'p', 'p_holm', 'source')})
+""")
+def mcnemar_holm_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, A4b, A5, W2."""
+    one, other = paired.discordant(F.col("quality"), F.col("toxic"))
+    rows = labelled(spark, sf_dir).groupBy("source").agg(one.alias("a"), other.alias("b")).select("source", "a", "b", stats.mcnemar_exact(F.col("a"), F.col("b")).alias("p"), F.lit(1).alias("_all"))
+    return rounded(stats.holm_columns(rows, "p", ["_all"], ["source"], "p_holm").drop("_all"))
+
+
+@query("""
+WITH l AS (SELECT list(quality - toxic ORDER BY doc_id) AS v, count(*) AS n, sum(quality - toxic) AS total FROM labels),
+r AS (SELECT n, total, list_sum(list_transform(range(0, n), lambda j: v[CAST(('0x' || substr(md5(concat('7|', rep, '|', j)), 1, 15))::BIGINT % n AS BIGINT) + 1])) AS s FROM l, range(0, 200) t(rep))
+SELECT n, round(total / n, 9) AS delta, round(quantile_cont(s / n, 0.025), 9) AS ci_low, round(quantile_cont(s / n, 0.975), 9) AS ci_high,
+       round(least(1.0, 2 * least(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0.0 END))), 9) AS p_bootstrap
+FROM r GROUP BY n, total
+""")
+def bootstrap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 with indices that another engine can repeat (B1)."""
+    d = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("int").alias("d"))
+    return rounded(paired.bootstrap_hashed(d, "doc_id", 200, 7))
+
+
+@query(f"""
+WITH g AS ({GRID_SQL}),
+w AS (SELECT arm, lang, item_id, max(CASE WHEN precision = 'fp16' THEN correct END) AS f, max(CASE WHEN precision = 'nf4' THEN correct END) AS q FROM g GROUP BY ALL)
+SELECT a.arm, a.lang, count(*) AS n, CAST(sum((a.f - a.q) - (b.f - b.q)) AS BIGINT) AS total, round(avg((a.f - a.q) - (b.f - b.q)), 9) AS delta
+FROM w a JOIN w b ON a.arm = b.arm AND a.item_id = b.item_id AND b.lang = 'L0' WHERE a.lang <> 'L0' GROUP BY a.arm, a.lang
+""")
+def did_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6, J1, J5."""
+    d = grid.language_differences(grid_of(spark, sf_dir), REFERENCE).where("precision = 'nf4'")
+    return rounded(d.groupBy("arm", "lang").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.avg("d").alias("delta")))
+
+
+@query(f"""
+SELECT arm, lang, precision, n, correct, round(accuracy, 9) AS accuracy, round({wilson_sql('correct', 'n', '1.96', '-', True)}, 9) AS ci95_low, round({wilson_sql('correct', 'n', '1.96', '+', True)}, 9) AS ci95_high
+FROM (SELECT arm, lang, precision, count(*) AS n, CAST(sum(correct) AS BIGINT) AS correct, avg(correct) AS accuracy FROM ({GRID_SQL}) GROUP BY ALL)
+""")
+def grid_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2, P8, K1."""
+    return rounded(grid.accuracy(grid_of(spark, sf_dir)))
+
+
+@query(f"""
+WITH g AS ({GRID_SQL}),
+w AS (SELECT arm, lang, item_id, max(CASE WHEN precision = 'fp16' THEN correct END) AS f, max(CASE WHEN precision = 'int8_llmint8' THEN correct END) AS i, max(CASE WHEN precision = 'nf4' THEN correct END) AS q FROM g GROUP BY ALL),
+x AS (SELECT arm, lang, 'int8_llmint8' AS precision, f, i AS q FROM w UNION ALL SELECT arm, lang, 'nf4', f, q FROM w),
+c AS (SELECT arm, lang, precision, count(*) AS n, sum(f)::BIGINT AS sf, sum(q)::BIGINT AS sq, sum(CASE WHEN f = 1 AND q = 0 THEN 1 ELSE 0 END)::BIGINT AS n_fp16_only, sum(CASE WHEN f = 0 AND q = 1 THEN 1 ELSE 0 END)::BIGINT AS n_quant_only FROM x GROUP BY ALL),
+t AS (SELECT arm, lang, precision, n, sf / n AS acc_fp16, sq / n AS acc_quant, (sf - sq) / n AS delta_acc, n_fp16_only, n_quant_only, {mcnemar_sql('n_fp16_only', 'n_quant_only')} AS mcnemar_p FROM c)
+SELECT arm, lang, precision, n, round(acc_fp16, 9) AS acc_fp16, round(acc_quant, 9) AS acc_quant, round(delta_acc, 9) AS delta_acc, n_fp16_only, n_quant_only, round(mcnemar_p, 9) AS mcnemar_p, round(mcnemar_p_holm, 9) AS mcnemar_p_holm
+FROM ({holm_sql('t', 'mcnemar_p', 'mcnemar_p_holm', 'arm, lang, precision')})
+""")
+def grid_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1, J2, A3, A4, W2."""
+    return rounded(grid.degradation(grid_of(spark, sf_dir)))
+
+
+@query(f"""
+WITH g AS ({GRID_SQL}),
+w AS (SELECT lang, item_id, arm, max(CASE WHEN precision = 'fp16' THEN correct END) AS fp16, max(CASE WHEN precision = 'int8_llmint8' THEN correct END) AS int8_llmint8, max(CASE WHEN precision = 'nf4' THEN correct END) AS nf4 FROM g GROUP BY ALL),
+x AS (SELECT b.lang, u.p AS precision, CASE u.p WHEN 'fp16' THEN b.fp16 WHEN 'nf4' THEN b.nf4 ELSE b.int8_llmint8 END AS b, CASE u.p WHEN 'fp16' THEN f.fp16 WHEN 'nf4' THEN f.nf4 ELSE f.int8_llmint8 END AS t, b.fp16 AS f
+      FROM w b JOIN w f ON b.lang = f.lang AND b.item_id = f.item_id AND b.arm = 'base' AND f.arm = 'ft', (VALUES ('fp16'), ('int8_llmint8'), ('nf4')) u(p)),
+c AS (SELECT lang, precision, count(*) AS n, sum(b)::BIGINT AS b, sum(t)::BIGINT AS t, sum(f)::BIGINT AS f, sum(CASE WHEN t = 1 AND b = 0 THEN 1 ELSE 0 END)::BIGINT AS n_ft_only, sum(CASE WHEN t = 0 AND b = 1 THEN 1 ELSE 0 END)::BIGINT AS n_base_only FROM x GROUP BY ALL),
+r AS (SELECT lang, precision, b / n AS acc_base, t / n AS acc_ft, (t - b) / n AS delta_ft_minus_base, f / n AS acc_base_fp16, (f - b) / n AS base_quantization_cost, CASE WHEN f > b THEN ((t - b) / n) / ((f - b) / n) END AS recovers_fp16_gap, n_ft_only, n_base_only, {mcnemar_sql('n_ft_only', 'n_base_only')} AS mcnemar_p FROM c)
+SELECT lang, precision, round(acc_base, 9) AS acc_base, round(acc_ft, 9) AS acc_ft, round(delta_ft_minus_base, 9) AS delta_ft_minus_base, round(acc_base_fp16, 9) AS acc_base_fp16, round(base_quantization_cost, 9) AS base_quantization_cost,
+       round(recovers_fp16_gap, 9) AS recovers_fp16_gap, n_ft_only, n_base_only, round(mcnemar_p, 9) AS mcnemar_p, round(mcnemar_p_holm, 9) AS mcnemar_p_holm
+FROM ({holm_sql('r', 'mcnemar_p', 'mcnemar_p_holm', 'lang, precision')})
+""")
+def grid_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4, J6, A22."""
+    return rounded(grid.rq3(grid_of(spark, sf_dir)))
+
+
+@query()
+def grid_rq1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 with the bootstrap drawn from tallies."""
+    return rounded(grid.rq1(grid_of(spark, sf_dir), REFERENCE, 2000, 20260826))
+
+
+@query()
+def grid_rq2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3."""
+    return rounded(grid.rq2(grid_of(spark, sf_dir), 2000, 20260826))
+
+
+@query(f"""
+WITH g AS ({GRID_SQL}),
+w AS (SELECT lang, item_id, arm, max(CASE WHEN precision = 'fp16' THEN correct END) - max(CASE WHEN precision = 'int8_llmint8' THEN correct END) AS i, max(CASE WHEN precision = 'fp16' THEN correct END) - max(CASE WHEN precision = 'nf4' THEN correct END) AS q FROM g GROUP BY ALL)
+SELECT f.lang, p.precision, count(*) AS n, CAST(sum(CASE p.precision WHEN 'nf4' THEN f.q - b.q ELSE f.i - b.i END) AS BIGINT) AS total
+FROM w f JOIN w b ON f.lang = b.lang AND f.item_id = b.item_id AND f.arm = 'ft' AND b.arm = 'base', (VALUES ('int8_llmint8'), ('nf4')) p(precision) GROUP BY ALL
+""")
+def arm_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3's point estimates, J6."""
+    return grid.arm_differences(grid_of(spark, sf_dir)).groupBy("lang", "precision").agg(F.count("*").alias("n"), F.sum("d").alias("total"))
+
+
+@query()
+def cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms stand for two models; p is not capped; two Holm families."""
+    rows = grid_of(spark, sf_dir)
+    gate = replication.floor_gate(rows.where("arm = 'ft' and precision = 'fp16'"))
+    return rounded(replication.cross_model(rows.where("arm = 'base'"), rows.where("arm = 'ft'"), gate, (F.col("precision") == "nf4") & (F.col("lang") != REFERENCE), 2000, 1))
+
+
+@query(f"""
+WITH g AS (SELECT * FROM ({GRID_SQL}) WHERE arm = 'ft'),
+w AS (SELECT lang, item_id, max(CASE WHEN precision = 'fp16' THEN correct END) AS f, max(CASE WHEN precision = 'int8_llmint8' THEN correct END) AS i, max(CASE WHEN precision = 'nf4' THEN correct END) AS q FROM g GROUP BY ALL),
+x AS (SELECT lang, 'int8_llmint8' AS precision, f, i AS q FROM w UNION ALL SELECT lang, 'nf4', f, q FROM w),
+c AS (SELECT lang, precision, (sum(f) - sum(q)) / count(*) AS delta, sum(CASE WHEN f = 1 AND q = 0 THEN 1 ELSE 0 END)::BIGINT AS lost, sum(CASE WHEN f = 0 AND q = 1 THEN 1 ELSE 0 END)::BIGINT AS gained FROM x GROUP BY ALL),
+t AS (SELECT *, {mcnemar_sql('lost', 'gained')} AS mcnemar_p FROM c)
+SELECT lang, precision, round(delta, 9) AS delta, lost, gained, round(mcnemar_p, 9) AS mcnemar_p, round(mcnemar_p_holm, 9) AS mcnemar_p_holm FROM ({holm_sql('t', 'mcnemar_p', 'mcnemar_p_holm', 'lang, precision')})
+""")
+def replication_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6's degradation over languages above the floor (all of them here)."""
+    rows = grid_of(spark, sf_dir).where("arm = 'ft'")
+    return rounded(replication.degradation(rows, replication.floor_gate(rows.where("precision = 'fp16'"))))
+
+
+@query("""
+WITH r AS (SELECT source, group_id, partition_rank AS rank, n FROM (
+  SELECT lang AS source, source AS group_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('11|', lang, '|split|', source)), source) AS partition_rank, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT lang, source FROM documents)))
+SELECT source AS lang, group_id AS source, CASE WHEN rank <= greatest(1, least(n - 1, CAST(round_even(n * 0.8, 0) AS BIGINT))) THEN 'train' ELSE 'heldout' END AS partition FROM r
+""")
+def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, P6."""
+    return splits.grouped_split(table(spark, sf_dir, "documents"), "lang", "source", 0.8, 11)
+
+
+@query("""
+SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('11|', lang, '|heldout|', doc_id)), doc_id) AS r FROM documents) WHERE r <= 30
+""")
+def heldout_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: a sampling operator, so the cap is the feature."""
+    return splits.capped(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 30, 11, "heldout")
+
+
+@query("""
+WITH f AS (SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL)
+SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('11|', lang, '|sample|', source)), source) AS r FROM f) WHERE r <= 5
+""")
+def article_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, W4."""
+    return splits.one_per_group(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), "lang", "source", "doc_id", 5, 11)
+
+
+@query("SELECT CAST(min(n) AS BIGINT) AS cap FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def equalised_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23."""
+    return splits.equalised_cap(table(spark, sf_dir, "documents"), "lang")
+
+
+@query(r"""
+WITH s AS (SELECT item_id, unnest(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 40)) AS s FROM benchmark),
+k AS (SELECT DISTINCT item_id, s FROM s)
+SELECT d.doc_id, k.item_id, count(*) AS n_sentences FROM documents d JOIN k ON contains(d.text, k.s) GROUP BY ALL
+""")
+def contamination_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of benchmark passages that stand verbatim in documents."""
+    parts = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.sentences(F.col("text"))).alias("s")).distinct()
+    keyed = parts.withColumn("sid", F.concat_ws("|", F.col("item_id").cast("string"), "s"))
+    found = contamination.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), keyed, "doc_id", "text", "sid", "s")
+    return found.join(keyed.select("sid", "item_id"), "sid").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_sentences"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
+def doc_contains_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11 as a semi join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.contained(docs, table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body")), "doc_id", "text", "item_id", "body")
+    return found.select("doc_id").distinct()
+
+
+@query("""
+WITH l AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type)
+SELECT event_type, n, round(CASE WHEN n > 3 THEN v[CAST(greatest(1, least(n - 1, floor((n + 1) * 0.25))) AS BIGINT)] + ((n + 1) * 0.25 - greatest(1, least(n - 1, floor((n + 1) * 0.25)))) * (v[CAST(greatest(1, least(n - 1, floor((n + 1) * 0.25))) AS BIGINT) + 1] - v[CAST(greatest(1, least(n - 1, floor((n + 1) * 0.25))) AS BIGINT)]) END, 6) AS p25_exclusive,
+       round(v[CAST(least(n - 1, floor(n * 0.9)) AS BIGINT) + 1], 6) AS p90_floor,
+       round((SELECT quantile_cont(e.value, 0.25) FROM events e WHERE e.event_type = l.event_type), 6) AS p25_linear,
+       round((SELECT median(e.value) FROM events e WHERE e.event_type = l.event_type), 6) AS median_value, round((SELECT avg(e.value) FROM events e WHERE e.event_type = l.event_type), 6) AS mean_value
+FROM l
+""")
+def three_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, A11, A13."""
+    v = F.sort_array(F.collect_list("value"))
+    out = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), stats.exclusive_quantile(v, 0.25).alias("p25_exclusive"), stats.floor_quantile(v, 0.9).alias("p90_floor"), stats.linear_quantile("value", 0.25).alias("p25_linear"), F.median("value").alias("median_value"), F.avg("value").alias("mean_value")
+    )
+    return rounded(out, 6)
+
+
+@query("SELECT lang, CAST(median(n_chars) AS INT) AS median_tokens, round(avg(n_chars), 1) AS mean_tokens, max(n_chars) AS max_tokens FROM (SELECT lang, 2 * n_chars AS n_chars FROM documents) GROUP BY lang")
+def burden_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    return mcq.burden(table(spark, sf_dir, "documents").select("lang", (F.col("n_chars") * 2).alias("size")), ["lang"], "size")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9, V7, U4."""
+    return contract.unknown_keys(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels""")
+def known_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V18, V29, U3."""
+    return contract.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""
+WITH g AS ({GRID_SQL}), t AS (SELECT * FROM g WHERE arm = 'base' AND NOT (lang = 'L3' AND precision = 'nf4' AND item_id % 10 = 0)),
+m AS (SELECT item_id, CAST(item_id % 4 + 1 AS INT) AS gold FROM (SELECT DISTINCT item_id FROM g)), total AS (SELECT count(*) AS total FROM m),
+c AS (SELECT precision, lang, count(DISTINCT item_id) AS items, count(*) - count(DISTINCT item_id) AS twice FROM t GROUP BY ALL)
+SELECT * FROM (VALUES ('V2 no nulls', CAST(0 AS BIGINT)), ('V3 precision known', 0), ('V4 answers in 1..4', 0), ('V5 correct is 0 or 1', 0), ('V6 correct says pred = gold', 0), ('V7 item known', 0), ('V9 no item twice in a cell', 0), ('V11 one revision in a cell', 0)) v(rule, broken)
+UNION ALL SELECT 'V8 gold as in manifest', count(*) FROM t JOIN m USING (item_id) WHERE t.gold <> m.gold
+UNION ALL SELECT 'V10 cell complete', count(*) FROM c, total WHERE items <> total
+UNION ALL SELECT 'V12 same items in every language', count(*) FROM (SELECT precision FROM c GROUP BY precision HAVING count(DISTINCT items) > 1)
+""")
+def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 to V12 on a grid with one incomplete cell."""
+    rows = grid_of(spark, sf_dir)
+    manifest = rows.select("item_id", F.col("gold")).distinct()
+    tidy = rows.where("arm = 'base' and not (lang = 'L3' and precision = 'nf4' and item_id % 10 = 0)").select(*contract.TIDY)
+    return contract.report(tidy, manifest)
+
+
+@query("""
+SELECT o_orderstatus, key, n, n_distinct, n = n_distinct AS is_unique FROM (
+  SELECT o_orderstatus, 'o_custkey#o_orderpriority' AS key, count(*) AS n, count(DISTINCT (o_custkey, o_orderpriority)) AS n_distinct FROM orders GROUP BY 1
+  UNION ALL SELECT o_orderstatus, 'o_orderkey', count(*), count(DISTINCT o_orderkey) FROM orders GROUP BY 1)
+""")
+def key_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V14."""
+    return contract.unique_keys(table(spark, sf_dir, "orders"), "o_orderstatus", [["o_custkey", "o_orderpriority"], ["o_orderkey"]])
+
+
+@query(f"""
+WITH g AS (SELECT lang, item_id, pred FROM ({GRID_SQL}) WHERE arm = 'base' AND precision = 'fp16'), r AS (SELECT item_id, pred FROM g WHERE lang = 'L0')
+SELECT g.lang, (SELECT count(*) FROM r) - count(DISTINCT r.item_id) AS missing, count(*) - count(r.item_id) AS extra, CAST(sum(CASE WHEN r.pred <> g.pred THEN 1 ELSE 0 END) AS BIGINT) AS differing
+FROM g LEFT JOIN r USING (item_id) WHERE g.lang <> 'L0' GROUP BY g.lang
+""")
+def key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V15."""
+    return contract.key_parity(grid_of(spark, sf_dir).where("arm = 'base' and precision = 'fp16'"), "lang", REFERENCE, "item_id", "pred")
+
+
+@query("SELECT sha256(text) AS digest, count(DISTINCT source) AS groups, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def duplicate_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V17, F11."""
+    return contract.contexts_under_two_groups(table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query(f"""
+WITH h AS (SELECT arm, lang, precision, count(DISTINCT item_id) AS held FROM ({GRID_SQL}) WHERE NOT (lang = 'L2' AND arm = 'ft') GROUP BY ALL)
+SELECT a.arm, l.lang, p.precision, coalesce(held, 0) AS n_items, CASE WHEN coalesce(held, 0) = 0 THEN 'missing' WHEN held < (SELECT max(held) FROM h) THEN 'short' ELSE 'present' END AS state
+FROM (VALUES ('base'), ('ft')) a(arm), (VALUES ('L0'), ('L1'), ('L2'), ('L3')) l(lang), (VALUES ('fp16'), ('int8_llmint8'), ('nf4')) p(precision) LEFT JOIN h ON h.arm = a.arm AND h.lang = l.lang AND h.precision = p.precision
+""")
+def completeness_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, J10, A9."""
+    rows = grid_of(spark, sf_dir).where("not (lang = 'L2' and arm = 'ft')")
+    expected = rows.groupBy("arm", "lang", "precision").agg(F.count_distinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    return grid.completeness(rows, expected, ["base", "ft"], LANGS)
+
+
+@query("SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY text, conv_id, turn) - 1 AS ordinal, concat(role, '#', row_number() OVER (PARTITION BY role ORDER BY text, conv_id, turn) - 1) AS item_id FROM conversations")
+def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1, P2."""
+    return splits.ordinals(table(spark, sf_dir, "conversations"), "role", ["text"], ["conv_id", "turn"]).select("role", "conv_id", "turn", F.col("ordinal").cast("long").alias("ordinal"), "item_id")
+
+
+@query("SELECT source, count(DISTINCT doc_id) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest FROM (SELECT DISTINCT source, doc_id, CAST(doc_id AS VARCHAR) AS id FROM documents) GROUP BY source")
+def digest_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25."""
+    return splits.id_digest(table(spark, sf_dir, "documents"), ["source"], "doc_id")
+
+
+@query("SELECT role, count(*) AS n, sha256(string_agg(concat_ws(chr(31), CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), text), chr(10) ORDER BY conv_id, turn, text)) AS digest FROM conversations GROUP BY role")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24."""
+    return splits.content_digest(table(spark, sf_dir, "conversations"), ["role"], "conv_id", ["turn", "text"])
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS b, trim(regexp_replace(text, '\s+', ' ', 'g')) AS w FROM documents)
+SELECT doc_id, CASE WHEN length(regexp_replace(b, '[^0-9]', '', 'g')) = 0 THEN 'text' WHEN 2 * length(regexp_replace(b, '[^0-9]', '', 'g')) > length(b) THEN 'numeric' ELSE 'mixed' END AS digits,
+       CAST((len(string_split(w, ' ')) > 1)::INT + (len(string_split(w, ' ')) > 3)::INT + (len(string_split(w, ' ')) > 7)::INT AS INT) AS words
+FROM t
+""")
+def surface_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, F3, F4."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.digit_class(F.col("text")).alias("digits"), text.length_bucket(F.col("text")).alias("words"))
+
+
+@query("SELECT item_id, list_slice(list_filter(range(1, length(text) - 1), lambda i: substr(text, i, 2) = 'th'), 1, 8) AS places FROM (SELECT item_id, text FROM benchmark)")
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5."""
+    return table(spark, sf_dir, "benchmark").select("item_id", text.occurrences(F.col("text"), F.lit("th")).cast("array<bigint>").alias("places"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS INT) AS pred, true AS finite FROM embeddings")
+def argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9, A15."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", stats.argmax(F.col("embedding")).alias("pred"), stats.finite(F.col("embedding")).alias("finite"))
+
+
+@query("""
+WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS ry FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY l_returnflag
+""")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27."""
+    return rounded(paired.spearman(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 6)
+
+
+@query("""
+SELECT doc_id, split_part(concat('tag__m-ft3ep-', lang, '__', lang, '__nf4'), '__', 3) AS lang, 'm' AS model, 'ft' AS arm, 3 AS epochs, lang AS tuned_on FROM documents
+""")
+def alias_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases built and parsed again."""
+    alias = text.alias_of(F.lit("m"), F.col("lang"), F.lit(3))
+    stem = F.split(F.concat(F.lit("tag__"), alias, F.lit("__"), F.col("lang"), F.lit("__nf4")), "__")
+    parts = text.alias_parts(F.get(stem, 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(stem, 2).alias("lang"), parts["model"].alias("model"), parts["arm"].alias("arm"), parts["epochs"].alias("epochs"), parts["lang"].alias("tuned_on"))
+
+
+@query("SELECT lang, folded, doc_id FROM (SELECT lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) AS folded, doc_id, row_number() OVER (PARTITION BY lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def distinct_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U5, F1 (the built-in form): the text's opening is the value that is folded."""
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", text.fold(F.substring("text", 1, 40)).alias("folded"))
+    return splits.distinct_by_text(rows, ["lang"], "folded", "doc_id").select("lang", "folded", "doc_id")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as contexts: of each, up to eight words of the text with their places are answers to questions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.trim("text").alias("context"))
+    words = F.slice(F.array_distinct(F.filter(F.split("context", r"[^\p{L}]+"), lambda w: F.length(w) >= 6)), 1, 8)
+    each = docs.select("doc_id", "lang", "context", F.posexplode(words).alias("k", "answer"))
+    return each.select("lang", F.col("doc_id").cast("string").alias("group_id"), "context", F.concat(F.lit("which word is number "), F.col("k").cast("string")).alias("question"), "answer", (F.instr("context", F.col("answer")) - 1).alias("answer_start"), F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("k").cast("string")).alias("item_id"))
+
+
+@query()
+def mcq_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items from documents, measured by language."""
+    items = mcq.build_items(questions(spark, sf_dir), "all", "train", 5, 256).join(questions(spark, sf_dir).select("item_id", F.col("lang").alias("of")), "item_id")
+    return rounded(mcq.diagnostics(items, ["of"]).drop("option_counts"), 6)
+
+
+@query("SELECT s.lang, s.source, s.n AS a, t.n AS b FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) s JOIN (SELECT lang, max(n) AS n FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang) t USING (lang)")
+def group_against_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17's kind of comparison within groups, V23's spread."""
+    n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("a"))
+    return n.join(n.groupBy("lang").agg(F.max("a").alias("b")), "lang")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def best_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One maximum, the first of equal ones."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1)
+
+
+@query("SELECT doc_id, CAST(('0x' || substr(md5(concat('5|', doc_id)), 1, 15))::BIGINT % 4 AS INT) AS slot, CAST(('0x' || substr(sha256(concat('5|', doc_id)), 1, 16))::UBIGINT AS DECIMAL(20, 0)) AS seed FROM documents")
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7, K8."""
+    from pairsight.functions import seeds as S
+
+    return table(spark, sf_dir, "documents").select("doc_id", S.slot(F.lit("5"), F.col("doc_id")).alias("slot"), S.seed_column(F.lit("5"), F.col("doc_id")).alias("seed"))
