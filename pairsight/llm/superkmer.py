@@ -162,8 +162,6 @@ def settle(windows_of: Callable, judge: Callable):
             head, data = np.concatenate(heads, axis=1), np.frombuffer(b"".join(bodies), np.uint8)
             heads.clear()
             bodies.clear()
-            if head.shape[1] < 2:
-                return
             lo, hi, owner, unit = windows_of(data, head)
             prints = fingerprints(data, lo, hi)
             for doc, begin, end in judge(data, head, lo, hi, owner, unit, prints):
