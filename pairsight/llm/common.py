@@ -94,9 +94,14 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def buckets_for(df: DataFrame, input_bytes: int) -> int:
-    """As many buckets as the planner's size of ``df`` has pieces of ``input_bytes``; one for each shuffle partition at least."""
+    """About as many buckets as the planner's size of ``df`` has pieces of ``input_bytes``.
+
+    One for each shuffle partition at least, and 64 for each at most (the planner takes
+    tables that it knows nothing about for very large).
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_parts(df.sparkSession), min(size, 1 << 50) // input_bytes + 1)
+    parts = shuffle_parts(df.sparkSession)
+    return max(parts, min(size // input_bytes + 1, 64 * parts))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
