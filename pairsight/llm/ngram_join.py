@@ -9,7 +9,9 @@
    lie within its first n - a + k. With k = ``GROUPS`` + 1, either one of them is rare and
    indexes the set alone, or two frequent ones lie in the same hash group and index it as
    a combination. Sets with a < k are indexed under every shingle as well.
-3. Sets with an index key in common are candidates. Neighbours in key order are verified
+3. Sets with an index key in common are candidates, unless a bound on what they share
+   rules a link out: unique shingles are not shared, and parity bitmaps of the others
+   differ in no more bits than the sets in shingles. Neighbours in key order are verified
    first, and links give components; then every candidate pair that is still in two
    components is verified, so no link between components is lost, while a group of
    near copies costs a few pairs per member.
@@ -41,7 +43,7 @@ GROUPS = 4
 #: Kinds of rows in the shuffles: a chunk's table of sets, its frequent occurrences, shingles to be counted, their answer.
 TABLE, OWN, COUNT, ANSWER = 0, 1, 2, 3
 ROW = "bucket int, chunk long, kind int, part binary"
-SET_ROW = "doc_id long, n_shingles long, rep long, tokens array<long>, keys array<long>"
+SET_ROW = "doc_id long, n_shingles long, rep long, tokens array<long>, keys array<long>, low long, high long"
 SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -55,6 +57,17 @@ def joined(raw: bytes, dtype: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T).view(dtype).ravel()
 
 
+def packed(owner: np.ndarray, value: np.ndarray, often: np.ndarray) -> bytes:
+    """Occurrences, sorted by value."""
+    return squeeze(np.int64(len(value)).tobytes() + planes(np.diff(value, prepend=np.uint64(0))) + planes(owner.astype(np.uint32)) + often.tobytes())
+
+
+def unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = expand(part)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return joined(raw[8 + 8 * n :], "<u4", n), np.cumsum(joined(raw[8:], "<u8", n)), np.frombuffer(raw, bool, n, 8 + 12 * n)
+
+
 def shingle_sets(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles of each text, sorted."""
     split = [b.lower().split() for b in bodies]
@@ -106,14 +119,14 @@ def cut_shingles(buckets: int, width: int):
             held = np.diff(np.append(runs, len(value)))
             often = np.repeat(held >= FREQUENT, held)
             if often.any():
-                rows.append((chunk % buckets, chunk, OWN, squeeze(np.int64(often.sum()).tobytes() + owner[often].tobytes() + value[often].tobytes())))
+                rows.append((chunk % buckets, chunk, OWN, packed(owner[often], value[often], often[often])))
             # one entry stands for a frequent shingle of this chunk
             lead = np.zeros(len(value), bool)
             lead[runs] = True
             keep = ~often | lead
             weight = np.where(often, np.uint32(FREQUENT), np.uint32(1))[keep].astype(np.uint32)
             value, owner = value[keep], np.where(often, np.uint32(0xFFFFFFFF), owner)[keep].astype(np.uint32)
-            edges = np.searchsorted(value, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
+            edges = np.searchsorted(value, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)) if buckets > 1 else np.zeros(0, np.int64)
             for k, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(value)])):
                 if hi > lo:
                     rows.append((k, chunk, COUNT, squeeze(np.int64(hi - lo).tobytes() + planes(np.diff(value[lo:hi], prepend=np.uint64(0))) + planes(owner[lo:hi]) + planes(weight[lo:hi]))))
@@ -149,7 +162,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = starts_of(chunk)
         rows = []
         for lo, hi in zip(first, [*first[1:], len(chunk)]):
-            rows.append((0, held[chunk[lo]][0], ANSWER, squeeze(np.int64(hi - lo).tobytes() + owner[lo:hi].tobytes() + value[lo:hi].tobytes() + often[lo:hi].tobytes())))
+            rows.append((0, held[chunk[lo]][0], ANSWER, packed(owner[lo:hi], value[lo:hi], often[lo:hi])))
         for k in range(0, len(rows), 300):
             yield as_batch(rows[k : k + 300])
 
@@ -203,11 +216,8 @@ def build_sets(percent: int):
             for kind, part in held:
                 if kind == TABLE:
                     continue
-                raw = expand(part)
-                m = int(np.frombuffer(raw, np.int64, 1)[0])
-                owners.append(np.frombuffer(raw, np.uint32, m, 8))
-                values.append(np.frombuffer(raw, np.uint64, m, 8 + 4 * m))
-                oftens.append(np.frombuffer(raw, bool, m, 8 + 12 * m) if kind == ANSWER else np.ones(m, bool))
+                for got, more in zip((owners, values, oftens), unpacked(part)):
+                    got.append(more)
             owner, value, often = np.concatenate(owners), np.concatenate(values), np.concatenate(oftens)
             order = np.lexsort((value, often, owner))
             owner, value, often = owner[order], value[order], often[order]
@@ -215,7 +225,7 @@ def build_sets(percent: int):
             out = []
             for k in range(n):
                 doc, stand = None if none[k] else int(known[k]), None
-                tokens = keys = None
+                tokens = keys = low = high = None
                 if rep[k] >= 0 and rep[k] != k:
                     stand = int(known[rep[k]])
                 elif rep[k] == k:
@@ -224,7 +234,8 @@ def build_sets(percent: int):
                         found = np.unique(index_keys(int(size[k]), v[~o], v[o], percent))
                         if len(found):
                             tokens, keys = v.view(np.int64), found.view(np.int64)
-                out.append((doc, int(size[k]), stand, tokens, keys))
+                            low, high = parity(v)
+                out.append((doc, int(size[k]), stand, tokens, keys, low, high))
                 if len(out) == 500:
                     yield sets_batch(out)
                     out = []
@@ -244,28 +255,41 @@ def build_sets(percent: int):
     return work
 
 
+def parity(values: np.ndarray) -> tuple[int, int]:
+    """128 bits: whether an odd number of the hashes falls on each."""
+    bits = np.bincount((values & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    low, high = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return low, high
+
+
 def sets_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_shingles", "rep", "tokens", "keys"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_shingles", "rep", "tokens", "keys", "low", "high"])
 
 
 def neighbours(percent: int):
     """Pairs of each row with the next two of its key; rows come sorted by key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((3, 0), np.int64)
+        tail = np.zeros((6, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate([tail, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "n_shingles")])], axis=1)
+            rows = np.concatenate([tail, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "n_shingles", "shareable", "low", "high")])], axis=1)
             found = []
             for gap in (1, 2):
                 a, b = rows[:, :-gap], rows[:, gap:]
                 new = b.shape[1] - batch.num_rows if b.shape[1] > batch.num_rows else 0  # pairs of the rows kept from before
                 a, b = a[:, new:], b[:, new:]
-                low, high = np.minimum(a[2], b[2]), np.maximum(a[2], b[2])
-                ok = (a[0] == b[0]) & (a[1] != b[1]) & (low * 100 >= percent * high)
+                least, most = np.minimum(a[2], b[2]), np.maximum(a[2], b[2])
+                differ = np.bitwise_count(a[4] ^ b[4]).astype(np.int64) + np.bitwise_count(a[5] ^ b[5])
+                shared = np.minimum(2 * np.minimum(a[3], b[3]), a[3] + b[3] - differ)  # twice what they share at most
+                ok = (a[0] == b[0]) & (a[1] != b[1]) & (least * 100 >= percent * most) & (shared * (100 + percent) >= 2 * percent * (a[2] + b[2]))
                 found.append(np.stack([np.minimum(a[1], b[1])[ok], np.maximum(a[1], b[1])[ok]]))
             tail = rows[:, -2:]
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            pairs = np.concatenate(found, axis=1)
+            if pairs.shape[1]:
+                order = np.lexsort((pairs[1], pairs[0]))
+                pairs = pairs[:, order]
+                pairs = pairs[:, np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return work
@@ -288,19 +312,21 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     told = sent.mapInArrow(answer, ROW).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
     every = cut(told.mapInArrow(build_sets(percent), SET_ROW), "sets")
     sets = every.where("keys is not null").select("doc_id", "n_shingles", "tokens")
-    posted = cut(every.where("keys is not null").select("doc_id", "n_shingles", F.explode("keys").alias("key")), "set-keys")
+    posted = cut(every.where("keys is not null").select("doc_id", "n_shingles", F.size("tokens").cast("long").alias("shareable"), "low", "high", F.explode("keys").alias("key")), "set-keys")
     ordered = posted.repartitionByRange(parts, F.col("key"), F.xxhash64("key", "doc_id")).sortWithinPartitions("key", F.xxhash64("key", "doc_id"))
-    first = ordered.select("key", "doc_id", "n_shingles").mapInArrow(neighbours(percent), "a long, b long").distinct()
+    first = ordered.select("key", "doc_id", "n_shingles", "shareable", "low", "high").mapInArrow(neighbours(percent), "a long, b long").distinct()
     links = cut(linked(first, sets, percent), "links-1")
     label = components(links)
     # what is left: candidates in different components; of a key's components the largest is matched by the others' members
-    labelled = posted.join(label, posted["doc_id"] == label["node"], "left").select("key", "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"))
+    labelled = posted.join(label, posted["doc_id"] == label["node"], "left").select("key", "doc_id", "n_shingles", "shareable", "low", "high", F.coalesce("comp", "doc_id").alias("comp"))
     labelled = cut(labelled, "set-labels")
     main = labelled.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
     split = labelled.join(main.select("key", "main"), "key")
     split = cut(split, "set-split")
-    rest = split.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"))
-    near = (F.least("nx", "n_shingles") * 100 >= F.greatest("nx", "n_shingles") * percent) & (F.col("cx") != F.col("comp"))
+    rest = split.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("shareable").alias("sx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("comp").alias("cx"))
+    differ = (F.bit_count(F.col("lx").bitwiseXOR(F.col("low"))) + F.bit_count(F.col("hx").bitwiseXOR(F.col("high")))).cast("long")
+    shared = F.least(F.least("sx", "shareable") * 2, F.col("sx") + F.col("shareable") - differ)
+    near = (F.col("cx") != F.col("comp")) & (F.least("nx", "n_shingles") * 100 >= F.greatest("nx", "n_shingles") * percent) & (shared * (100 + percent) >= (F.col("nx") + F.col("n_shingles")) * 2 * percent)
     second = rest.join(split, "key").where(near).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     more = cut(linked(second, sets, percent), "links-2")
     final = components(links.union(more)) if more.limit(1).count() else label
