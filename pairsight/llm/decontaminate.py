@@ -34,35 +34,53 @@ BROADCAST_WINDOWS = 200_000
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|liters?|litres?|l|ml|gallons?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|watts?|kw|volts?"
 
 
-def raw_words(text: Column) -> Column:
-    """Words that hold a letter or a digit."""
-    worded = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", " ")
-    return F.trim(F.regexp_replace(worded, r"\s+", " "))
+def template(text: Column) -> Column:
+    """The text with one placeholder or plain word for each word; punctuation alone becomes nothing.
 
-
-def template(clean: Column) -> Column:
-    """One token for each word of ``clean``."""
-    named = F.regexp_replace(clean, r"(?<=[^.!?:\s] )[^\p{L}\p{N}\s]*\p{Lu}\p{Ll}[\p{L}'’\-]*", "<p>")
+    Patterns begin with what is rare (a capital, a digit, a placeholder), so most places fail at once.
+    """
+    named = F.regexp_replace(text, r"\p{Lu}(?<=[^.!?:\s]\s[^\p{L}\p{N}\s]{0,2}\p{Lu})\p{Ll}[\p{L}'’\-]*", "<p>")
     numbered = F.lower(F.regexp_replace(named, r"[+\-]?\p{N}[\p{N}.,:/]*", "<n>"))
-    unit = F.regexp_replace(numbered, rf"(?<=<n>[^\p{{L}}\p{{N}}\s]{{0,3}} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", "<u>")
+    unit = F.regexp_replace(numbered, rf"<n>([^\p{{L}}\p{{N}}\s]{{0,3}}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "<n>$1<u>")
     return F.regexp_replace(unit, r"[^\p{L}<>\s]+", "")
 
 
 def tokens(docs: DataFrame, key: str) -> DataFrame:
-    clean = docs.select(F.col(key).cast("long").alias(key), raw_words(F.col("text")).alias("clean"))
-    return clean.select(key, F.split("clean", " ").alias("words"), F.split(template(F.col("clean")), " ").alias("tokens"))
+    """key, tokens: the words of the template that are not empty."""
+    made = F.split(template(F.coalesce("text", F.lit(""))), r"\s")
+    return docs.select(F.col(key).cast("long").alias(key), F.filter(made, lambda t: t != "").alias("tokens"))
+
+
+def aligned_words(docs: DataFrame, key: str) -> DataFrame:
+    """key, words, tokens: the same with the raw word of each token."""
+    text = F.coalesce("text", F.lit(""))
+    pair = docs.select(F.col(key).cast("long").alias(key), F.arrays_zip(F.split(text, r"\s").alias("w"), F.split(template(text), r"\s").alias("t")).alias("p"))
+    kept = pair.select(key, F.filter("p", lambda x: x["t"] != "").alias("p"))
+    return kept.select(key, F.transform("p", lambda x: x["w"]).alias("words"), F.transform("p", lambda x: x["t"]).alias("tokens"))
 
 
-def windows(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """key, at (from 1), hash of each window of ``width`` tokens."""
-    made = F.transform(F.sequence(F.lit(1), F.size("tokens") - width + 1), lambda i: F.xxhash64(F.lit(width), *(F.element_at("tokens", (i + k).cast("int")) for k in range(width))))
-    return rows.where(F.size("tokens") >= width).select(key, F.posexplode(made).alias("at", "hash")).withColumn("at", F.col("at") + 1)
+def windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """key, at (from 1), hash of the windows of these widths (the widest first), from one pass over the tokens.
+
+    A token is hashed once; a window's hash runs over its tokens' hashes.
+    """
+    hashed = rows.select(key, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+
+    def hashed_windows(width: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size("h") - width), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit(width), F.slice("h", i + 1, F.lit(width))).alias("hash")))
+
+    made = None
+    for width in widths:
+        part = hashed_windows(width)
+        part = F.when(F.size("h") >= width, part).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+        made = part if made is None else F.concat(made, part)
+    return hashed.select(key, F.inline(made))
 
 
 def slots(words: str, toks: str, at: Column, width: Column) -> Column:
     """The raw words of a window, in order, where the token is a slot."""
     part = F.arrays_zip(F.slice(words, at, width).alias("w"), F.slice(toks, at, width).alias("t"))
-    return F.transform(F.filter(part, lambda x: x["t"].contains("<")), lambda x: F.lower(x["w"]))
+    return F.transform(F.filter(part, lambda x: x["t"].contains("<")), lambda x: F.lower(F.regexp_replace(x["w"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
 def bijective(a: str, b: str) -> Column:
@@ -72,32 +90,30 @@ def bijective(a: str, b: str) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, n_hits, best_item, contaminated: one row for each row of ``docs``."""
-    items = tokens(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("tokens") >= LEAST)
+    items = aligned_words(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("tokens") >= LEAST)
     items = cut(items.withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH))), "bench-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WIDTH of them
-    searched = None
-    for width in widths:
-        own = items.where(F.col("width") == width)
-        literal = lambda at, w=width: F.size(F.filter(F.slice("tokens", at, w), lambda t: ~t.contains("<"))) * 2 >= w
-        part = windows(own, "item_id", width).join(own.select("item_id", "tokens", "width"), "item_id").where(literal(F.col("at"))).select("item_id", "width", "hash", F.col("at").alias("item_at")).distinct()
-        searched = part if searched is None else searched.union(part)
+    literal = F.size(F.filter(F.slice("tokens", F.col("at"), F.col("width")), lambda t: ~t.contains("<"))) * 2 >= F.col("width")
+    searched = windows(items, "item_id", widths).join(items.select("item_id", "tokens", "width"), "item_id") if widths else None
+    if searched is not None:  # an item is searched for by its own width alone
+        own = F.xxhash64("width", F.transform(F.slice("tokens", F.col("at"), F.col("width")), lambda t: F.xxhash64(t))) == F.col("hash")
+        searched = searched.where(F.col("at") + F.col("width") - 1 <= F.size("tokens")).where(own & literal).select("item_id", "width", "hash", F.col("at").alias("item_at")).distinct()
     everyone = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     nothing = [F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("long").alias("best_item"), F.lit(False).alias("contaminated")]
     if searched is None:
         return everyone.select("doc_id", *nothing)
     searched = cut(searched, "bench-windows")
     small = searched.count() <= BROADCAST_WINDOWS
-    rows = tokens(docs.where("doc_id is not null"), "doc_id")
-    hits = None
-    for width in widths:
-        bench = searched.where(F.col("width") == width)
-        part = windows(rows, "doc_id", width).join(F.broadcast(bench) if small else bench, "hash").select("doc_id", "item_id", "width", "at", "item_at")
-        hits = part if hits is None else hits.union(part)
-    hits = cut(hits.distinct(), "bench-hits")
-    found = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("at", "item_at", "width")).alias("hits"))
-    met = rows.join(found, "doc_id").join(items.select("item_id", F.col("words").alias("item_words"), F.col("tokens").alias("item_tokens")), "item_id")
-    each = met.select("doc_id", "item_id", "words", "tokens", "item_words", "item_tokens", F.explode("hits").alias("hit"))
-    pairs = each.select(
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = windows(tokens(known, "doc_id"), "doc_id", widths).join(F.broadcast(searched) if small else searched, "hash").select("doc_id", "item_id", "width", "at", "item_at")
+    hits = cut(found.distinct(), "bench-hits")
+    per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "at", "item_at", "width")).alias("hits"))
+    few = cut(per_doc, "bench-hit-docs")
+    rows = aligned_words(known.join(few.select("doc_id"), "doc_id", "left_semi"), "doc_id")  # the text alone is dealt, and tokens are made of what is left
+    met = rows.join(few, "doc_id").select("doc_id", "words", "tokens", F.explode("hits").alias("hit"))
+    met = met.select("doc_id", "words", "tokens", "hit", F.col("hit.item_id").alias("item_id"))
+    met = met.join(items.select("item_id", F.col("words").alias("item_words"), F.col("tokens").alias("item_tokens")), "item_id")
+    pairs = met.select(
         "doc_id",
         "item_id",
         (F.col("hit.at") - F.col("hit.item_at")).alias("shift"),
