@@ -14,7 +14,9 @@
    differ in no more bits than the sets in shingles. Neighbours in key order are verified
    first, and links give components; then every candidate pair that is still in two
    components is verified, so no link between components is lost, while a group of
-   near copies costs a few pairs per member.
+   near copies costs a few pairs per member. A pair is made at the first key that its
+   sets share and hardly ever again (never where one of the ``EARLIER`` keys before is
+   shared), however many keys they have in common.
 
 Defined results: null and blank texts have the empty set and link with nothing; fewer
 words than a shingle make one shingle of the whole sequence; a row without doc_id has its
@@ -40,6 +42,8 @@ from pairsight.llm.substring_dedup import word_hashes
 CHUNK = 6 << 20
 FREQUENT = 64
 GROUPS = 4
+#: How many of a set's earlier keys are held beside a key, to see that a pair has come from one of them.
+EARLIER = 16
 #: Kinds of rows in the shuffles: a chunk's table of sets, its frequent occurrences, shingles to be counted, their answer.
 TABLE, OWN, COUNT, ANSWER = 0, 1, 2, 3
 ROW = "bucket int, chunk long, kind int, part binary"
@@ -321,13 +325,18 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     labelled = posted.join(label, posted["doc_id"] == label["node"], "left").select("key", "doc_id", "n_shingles", "shareable", "low", "high", F.coalesce("comp", "doc_id").alias("comp"))
     labelled = cut(labelled, "set-labels")
     main = labelled.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
-    split = labelled.join(main.select("key", "main"), "key")
-    split = cut(split, "set-split")
-    rest = split.where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("shareable").alias("sx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("comp").alias("cx"))
+    hit = F.struct("key", (F.col("comp") != F.col("main")).alias("rest"))
+    split = labelled.join(main.select("key", "main"), "key").groupBy("doc_id", "n_shingles", "shareable", "low", "high", "comp").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    split = cut(split.select("doc_id", "n_shingles", "shareable", "low", "high", "comp", F.col("hits.key").alias("keys"), F.col("hits.rest").alias("rests")), "set-split")
+    # a pair comes from the first key that its sets share: at a later one both hold an earlier shared key among those just before
+    one = F.transform("keys", lambda key, i: F.struct(key.alias("key"), F.get("rests", i).alias("rest"), F.slice("keys", F.greatest(i - EARLIER, F.lit(0)) + 1, F.least(i, F.lit(EARLIER))).alias("earlier")))
+    split = split.select("doc_id", "n_shingles", "shareable", "low", "high", "comp", F.inline(one))
+    rest = split.where("rest").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("shareable").alias("sx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("comp").alias("cx"), F.col("earlier").alias("ex"))
     differ = (F.bit_count(F.col("lx").bitwiseXOR(F.col("low"))) + F.bit_count(F.col("hx").bitwiseXOR(F.col("high")))).cast("long")
     shared = F.least(F.least("sx", "shareable") * 2, F.col("sx") + F.col("shareable") - differ)
     near = (F.col("cx") != F.col("comp")) & (F.least("nx", "n_shingles") * 100 >= F.greatest("nx", "n_shingles") * percent) & (shared * (100 + percent) >= (F.col("nx") + F.col("n_shingles")) * 2 * percent)
-    second = rest.join(split, "key").where(near).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    once = (~F.col("rest") | (F.col("x") < F.col("doc_id"))) & ~F.arrays_overlap("ex", "earlier")
+    second = rest.join(split, "key").where(near & once).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     more = cut(linked(second, sets, percent), "links-2")
     final = components(links.union(more)) if more.limit(1).count() else label
     node = F.coalesce("rep", "doc_id")
