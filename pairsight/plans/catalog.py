@@ -417,11 +417,18 @@ def alias_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, folded, doc_id FROM (SELECT lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) AS folded, doc_id, row_number() OVER (PARTITION BY lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def distinct_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U5, F1 (the built-in form): the text's opening is the value that is folded."""
+    """F1 (the built-in form) on the text's opening alone; documents that differ after it are one here. distinct_texts has whole texts."""
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id", text.fold(F.substring("text", 1, 40)).alias("folded"))
     return splits.distinct_by_text(rows, ["lang"], "folded", "doc_id").select("lang", "folded", "doc_id")
 
 
+@query("SELECT lang, digest, min(doc_id) AS doc_id FROM (SELECT lang, doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest FROM documents) GROUP BY lang, digest")
+def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text is folded; its digest is the key, so texts are not shuffled."""
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2(text.fold(F.col("text")), 256).alias("digest"))
+    return splits.distinct_by_text(rows, ["lang"], "digest", "doc_id").select("lang", "digest", "doc_id")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as contexts: of each, up to eight words of the text with their places are answers to questions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.trim("text").alias("context"))
