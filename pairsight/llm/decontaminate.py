@@ -10,11 +10,16 @@ other numbers and names is found, a chance likeness of templates is not. A docum
 contaminated when the consistent hits of some item reach ``NEED`` windows, or all windows
 of an item that has fewer.
 
+Beside the templates, windows of plain words (lower case, no placeholders, no punctuation
+at their ends) are joined in the same way, so that verbatim copies are found whatever their
+case and spacing; they need no check of slots and are counted by themselves. An item's
+n is the larger of the two counts.
+
 The benchmark's windows are broadcast only where their counted number is within
 ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
 
-Defined results: null text has no tokens; items under ``LEAST`` tokens, and windows less
-than half literal, are not searched for; rows that repeat a doc_id share a verdict; a
+Defined results: null text has no tokens; items under ``LEAST`` tokens are not searched
+for, nor templates of windows less than half literal; rows that repeat a doc_id share a verdict; a
 null doc_id is never contaminated; items that repeat are one each; an empty benchmark
 contaminates nothing; columns other than doc_id and text are not read.
 """
@@ -34,47 +39,60 @@ BROADCAST_WINDOWS = 200_000
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|liters?|litres?|l|ml|gallons?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|watts?|kw|volts?"
 
 
-def template(text: Column) -> Column:
-    """The text with one placeholder or plain word for each word; punctuation alone becomes nothing.
+def clean(text: Column) -> Column:
+    """The text with one blank for each run of white space; single blanks, the most of it, are not touched."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\h\v&&[^ ]][\s\h\v]*| [\s\h\v]+", " ")
+
+
+def plain(cleaned: Column) -> Column:
+    """The cleaned text's words without case and without punctuation at their ends; punctuation alone becomes nothing."""
+    return F.lower(F.upper(F.regexp_replace(cleaned, r"[^\p{L}\p{N}\s]++(?![\p{L}\p{N}])|(?<!\S)[^\p{L}\p{N}\s]+", "")))
+
+
+def template(cleaned: Column) -> Column:
+    """The cleaned text with one placeholder or plain word for each word; punctuation alone becomes nothing.
 
     Patterns begin with what is rare (a capital, a digit, a placeholder), so most places fail at once.
     """
-    named = F.regexp_replace(text, r"\p{Lu}(?<=[^.!?:\s]\s[^\p{L}\p{N}\s]{0,2}\p{Lu})\p{Ll}[\p{L}'’\-]*", "<p>")
+    named = F.regexp_replace(cleaned, r"\p{Lu}(?<=[^.!?:\s]\s[^\p{L}\p{N}\s]{0,2}\p{Lu})\p{Ll}[\p{L}'’\-]*", "<p>")
     numbered = F.lower(F.regexp_replace(named, r"[+\-]?\p{N}[\p{N}.,:/]*", "<n>"))
     unit = F.regexp_replace(numbered, rf"<n>([^\p{{L}}\p{{N}}\s]{{0,3}}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "<n>$1<u>")
     return F.regexp_replace(unit, r"[^\p{L}<>\s]+", "")
 
 
+def filled(words: Column) -> Column:
+    return F.filter(F.split(words, " "), lambda w: w != "")
+
+
 def tokens(docs: DataFrame, key: str) -> DataFrame:
-    """key, tokens: the words of the template that are not empty."""
-    made = F.split(template(F.coalesce("text", F.lit(""))), r"\s")
-    return docs.select(F.col(key).cast("long").alias(key), F.filter(made, lambda t: t != "").alias("tokens"))
+    """key, tokens, plain: the words of the template and of the plain text that are not empty."""
+    cleaned = docs.select(F.col(key).cast("long").alias(key), clean(F.col("text")).alias("c"))
+    return cleaned.select(key, filled(template(F.col("c"))).alias("tokens"), filled(plain(F.col("c"))).alias("plain"))
 
 
 def aligned_words(docs: DataFrame, key: str) -> DataFrame:
-    """key, words, tokens: the same with the raw word of each token."""
-    text = F.coalesce("text", F.lit(""))
-    pair = docs.select(F.col(key).cast("long").alias(key), F.arrays_zip(F.split(text, r"\s").alias("w"), F.split(template(text), r"\s").alias("t")).alias("p"))
-    kept = pair.select(key, F.filter("p", lambda x: x["t"] != "").alias("p"))
-    return kept.select(key, F.transform("p", lambda x: x["w"]).alias("words"), F.transform("p", lambda x: x["t"]).alias("tokens"))
+    """key, words, tokens, plain: the same with the raw word of each token of the template."""
+    cleaned = docs.select(F.col(key).cast("long").alias(key), clean(F.col("text")).alias("c"))
+    pair = cleaned.select(key, filled(plain(F.col("c"))).alias("plain"), F.arrays_zip(F.split("c", " ").alias("w"), F.split(template(F.col("c")), " ").alias("t")).alias("p"))
+    kept = pair.select(key, "plain", F.filter("p", lambda x: x["t"] != "").alias("p"))
+    return kept.select(key, F.transform("p", lambda x: x["w"]).alias("words"), F.transform("p", lambda x: x["t"]).alias("tokens"), "plain")
 
 
-def windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
-    """key, at (from 1), hash of the windows of these widths (the widest first), from one pass over the tokens.
+def windows(rows: DataFrame, key: str, widths: dict[str, list[int]]) -> DataFrame:
+    """key, at (from 1), hash of the windows of these widths of each column (tokens, plain), from one pass over it.
 
-    A token is hashed once; a window's hash runs over its tokens' hashes.
+    A token is hashed once; a window's hash runs over its tokens' hashes and its width, which
+    is negative for plain words, so that these do not meet templates.
     """
-    hashed = rows.select(key, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    hashed = rows.select(key, *(F.transform(c, lambda t: F.xxhash64(t)).alias(f"h_{c}") for c in widths))
 
-    def hashed_windows(width: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size("h") - width), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit(width), F.slice("h", i + 1, F.lit(width))).alias("hash")))
+    def hashed_windows(c: str, width: int) -> Column:
+        h, kind = F.col(f"h_{c}"), F.lit(-width if c == "plain" else width)
+        return F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(kind, F.slice(h, i + 1, F.lit(width))).alias("hash")))
 
-    made = None
-    for width in widths:
-        part = hashed_windows(width)
-        part = F.when(F.size("h") >= width, part).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
-        made = part if made is None else F.concat(made, part)
-    return hashed.select(key, F.inline(made))
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    made = [F.when(F.size(f"h_{c}") >= width, hashed_windows(c, width)).otherwise(none) for c in widths for width in widths[c]]
+    return hashed.select(key, F.inline(F.concat(*made) if made else none))
 
 
 def slots(words: str, toks: str, at: Column, width: Column) -> Column:
@@ -88,26 +106,31 @@ def bijective(a: str, b: str) -> Column:
     return (F.size(pairs) == F.size(F.array_distinct(a))) & (F.size(pairs) == F.size(F.array_distinct(b)))
 
 
+def item_windows(items: DataFrame, column: str) -> DataFrame:
+    """item_id, verbatim, width, item_at, hash of each window of the items' column; each item by its own width alone. Of templates those half literal or more."""
+    verbatim = column == "plain"
+    sized = items.where(F.size(column) >= LEAST).withColumn("width", F.least(F.size(column), F.lit(WIDTH)))
+    each = sized.select("item_id", "width", column, F.explode(F.sequence(F.lit(1), F.size(column) - F.col("width") + 1)).alias("item_at"))
+    part = F.slice(column, F.col("item_at"), F.col("width"))
+    kept = each if verbatim else each.where(F.size(F.filter(part, lambda t: ~t.contains("<"))) * 2 >= F.col("width"))
+    return kept.select("item_id", F.lit(verbatim).alias("verbatim"), "width", "item_at", F.xxhash64(-F.col("width") if verbatim else F.col("width"), F.transform(part, lambda t: F.xxhash64(t))).alias("hash"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, n_hits, best_item, contaminated: one row for each row of ``docs``."""
-    items = aligned_words(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("tokens") >= LEAST)
-    items = cut(items.withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH))), "bench-items")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WIDTH of them
-    literal = F.size(F.filter(F.slice("tokens", F.col("at"), F.col("width")), lambda t: ~t.contains("<"))) * 2 >= F.col("width")
-    searched = windows(items, "item_id", widths).join(items.select("item_id", "tokens", "width"), "item_id") if widths else None
-    if searched is not None:  # an item is searched for by its own width alone
-        own = F.xxhash64("width", F.transform(F.slice("tokens", F.col("at"), F.col("width")), lambda t: F.xxhash64(t))) == F.col("hash")
-        searched = searched.where(F.col("at") + F.col("width") - 1 <= F.size("tokens")).where(own & literal).select("item_id", "width", "hash", F.col("at").alias("item_at")).distinct()
+    items = cut(aligned_words(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id"), "bench-items")
+    searched = cut(item_windows(items, "tokens").union(item_windows(items, "plain")).distinct(), "bench-windows")
+    widths = {c: sorted(r[0] for r in searched.where(kind).select("width").distinct().collect()) for c, kind in (("tokens", "not verbatim"), ("plain", "verbatim"))}  # at most WIDTH of each
     everyone = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     nothing = [F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("long").alias("best_item"), F.lit(False).alias("contaminated")]
-    if searched is None:
+    if not any(widths.values()):
         return everyone.select("doc_id", *nothing)
-    searched = cut(searched, "bench-windows")
     small = searched.count() <= BROADCAST_WINDOWS
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = windows(tokens(known, "doc_id"), "doc_id", widths).join(F.broadcast(searched) if small else searched, "hash").select("doc_id", "item_id", "width", "at", "item_at")
+    found = windows(tokens(known, "doc_id"), "doc_id", widths).join(F.broadcast(searched) if small else searched, "hash").select("doc_id", "item_id", "verbatim", "width", F.when(~F.col("verbatim"), F.col("at")).alias("at"), "item_at")
     hits = cut(found.distinct(), "bench-hits")
-    per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "at", "item_at", "width")).alias("hits"))
+    copied = hits.where("verbatim").groupBy("doc_id", "item_id", "verbatim").agg(F.count_distinct("item_at").alias("n"))
+    per_doc = hits.where("not verbatim").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "at", "item_at", "width")).alias("hits"))
     few = cut(per_doc, "bench-hit-docs")
     rows = aligned_words(known.join(few.select("doc_id"), "doc_id", "left_semi"), "doc_id")  # the text alone is dealt, and tokens are made of what is left
     met = rows.join(few, "doc_id").select("doc_id", "words", "tokens", F.explode("hits").alias("hit"))
@@ -126,18 +149,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.collect_set("item_at").alias("places"), F.flatten(F.collect_list("mine")).alias("mine"), F.flatten(F.collect_list("theirs")).alias("theirs"))
         .where(bijective("mine", "theirs"))
         .select("doc_id", "item_id", F.explode("places").alias("place"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", F.lit(False).alias("verbatim"))
         .agg(F.count_distinct("place").alias("n"))
     )
-    needed = searched.groupBy("item_id").agg(F.least(F.count_distinct("item_at"), F.lit(NEED)).alias("need"))
+    needed = searched.groupBy("item_id", "verbatim").agg(F.least(F.count_distinct("item_at"), F.lit(NEED)).alias("need"))
     verdict = (
-        aligned.join(needed, "item_id")
+        aligned.union(copied)
+        .join(needed, ["item_id", "verbatim"])
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("n").alias("n"), F.max(F.col("n") >= F.col("need")).alias("enough"))
         .groupBy("doc_id")
         .agg(
             F.count("*").alias("n_items"),
             F.sum("n").cast("long").alias("n_hits"),
             F.min(F.struct((-F.col("n")).alias("n"), "item_id"))["item_id"].alias("best_item"),
-            F.max(F.col("n") >= F.col("need")).alias("contaminated"),
+            F.max("enough").alias("contaminated"),
         )
     )
     return everyone.join(verdict, "doc_id", "left").select(

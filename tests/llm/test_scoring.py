@@ -309,3 +309,15 @@ def test_without_labels(spark):
     got = as_dict(toxicity.toxicity(frame(spark, [(1, "a"), (2, None)]), spark.createDataFrame([], "doc_id long, toxic int")), "score")
     assert got == {1: (0.5,), 2: (0.5,)}
     assert toxicity.quoted('he said "you clown" again'.split(), 3) and not toxicity.quoted("you utter clown".split(), 2)
+
+
+PEOPLE = "the letter that Anna wrote to Boris was read by Clara and then by Dmitri before Elena sent it back to Fyodor who gave it to Galina near the old mill"
+
+
+def test_copies_whatever_their_case_and_spacing(spark):
+    """Names and units are placeholders in the item; copies without capitals or with other white space are copies."""
+    copies = [PEOPLE, PEOPLE.replace(" ", "  "), PEOPLE.replace(" ", " \n"), PEOPLE.lower(), PEOPLE.upper(), PEOPLE.replace(" ", "\u00a0"), QUESTION.replace(" ", " \n "), QUESTION.upper(), PEOPLE.title().replace(" ", "\t\t")]
+    other = [ASKED.replace(" ", "  "), PEOPLE.upper()[:60], "nothing of the kind " * 9]
+    got = as_dict(decontaminate.contamination(frame(spark, list(enumerate(copies + other))), bench(spark, PEOPLE, QUESTION)), "contaminated", "best_item")
+    assert [got[k] for k in range(len(copies))] == [(True, 0)] * 6 + [(True, 1)] * 2 + [(True, 0)]
+    assert got[len(copies)] == (True, 1) and not got[len(copies) + 1][0] and not got[len(copies) + 2][0]
