@@ -18,8 +18,9 @@ n is the larger of the two counts.
 The benchmark's windows are broadcast only where their counted number is within
 ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
 
-Defined results: null text has no tokens; items under ``LEAST`` tokens are not searched
-for, nor templates of windows less than half literal; rows that repeat a doc_id share a verdict; a
+Defined results: null text has no tokens; items under ``LEAST`` tokens, and windows less
+than half literal, are searched for by plain words alone; items without a word are not
+searched for; rows that repeat a doc_id share a verdict; a
 null doc_id is never contaminated; items that repeat are one each; an empty benchmark
 contaminates nothing; columns other than doc_id and text are not read.
 """
@@ -109,7 +110,7 @@ def bijective(a: str, b: str) -> Column:
 def item_windows(items: DataFrame, column: str) -> DataFrame:
     """item_id, verbatim, width, item_at, hash of each window of the items' column; each item by its own width alone. Of templates those half literal or more."""
     verbatim = column == "plain"
-    sized = items.where(F.size(column) >= LEAST).withColumn("width", F.least(F.size(column), F.lit(WIDTH)))
+    sized = items.where(F.size(column) >= (1 if verbatim else LEAST)).withColumn("width", F.least(F.size(column), F.lit(WIDTH)))
     each = sized.select("item_id", "width", column, F.explode(F.sequence(F.lit(1), F.size(column) - F.col("width") + 1)).alias("item_at"))
     part = F.slice(column, F.col("item_at"), F.col("width"))
     kept = each if verbatim else each.where(F.size(F.filter(part, lambda t: ~t.contains("<"))) * 2 >= F.col("width"))

@@ -321,3 +321,15 @@ def test_copies_whatever_their_case_and_spacing(spark):
     got = as_dict(decontaminate.contamination(frame(spark, list(enumerate(copies + other))), bench(spark, PEOPLE, QUESTION)), "contaminated", "best_item")
     assert [got[k] for k in range(len(copies))] == [(True, 0)] * 6 + [(True, 1)] * 2 + [(True, 0)]
     assert got[len(copies)] == (True, 1) and not got[len(copies) + 1][0] and not got[len(copies) + 2][0]
+
+
+def test_items_of_slots_and_short_items_verbatim(spark):
+    """What has no template that is searched for is found word for word; the same template with other values is not."""
+    sums = "Compute 12 + 30 * 4 - 7 / 2 + 18 * 3 - 44 / 4 step by step"
+    names = "Say who: Anna Boris Clara Dmitri Elena Fyodor Galina Harold Irene Jakob Karen Lukas"
+    items = bench(spark, sums, names, "Photosynthesis", "Mount Kilimanjaro", "3.5 kg", "!?")
+    copies = ["before. " + sums + " after", names.lower(), "what is PHOTOSYNTHESIS, then", "on mount  kilimanjaro.", "it weighs 3.5 kg"]
+    other = [sums.replace("1", "6").replace("4", "9"), "Say who: Olga Pavel Quentin Rosa Stefan Tamara Ulrich Vera Walter Xenia Yuri Zoe", "mount of kilimanjaro", "35 kg and 4.5 kg", "?! !?"]
+    got = as_dict(decontaminate.contamination(frame(spark, list(enumerate(copies + other))), items), "contaminated", "best_item")
+    assert [got[k] for k in range(len(copies))] == [(True, k) for k in range(len(copies))]
+    assert not any(got[k][0] for k in range(len(copies), len(copies + other)))
