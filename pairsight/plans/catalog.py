@@ -7,10 +7,13 @@ Doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairsight.functions import stats, text
 from pairsight.operators import contamination, contract, grid, mcq, paired, replication, splits
@@ -20,6 +23,7 @@ from pairsight.plans.tables import grid as grid_of
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+LONG_WORD = re.compile(r"[^\W\d_]{6,}")
 
 
 def query(sql: str | None = None):
@@ -429,12 +433,27 @@ def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.distinct_by_text(rows, ["lang"], "digest", "doc_id").select("lang", "digest", "doc_id")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("answer", T.StringType()), T.StructField("answer_start", T.IntegerType())])))
+def long_words(context: pd.Series) -> pd.Series:
+    """Of each line that has one, the first word of six letters or more, with its place in the context."""
+
+    def of(text: str | None) -> list[dict]:
+        found, at = [], 0
+        for k, line in enumerate((text or "").split("\n")):
+            if m := LONG_WORD.search(line):
+                found.append({"k": k, "answer": m.group(), "answer_start": at + m.start()})
+            at += len(line) + 1
+        return found
+
+    return context.map(of)
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as contexts: of each, up to eight words of the text with their places are answers to questions."""
+    """Documents as contexts: each line of the whole text asks for its first long word. Lines are the analogue's paragraphs, so a context has as many questions as it has lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.trim("text").alias("context"))
-    words = F.slice(F.array_distinct(F.filter(F.split("context", r"[^\p{L}]+"), lambda w: F.length(w) >= 6)), 1, 8)
-    each = docs.select("doc_id", "lang", "context", F.posexplode(words).alias("k", "answer"))
-    return each.select("lang", F.col("doc_id").cast("string").alias("group_id"), "context", F.concat(F.lit("which word is number "), F.col("k").cast("string")).alias("question"), "answer", (F.instr("context", F.col("answer")) - 1).alias("answer_start"), F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("k").cast("string")).alias("item_id"))
+    each = docs.select("doc_id", "lang", "context", F.inline(long_words("context")))
+    key = F.col("doc_id").cast("string")
+    return each.select("lang", key.alias("group_id"), "context", F.concat(F.lit("which long word is first in line "), F.col("k").cast("string")).alias("question"), "answer", "answer_start", F.concat(key, F.lit("#"), F.col("k").cast("string")).alias("item_id"))
 
 
 @query()
