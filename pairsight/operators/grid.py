@@ -106,7 +106,7 @@ def rq3(grid: DataFrame, precisions: tuple[str, ...] = PRECISIONS) -> DataFrame:
         (F.col("t") / F.col("n")).alias("acc_ft"),
         gain.alias("delta_ft_minus_base"),
         (F.col("f") / F.col("n")).alias("acc_base_fp16"),
-        ((F.col("f") - F.col("b")) / F.col("n")).alias("base_quantization_cost"),
+        ((F.col("f") - F.col("b")) / F.col("n")).alias("base_precision_cost"),
         recovery(F.col("f") - F.col("b"), gain, F.col("n")).alias("recovers_fp16_gap"),
         "n_ft_only",
         "n_base_only",

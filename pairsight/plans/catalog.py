@@ -159,8 +159,8 @@ w AS (SELECT lang, item_id, arm, max(CASE WHEN precision = 'fp16' THEN correct E
 x AS (SELECT b.lang, u.p AS precision, CASE u.p WHEN 'fp16' THEN b.fp16 WHEN 'nf4' THEN b.nf4 ELSE b.int8_llmint8 END AS b, CASE u.p WHEN 'fp16' THEN f.fp16 WHEN 'nf4' THEN f.nf4 ELSE f.int8_llmint8 END AS t, b.fp16 AS f
       FROM w b JOIN w f ON b.lang = f.lang AND b.item_id = f.item_id AND b.arm = 'base' AND f.arm = 'ft', (VALUES ('fp16'), ('int8_llmint8'), ('nf4')) u(p)),
 c AS (SELECT lang, precision, count(*) AS n, sum(b)::BIGINT AS b, sum(t)::BIGINT AS t, sum(f)::BIGINT AS f, sum(CASE WHEN t = 1 AND b = 0 THEN 1 ELSE 0 END)::BIGINT AS n_ft_only, sum(CASE WHEN t = 0 AND b = 1 THEN 1 ELSE 0 END)::BIGINT AS n_base_only FROM x GROUP BY ALL),
-r AS (SELECT lang, precision, b / n AS acc_base, t / n AS acc_ft, (t - b) / n AS delta_ft_minus_base, f / n AS acc_base_fp16, (f - b) / n AS base_quantization_cost, CASE WHEN f > b THEN ((t - b) / n) / ((f - b) / n) END AS recovers_fp16_gap, n_ft_only, n_base_only, {mcnemar_sql('n_ft_only', 'n_base_only')} AS mcnemar_p FROM c)
-SELECT lang, precision, round(acc_base, 9) AS acc_base, round(acc_ft, 9) AS acc_ft, round(delta_ft_minus_base, 9) AS delta_ft_minus_base, round(acc_base_fp16, 9) AS acc_base_fp16, round(base_quantization_cost, 9) AS base_quantization_cost,
+r AS (SELECT lang, precision, b / n AS acc_base, t / n AS acc_ft, (t - b) / n AS delta_ft_minus_base, f / n AS acc_base_fp16, (f - b) / n AS base_precision_cost, CASE WHEN f > b THEN ((t - b) / n) / ((f - b) / n) END AS recovers_fp16_gap, n_ft_only, n_base_only, {mcnemar_sql('n_ft_only', 'n_base_only')} AS mcnemar_p FROM c)
+SELECT lang, precision, round(acc_base, 9) AS acc_base, round(acc_ft, 9) AS acc_ft, round(delta_ft_minus_base, 9) AS delta_ft_minus_base, round(acc_base_fp16, 9) AS acc_base_fp16, round(base_precision_cost, 9) AS base_precision_cost,
        round(recovers_fp16_gap, 9) AS recovers_fp16_gap, n_ft_only, n_base_only, round(mcnemar_p, 9) AS mcnemar_p, round(mcnemar_p_holm, 9) AS mcnemar_p_holm
 FROM ({holm_sql('r', 'mcnemar_p', 'mcnemar_p_holm', 'lang, precision')})
 """)
@@ -419,16 +419,9 @@ def alias_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.get(stem, 2).alias("lang"), parts["model"].alias("model"), parts["arm"].alias("arm"), parts["epochs"].alias("epochs"), parts["lang"].alias("tuned_on"))
 
 
-@query("SELECT lang, folded, doc_id FROM (SELECT lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) AS folded, doc_id, row_number() OVER (PARTITION BY lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
-def distinct_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 (the built-in form) on the text's opening alone; documents that differ after it are one here. distinct_texts has whole texts."""
-    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", text.fold(F.substring("text", 1, 40)).alias("folded"))
-    return splits.distinct_by_text(rows, ["lang"], "folded", "doc_id").select("lang", "folded", "doc_id")
-
-
 @query("SELECT lang, digest, min(doc_id) AS doc_id FROM (SELECT lang, doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest FROM documents) GROUP BY lang, digest")
 def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole text is folded; its digest is the key, so texts are not shuffled."""
+    """U5, F1 (the built-in form): the whole text is folded; its digest is the key, so texts are not shuffled."""
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2(text.fold(F.col("text")), 256).alias("digest"))
     return splits.distinct_by_text(rows, ["lang"], "digest", "doc_id").select("lang", "digest", "doc_id")
 
