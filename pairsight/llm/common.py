@@ -8,9 +8,11 @@ copies costs one entry per chunk however many rows it has.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,18 @@ from pyspark.sql import functions as F
 
 #: The six characters that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows in a batch between the JVM and Python.
+BATCH = 1000
+#: Paths of the tables that ``cut`` wrote in this process and that are still there.
+_WRITTEN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode, where they are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pairsight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,8 +43,58 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors repeat no earlier work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, paths: set[str]) -> None:
+    """Delete tables that ``cut`` wrote."""
+    jvm = spark.sparkContext._jvm
+    for path in paths & _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _WRITTEN.discard(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the tables behind what ``cut`` returned, once nothing reads them any more."""
+    for frame in frames:
+        remove(frame.sparkSession, {getattr(frame, "written_to", "")})
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove every table that ``cut`` wrote in this process; results not yet written can't be read after it."""
+    remove(spark, set(_WRITTEN))
+
+
+@lru_cache(1)
+def _libc():
+    """The C library, told to give large freed blocks back at once; None where there is another."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # from 1 MB blocks are mapped, and unmapped when freed
+        libc.mallopt(-1, 4 << 20)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def frugal(work: Callable) -> Callable:
+    """``work`` for mapInArrow, whose worker keeps no freed memory: idle workers stay beside the next stage's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        try:
+            yield from work(batches)
+        finally:
+            if libc:
+                libc.malloc_trim(0)
+
+    return run
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -44,8 +102,14 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and the whole text in UTF-8 (null: empty), and no other column."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """doc_id and the whole text in UTF-8 (null: empty), and no other column.
+
+    Rows go to Python by BATCH at most: a session's larger setting is lowered, since a batch is held whole.
+    """
+    conf = docs.sparkSession.conf
+    held = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if held <= 0 or held > BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *more)
 
@@ -93,15 +157,13 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1))
 
 
-def buckets_for(df: DataFrame, input_bytes: int) -> int:
-    """About as many buckets as the planner's size of ``df`` has pieces of ``input_bytes``.
+def buckets_for(docs: DataFrame, piece: int) -> int:
+    """As many buckets as the texts have pieces of so many bytes, and one for each shuffle partition at least.
 
-    One for each shuffle partition at least, and 64 for each at most (the planner takes
-    tables that it knows nothing about for very large).
+    Counted from the texts themselves, so that a bucket's share is the same at every size.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = shuffle_parts(df.sparkSession)
-    return max(parts, min(size // input_bytes + 1, 64 * parts))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_parts(docs.sparkSession), size // piece + 1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

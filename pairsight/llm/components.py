@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import cut
+from pairsight.llm.common import cut, forget, frugal
 
 ROUNDS = 60
 
@@ -37,14 +37,16 @@ def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node that it reaches): one row for each node of ``edges`` (a, b: long)."""
-    few = edges.mapInArrow(thin, "a long, b long")
+    few = edges.mapInArrow(frugal(thin), "a long, b long")
     both = cut(few.union(few.select("b", "a")).toDF("u", "v").distinct(), "cc-edges")
     label = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")), "cc-label")
     for _ in range(ROUNDS):
         told = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("comp").alias("near"))
         lower = cut(label.join(told, F.col("node") == F.col("u")).select("node", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved")), "cc-lower")
         if not lower.where("moved").limit(1).count():
+            forget(both, lower)
             return label
         up = lower.select(F.col("node").alias("top"), F.col("comp").alias("above"))
-        label = cut(lower.join(up, F.col("comp") == F.col("top")).select("node", F.col("above").alias("comp")), "cc-label")
+        old, label = label, cut(lower.join(up, F.col("comp") == F.col("top")).select("node", F.col("above").alias("comp")), "cc-label")
+        forget(old, lower)
     raise RuntimeError(f"components not settled after {ROUNDS} rounds")

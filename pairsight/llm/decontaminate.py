@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates, in DataFrame operations alone.
 
-Texts are canonicalised to tokens: numbers become ``<n>``, units after numbers ``<u>``,
-names (capitalised words inside a sentence) ``<p>``, other words are lower-cased without
-punctuation. Windows of ``WIDTH`` tokens (whole items where they are shorter) of the
+Texts are canonicalised to tokens: numbers become placeholder n, units after numbers u,
+names (capitalised words inside a sentence) p, other words are lower-cased without
+punctuation. A placeholder begins with U+0001, which counts as white space in texts, so that
+no text holds one. Windows of ``WIDTH`` tokens (whole items where they are shorter) of the
 benchmark are joined by hash with the windows of documents. Hits of one document, item
 and alignment are consistent when their slots map one to one: equal values of the item to
 equal values of the document, different to different. So a question asked again with
@@ -21,8 +22,9 @@ The benchmark's windows are broadcast only where their counted number is within
 Defined results: null text has no tokens; items under ``LEAST`` tokens, and windows less
 than half literal, are searched for by plain words alone; items without a word are not
 searched for; rows that repeat a doc_id share a verdict; a
-null doc_id is never contaminated; items that repeat are one each; an empty benchmark
-contaminates nothing; columns other than doc_id and text are not read.
+null doc_id is never contaminated; items that repeat are one each, different texts under one
+item_id are searched for each (the item's hits are those of the text that has most); an empty
+benchmark contaminates nothing; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import cut
+from pairsight.llm.common import cut, forget
 
 WIDTH = 8
 NEED = 6
@@ -40,9 +42,13 @@ BROADCAST_WINDOWS = 200_000
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|liters?|litres?|l|ml|gallons?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|watts?|kw|volts?"
 
 
+#: Begins a placeholder; white space where a text has it.
+MARK = "\u0001"
+
+
 def clean(text: Column) -> Column:
     """The text with one blank for each run of white space; single blanks, the most of it, are not touched."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\h\v&&[^ ]][\s\h\v]*| [\s\h\v]+", " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\h\v\x01&&[^ ]][\s\h\v\x01]*| [\s\h\v\x01]+", " ")
 
 
 def plain(cleaned: Column) -> Column:
@@ -55,10 +61,10 @@ def template(cleaned: Column) -> Column:
 
     Patterns begin with what is rare (a capital, a digit, a placeholder), so most places fail at once.
     """
-    named = F.regexp_replace(cleaned, r"\p{Lu}(?<=[^.!?:\s]\s[^\p{L}\p{N}\s]{0,2}\p{Lu})\p{Ll}[\p{L}'’\-]*", "<p>")
-    numbered = F.lower(F.regexp_replace(named, r"[+\-]?\p{N}[\p{N}.,:/]*", "<n>"))
-    unit = F.regexp_replace(numbered, rf"<n>([^\p{{L}}\p{{N}}\s]{{0,3}}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "<n>$1<u>")
-    return F.regexp_replace(unit, r"[^\p{L}<>\s]+", "")
+    named = F.regexp_replace(cleaned, r"\p{Lu}(?<=[^.!?:\s]\s[^\p{L}\p{N}\s]{0,2}\p{Lu})\p{Ll}[\p{L}'’\-]*", MARK + "p")
+    numbered = F.lower(F.regexp_replace(named, r"[+\-]?\p{N}[\p{N}.,:/]*", MARK + "n"))
+    unit = F.regexp_replace(numbered, rf"\x01n([^\p{{L}}\p{{N}}\s]{{0,3}}\s)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{MARK}n$1{MARK}u")
+    return F.regexp_replace(unit, r"[^\p{L}\x01\s]+", "")
 
 
 def filled(words: Column) -> Column:
@@ -71,12 +77,12 @@ def tokens(docs: DataFrame, key: str) -> DataFrame:
     return cleaned.select(key, filled(template(F.col("c"))).alias("tokens"), filled(plain(F.col("c"))).alias("plain"))
 
 
-def aligned_words(docs: DataFrame, key: str) -> DataFrame:
+def aligned_words(docs: DataFrame, key: str, *more: str) -> DataFrame:
     """key, words, tokens, plain: the same with the raw word of each token of the template."""
-    cleaned = docs.select(F.col(key).cast("long").alias(key), clean(F.col("text")).alias("c"))
-    pair = cleaned.select(key, filled(plain(F.col("c"))).alias("plain"), F.arrays_zip(F.split("c", " ").alias("w"), F.split(template(F.col("c")), " ").alias("t")).alias("p"))
-    kept = pair.select(key, "plain", F.filter("p", lambda x: x["t"] != "").alias("p"))
-    return kept.select(key, F.transform("p", lambda x: x["w"]).alias("words"), F.transform("p", lambda x: x["t"]).alias("tokens"), "plain")
+    cleaned = docs.select(F.col(key).cast("long").alias(key), clean(F.col("text")).alias("c"), *more)
+    pair = cleaned.select(key, *more, filled(plain(F.col("c"))).alias("plain"), F.arrays_zip(F.split("c", " ").alias("w"), F.split(template(F.col("c")), " ").alias("t")).alias("p"))
+    kept = pair.select(key, *more, "plain", F.filter("p", lambda x: x["t"] != "").alias("p"))
+    return kept.select(key, *more, F.transform("p", lambda x: x["w"]).alias("words"), F.transform("p", lambda x: x["t"]).alias("tokens"), "plain")
 
 
 def windows(rows: DataFrame, key: str, widths: dict[str, list[int]]) -> DataFrame:
@@ -99,7 +105,7 @@ def windows(rows: DataFrame, key: str, widths: dict[str, list[int]]) -> DataFram
 def slots(words: str, toks: str, at: Column, width: Column) -> Column:
     """The raw words of a window, in order, where the token is a slot."""
     part = F.arrays_zip(F.slice(words, at, width).alias("w"), F.slice(toks, at, width).alias("t"))
-    return F.transform(F.filter(part, lambda x: x["t"].contains("<")), lambda x: F.lower(F.regexp_replace(x["w"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    return F.transform(F.filter(part, lambda x: x["t"].contains(MARK)), lambda x: F.lower(F.regexp_replace(x["w"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
 def bijective(a: str, b: str) -> Column:
@@ -108,55 +114,53 @@ def bijective(a: str, b: str) -> Column:
 
 
 def item_windows(items: DataFrame, column: str) -> DataFrame:
-    """item_id, verbatim, width, item_at, hash of each window of the items' column; each item by its own width alone. Of templates those half literal or more."""
+    """item_row, item_id, verbatim, width, item_at, hash, theirs (the slots' words) of each window of the items' column; each item by its own width alone. Of templates those half literal or more."""
     verbatim = column == "plain"
     sized = items.where(F.size(column) >= (1 if verbatim else LEAST)).withColumn("width", F.least(F.size(column), F.lit(WIDTH)))
-    each = sized.select("item_id", "width", column, F.explode(F.sequence(F.lit(1), F.size(column) - F.col("width") + 1)).alias("item_at"))
+    each = sized.withColumn("item_at", F.explode(F.sequence(F.lit(1), F.size(column) - F.col("width") + 1)))
     part = F.slice(column, F.col("item_at"), F.col("width"))
-    kept = each if verbatim else each.where(F.size(F.filter(part, lambda t: ~t.contains("<"))) * 2 >= F.col("width"))
-    return kept.select("item_id", F.lit(verbatim).alias("verbatim"), "width", "item_at", F.xxhash64(-F.col("width") if verbatim else F.col("width"), F.transform(part, lambda t: F.xxhash64(t))).alias("hash"))
+    kept = each if verbatim else each.where(F.size(F.filter(part, lambda t: ~t.contains(MARK))) * 2 >= F.col("width"))
+    theirs = F.array().cast("array<string>") if verbatim else slots("words", "tokens", F.col("item_at"), F.col("width"))
+    return kept.select("item_row", "item_id", F.lit(verbatim).alias("verbatim"), "width", "item_at", F.xxhash64(-F.col("width") if verbatim else F.col("width"), F.transform(part, lambda t: F.xxhash64(t))).alias("hash"), theirs.alias("theirs"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, n_hits, best_item, contaminated: one row for each row of ``docs``."""
-    items = cut(aligned_words(benchmark.where("item_id is not null").dropDuplicates(["item_id", "text"]), "item_id"), "bench-items")
-    searched = cut(item_windows(items, "tokens").union(item_windows(items, "plain")).distinct(), "bench-windows")
+    row = F.xxhash64("item_id", "text")
+    items = benchmark.where("item_id is not null").select(row.alias("item_row"), F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_row"])
+    items = cut(aligned_words(items, "item_row").join(items.select("item_row", "item_id"), "item_row"), "bench-items")
+    searched = cut(item_windows(items, "tokens").union(item_windows(items, "plain")), "bench-windows")
+    forget(items)
     widths = {c: sorted(r[0] for r in searched.where(kind).select("width").distinct().collect()) for c, kind in (("tokens", "not verbatim"), ("plain", "verbatim"))}  # at most WIDTH of each
     everyone = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     nothing = [F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("long").alias("best_item"), F.lit(False).alias("contaminated")]
     if not any(widths.values()):
         return everyone.select("doc_id", *nothing)
-    small = searched.count() <= BROADCAST_WINDOWS
+    places = searched.drop("theirs")
+    small = places.count() <= BROADCAST_WINDOWS
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = windows(tokens(known, "doc_id"), "doc_id", widths).join(F.broadcast(searched) if small else searched, "hash").select("doc_id", "item_id", "verbatim", "width", F.when(~F.col("verbatim"), F.col("at")).alias("at"), "item_at")
+    found = windows(tokens(known, "doc_id"), "doc_id", widths).join(F.broadcast(places) if small else places, "hash").select("doc_id", "item_row", "item_id", "verbatim", "width", F.when(~F.col("verbatim"), F.col("at")).alias("at"), "item_at")
     hits = cut(found.distinct(), "bench-hits")
-    copied = hits.where("verbatim").groupBy("doc_id", "item_id", "verbatim").agg(F.count_distinct("item_at").alias("n"))
-    per_doc = hits.where("not verbatim").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "at", "item_at", "width")).alias("hits"))
-    few = cut(per_doc, "bench-hit-docs")
-    rows = aligned_words(known.join(few.select("doc_id"), "doc_id", "left_semi"), "doc_id")  # the text alone is dealt, and tokens are made of what is left
-    met = rows.join(few, "doc_id").select("doc_id", "words", "tokens", F.explode("hits").alias("hit"))
-    met = met.select("doc_id", "words", "tokens", "hit", F.col("hit.item_id").alias("item_id"))
-    met = met.join(items.select("item_id", F.col("words").alias("item_words"), F.col("tokens").alias("item_tokens")), "item_id")
-    pairs = met.select(
-        "doc_id",
-        "item_id",
-        (F.col("hit.at") - F.col("hit.item_at")).alias("shift"),
-        F.col("hit.item_at").alias("item_at"),
-        slots("words", "tokens", F.col("hit.at"), F.col("hit.width")).alias("mine"),
-        slots("item_words", "item_tokens", F.col("hit.item_at"), F.col("hit.width")).alias("theirs"),
-    )
+    copied = hits.where("verbatim").groupBy("doc_id", "item_row", "item_id", "verbatim").agg(F.count_distinct("item_at").alias("n"))
+    # a document's own words are read beside its hits alone: what leaves the row is the words of slots
+    seen = hits.where("not verbatim").groupBy("doc_id").agg(F.collect_set(F.struct("at", "width")).alias("seen"))
+    seen = cut(seen, "bench-hit-docs")
+    rows = known.join(seen.select("doc_id"), "doc_id", "left_semi").join(seen, "doc_id")
+    rows = aligned_words(rows, "doc_id", "seen").select("doc_id", F.inline(F.transform("seen", lambda h: F.struct(h["at"].alias("at"), h["width"].alias("width"), slots("words", "tokens", h["at"], h["width"]).alias("mine")))))
+    mine = cut(rows, "bench-slots")
+    met = hits.where("not verbatim").join(mine.distinct(), ["doc_id", "at", "width"]).join(searched.where("not verbatim").select("item_row", "item_at", "theirs"), ["item_row", "item_at"])
     aligned = (
-        pairs.groupBy("doc_id", "item_id", "shift")
+        met.groupBy("doc_id", "item_row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.collect_set("item_at").alias("places"), F.flatten(F.collect_list("mine")).alias("mine"), F.flatten(F.collect_list("theirs")).alias("theirs"))
         .where(bijective("mine", "theirs"))
-        .select("doc_id", "item_id", F.explode("places").alias("place"))
-        .groupBy("doc_id", "item_id", F.lit(False).alias("verbatim"))
+        .select("doc_id", "item_row", "item_id", F.explode("places").alias("place"))
+        .groupBy("doc_id", "item_row", "item_id", F.lit(False).alias("verbatim"))
         .agg(F.count_distinct("place").alias("n"))
     )
-    needed = searched.groupBy("item_id", "verbatim").agg(F.least(F.count_distinct("item_at"), F.lit(NEED)).alias("need"))
+    needed = searched.groupBy("item_row", "verbatim").agg(F.least(F.count_distinct("item_at"), F.lit(NEED)).alias("need"))
     verdict = (
         aligned.union(copied)
-        .join(needed, ["item_id", "verbatim"])
+        .join(needed, ["item_row", "verbatim"])
         .groupBy("doc_id", "item_id")
         .agg(F.max("n").alias("n"), F.max(F.col("n") >= F.col("need")).alias("enough"))
         .groupBy("doc_id")

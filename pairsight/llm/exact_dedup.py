@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import SPACES, cut, mix, shuffle_parts, starts_of, texts
+from pairsight.llm.common import SPACES, cut, frugal, mix, shuffle_parts, starts_of, texts
 
 #: Stands for a null doc_id inside the index: larger than any other.
 NO_ID = np.iinfo(np.int64).max
@@ -248,12 +248,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     body = texts(docs)
-    rows = cut(body.mapInArrow(index_rows(4 * parts), SCHEMA_ROWS), "dedup-runs")
+    rows = cut(body.mapInArrow(frugal(index_rows(4 * parts)), SCHEMA_ROWS), "dedup-runs")
     runs = rows.where("run is not null").select("bucket", "run", "filter").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    groups = cut(runs.mapInArrow(merge_rows, "digest binary, keep_id long, group_size long, reps array<long>"), "dedup-groups")
+    groups = cut(runs.mapInArrow(frugal(merge_rows), "digest binary, keep_id long, group_size long, reps array<long>"), "dedup-groups")
     reps = groups.where("reps is not null").select("digest", F.explode("reps").alias("doc_id"))
     met = body.join(reps, "doc_id").select("digest", "text").repartition(parts, "digest").sortWithinPartitions("digest")
-    verified = met.mapInArrow(verify_rows, "digest binary, verified_runs long")
+    verified = met.mapInArrow(frugal(verify_rows), "digest binary, verified_runs long")
     settled = cut(groups.drop("reps").join(verified, "digest", "left"), "dedup-settled")
     each = rows.where("run is null").select("doc_id", "digest")
     keep = F.when(F.col("keep_id") != F.lit(int(NO_ID)), F.col("keep_id"))

@@ -35,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import buckets_for, chunks, cut, expand, mix, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.common import buckets_for, chunks, cut, expand, forget, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
 from pairsight.llm.components import components
 from pairsight.llm.substring_dedup import word_hashes
 
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 FREQUENT = 64
 GROUPS = 4
 #: How many of a set's earlier keys are held beside a key, to see that a pair has come from one of them.
@@ -312,13 +312,13 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     """doc_id, n_shingles, component_id: one row for each row of ``docs``; sets link when 100 * shared >= percent * union."""
     parts = shuffle_parts(docs.sparkSession)
     buckets = buckets_for(docs, 4 << 20)
-    sent = texts(docs).mapInArrow(cut_shingles(buckets, width), ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    told = sent.mapInArrow(answer, ROW).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
-    every = cut(told.mapInArrow(build_sets(percent), SET_ROW), "sets")
+    sent = texts(docs).mapInArrow(frugal(cut_shingles(buckets, width)), ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    told = sent.mapInArrow(frugal(answer), ROW).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    every = cut(told.mapInArrow(frugal(build_sets(percent)), SET_ROW), "sets")
     sets = every.where("keys is not null").select("doc_id", "n_shingles", "tokens")
     posted = cut(every.where("keys is not null").select("doc_id", "n_shingles", F.size("tokens").cast("long").alias("shareable"), "low", "high", F.explode("keys").alias("key")), "set-keys")
     ordered = posted.repartitionByRange(parts, F.col("key"), F.xxhash64("key", "doc_id")).sortWithinPartitions("key", F.xxhash64("key", "doc_id"))
-    first = ordered.select("key", "doc_id", "n_shingles", "shareable", "low", "high").mapInArrow(neighbours(percent), "a long, b long").distinct()
+    first = ordered.select("key", "doc_id", "n_shingles", "shareable", "low", "high").mapInArrow(frugal(neighbours(percent)), "a long, b long").distinct()
     links = cut(linked(first, sets, percent), "links-1")
     label = components(links)
     # what is left: candidates in different components; of a key's components the largest is matched by the others' members
@@ -327,7 +327,8 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     main = labelled.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
     hit = F.struct("key", (F.col("comp") != F.col("main")).alias("rest"))
     split = labelled.join(main.select("key", "main"), "key").groupBy("doc_id", "n_shingles", "shareable", "low", "high", "comp").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    split = cut(split.select("doc_id", "n_shingles", "shareable", "low", "high", "comp", F.col("hits.key").alias("keys"), F.col("hits.rest").alias("rests")), "set-split")
+    split = split_table = cut(split.select("doc_id", "n_shingles", "shareable", "low", "high", "comp", F.col("hits.key").alias("keys"), F.col("hits.rest").alias("rests")), "set-split")
+    forget(posted, labelled)
     # a pair comes from the first key that its sets share: at a later one both hold an earlier shared key among those just before
     one = F.transform("keys", lambda key, i: F.struct(key.alias("key"), F.get("rests", i).alias("rest"), F.slice("keys", F.greatest(i - EARLIER, F.lit(0)) + 1, F.least(i, F.lit(EARLIER))).alias("earlier")))
     split = split.select("doc_id", "n_shingles", "shareable", "low", "high", "comp", F.inline(one))
@@ -339,6 +340,7 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     second = rest.join(split, "key").where(near & once).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     more = cut(linked(second, sets, percent), "links-2")
     final = components(links.union(more)) if more.limit(1).count() else label
+    forget(links, more, split_table, *([label] if final is not label else []))
     node = F.coalesce("rep", "doc_id")
     out = every.select("doc_id", "n_shingles", node.alias("at")).join(final, F.col("at") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "at").alias("component_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from pairsight.llm.common import buckets_for, chunks, mix, sliding_min, spread
+from pairsight.llm.common import buckets_for, chunks, frugal, mix, sliding_min, spread
 from pairsight.llm.superkmer import BucketWriter, gather, ranges_equal, spans_of, union_of, verified, with_spans
 
 GRAM = 2
@@ -159,4 +159,4 @@ def repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:
 def without_repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of ``docs``."""
     rows = with_spans(docs, repeated_words(docs, width))
-    return rows.mapInArrow(kept_words, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(frugal(kept_words), "doc_id long, n_words long, n_removed long, kept_sha256 string")

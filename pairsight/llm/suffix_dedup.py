@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairsight.llm.common import buckets_for, chunks, mix, sliding_min, spread
+from pairsight.llm.common import buckets_for, chunks, frugal, mix, sliding_min, spread
 from pairsight.llm.superkmer import SETTLED, BucketWriter, gather, ranges_equal, spans_of, union_of, verified, with_spans
 
 GRAM = 16
@@ -180,4 +180,4 @@ def repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
 def without_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``."""
     rows = with_spans(docs, repeated_bytes(docs, width))
-    return rows.mapInArrow(kept_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(kept_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import expand, mix, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.common import expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
 
 #: The owner of a string that some chunk holds more than once: none, its windows count as repeated.
 SETTLED = np.iinfo(np.int64).min
@@ -202,9 +202,9 @@ def gather(owner: np.ndarray, unit: np.ndarray, head: np.ndarray, width: int) ->
 def spans_of(docs: DataFrame, cutter: Callable, windows_of: Callable, judge: Callable) -> DataFrame:
     """doc_id and the list of its packed spans, for documents that have any."""
     parts = shuffle_parts(docs.sparkSession)
-    sent = texts(docs).where("doc_id is not null").mapInArrow(cutter, PARTS_SCHEMA)
+    sent = texts(docs).where("doc_id is not null").mapInArrow(frugal(cutter), PARTS_SCHEMA)
     met = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(settle(windows_of, judge), SPANS_SCHEMA).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    return met.mapInArrow(frugal(settle(windows_of, judge)), SPANS_SCHEMA).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairsight.llm.common import chunks, texts
+from pairsight.llm.common import chunks, frugal, texts
 
 CHUNK = 4 << 20
 KNOWN = 200_000
@@ -120,4 +120,4 @@ def counter(shared, name: int):
 def token_counts(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown: one row for each row of ``docs``; no shuffle. The vocabulary's size bounds the broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    return texts(docs).mapInArrow(counter(shared, hash(tuple(pieces))), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return texts(docs).mapInArrow(frugal(counter(shared, hash(tuple(pieces)))), "doc_id long, n_words long, n_tokens long, n_unknown long")

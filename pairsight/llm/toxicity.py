@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import chunks, texts
+from pairsight.llm.common import chunks, frugal, texts
 
 #: The most labelled rows that are learned from.
 SAMPLE = 8000
@@ -237,13 +237,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         flat[0] = math.log(max(base, 1e-3) / max(1 - base, 1e-3))
         rows.unpersist()
         return [], flat
-    terms = rows.mapInArrow(count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
+    terms = rows.mapInArrow(frugal(count_terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
     tried = terms.where(F.col("toxic") + F.col("clean") >= LEAST_TOXIC).count()  # the others can't be taken whatever their labels
     strong = terms.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(20 * TERMS)
     found = [(r["term"], r["toxic"], r["clean"]) for r in strong.collect()]
     terms.unpersist()
     lexicon = prefer_words(found, choose_terms(found, tried, base))
-    got = [(r["direct"], r["misspelt"], r["quoted"], r["toxic"]) for r in rows.mapInArrow(count_hits(lexicon, ["toxic"]), "doc_id long, toxic int, direct int, misspelt int, quoted int").collect()]
+    got = [(r["direct"], r["misspelt"], r["quoted"], r["toxic"]) for r in rows.mapInArrow(frugal(count_hits(lexicon, ["toxic"])), "doc_id long, toxic int, direct int, misspelt int, quoted int").collect()]
     rows.unpersist()
     data = np.array(got, float)
     return lexicon, fit(data[:, :3], data[:, 3])
@@ -270,7 +270,7 @@ def count_hits(lexicon: list[str], more: list[str]):
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, direct, misspelt, quoted: one row for each row of ``docs``."""
     lexicon, w = learn(docs, labels, sample)
-    hits = texts(docs).mapInArrow(count_hits(lexicon, []), "doc_id long, direct int, misspelt int, quoted int")
+    hits = texts(docs).mapInArrow(frugal(count_hits(lexicon, [])), "doc_id long, direct int, misspelt int, quoted int")
     x = [F.log1p(F.col(c).cast("double")) for c in ("direct", "misspelt", "quoted")] + [(F.col(c) > 0).cast("double") for c in ("direct", "misspelt", "quoted")]
     total = F.lit(float(w[0]))
     for value, weight in zip(x, w[1:]):
