@@ -142,8 +142,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeeze(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def expand(blob: bytes) -> bytes:

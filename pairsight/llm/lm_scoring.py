@@ -1,53 +1,62 @@
-"""Code lengths by prediction by partial matching, with a trie that no one task holds whole.
-
-A text is lower-cased (A-Z) and read as words, each followed by an end-of-word byte, and
-one end symbol. The context of a byte is, first, the word's beginning up to it (three
-bytes or more: a node of the byte trie), then the two bytes before it, one, none, and last
-the even distribution over bytes. Symbols of a context that was escaped from are excluded
-below it. Escapes of the trie's nodes are estimated from the training words by leaving one
-out: each occurrence, taken out of its node, either finds its symbol among the others or
-would have escaped; the shares are kept by the node's total, its number of symbols and its
-depth, and a symbol with count n of total T then has the share (1 - escape) n / T. Short
-contexts with total T and D symbols give n / (T + D) and the escape D / (T + D).
-
-Contexts of two bytes, and the first two bytes of words, are at most 2**25 counts and are
-broadcast. The trie is dealt by the first three bytes of words: words of a chunk go, once
-each, to the shard that holds their part of the trie, with their training counts; the
-shard adds counts, walks its trie and sends back one code length a word. So what is
-gathered grows with the vocabulary of the corpus, and memory is that of a shard.
+"""Code lengths by prediction by partial matching over a byte-context trie that no one task holds whole.
+
+A text is lower-cased (A-Z) and read as its words, each followed by one blank, and an end
+symbol. Contexts are the bytes before a byte, across words, back to the text's beginning:
+``ORDERS`` of them, then two, one, none, and last the even distribution over bytes. A
+symbol that the longest context does not know costs that context's escape, and the
+symbols that it knows are excluded below it. Escapes of the long contexts are estimated
+from the training texts by leaving one out: each occurrence, taken out of its context,
+either finds its symbol among the others or would have escaped; the shares are kept by the
+context's order, total and number of symbols (``cell``), and a symbol with count n of total
+T then has the share (1 - escape) n / T. Contexts of two bytes and fewer with total T and D
+symbols give n / (T + D) and the escape D / (T + D). The model is pretrained: a training
+text is scored by counts that hold it.
+
+The trie is dealt by the last ``ORDERS[-1]`` bytes of contexts, so that a shard holds all
+longer contexts below them. A chunk of texts sends each different string of
+``ORDERS[0]`` + 1 bytes once, with its training count; the shard adds counts and answers
+with one log for each string and chunk. First, one job over the training strings learns
+escapes and the counts of two-byte contexts (2**24 at most, whatever the corpus); then
+another scores. What is gathered grows with the different strings of the corpus. A shard
+holds its strings' counts merged, and its chunks' parts compressed; contexts that end in
+the same ``ORDERS[-1]`` bytes can't be split further.
+
+Counts of words, for the base, go the same way by 64-bit hashes of words.
 
 Defined results: null and empty texts are the end symbol alone; a row without doc_id is
-learned from; rows that repeat a doc_id are texts of their own; words may be of any length;
-without training rows every count is 0 and bytes are evenly distributed; an empty table
-gives no rows; columns other than doc_id and text are not read.
+learned from; rows that repeat a doc_id are texts of their own; words and texts may be of
+any length; without training rows every count is 0 and bytes are evenly distributed; an
+empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import buckets_for, cut, expand, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.common import buckets_for, expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.ngram_join import joined, planes
+from pairsight.llm.substring_dedup import word_hashes
 
 END, BLANK = 10, 32
-HEAD = 3
-#: Marks counts after the first two bytes of words.
-HEADS = 1 << 24
-#: Depths from which escapes are estimated apart.
-DEPTHS = (0, 5, 9)
-CHUNK = 6 << 20
-WORDS, DOCS, ANSWER = 0, 1, 2
+#: Lengths of the contexts that shards hold, longest first; at most seven bytes.
+ORDERS = (6, 4, 3)
+#: The context's bytes of a key: its highest, the last byte before the symbol first; the symbol is the lowest byte.
+CONTEXT = np.uint64((1 << 64) - (1 << 8 * (8 - ORDERS[0])))
+CELLS = 1024
+CHUNK = 2 << 20
+GRAMS, WORDS, DOCS, LOGS, FOUND = 0, 1, 2, 3, 4
 ROW = "shard int, chunk long, kind int, part binary"
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+LEARNED = "what int, key long, a long, b long"
+ESCAPE, SHORT, VOCABULARY = 0, 1, 2
 
 
 def train_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bool], list[list[bytes]]]]:
@@ -66,87 +75,153 @@ def train_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
         yield ids, held, split
 
 
-def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = starts_of(k)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+def gram_keys(text: bytes, size: np.ndarray) -> np.ndarray:
+    """For each byte of texts of these sizes: its context and itself as one number; END stands before a text's beginning."""
+    first = np.cumsum(size + 8) - size
+    padded = np.full(int((size + 8).sum()), END, np.uint8)
+    at = spread(first, size)
+    padded[at] = np.frombuffer(text, np.uint8)
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    return (eights[at - 8] & CONTEXT) | padded[at]
 
 
-def stream_contexts(stream: np.ndarray) -> np.ndarray:
-    """For each byte: two bytes of context and itself as one number; contexts begin anew after a blank or an end."""
-    before = np.concatenate(([BLANK], stream[:-1])).astype(np.uint32)
-    before[before == END] = BLANK
-    further = np.concatenate(([BLANK], before[:-1])).astype(np.uint32)
-    further[before == BLANK] = BLANK
-    return further << 16 | before << 8 | stream
+def counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and how often each is among the trained ones."""
+    every = np.unique(keys)
+    mine, n = np.unique(keys[trained], return_counts=True)
+    counts = np.zeros(len(every), np.uint32)
+    counts[np.searchsorted(every, mine)] = n
+    return every, counts
 
 
-def head_contexts(stream: np.ndarray) -> np.ndarray:
-    """The third symbol of each word of two bytes or more, after the first two; marked by HEADS."""
-    begin = np.flatnonzero((np.concatenate(([BLANK], stream[:-1])) == BLANK) | (np.concatenate(([BLANK], stream[:-1])) == END))
-    begin = begin[begin + 2 < len(stream)].astype(np.int64)
-    a, b, c = (stream[begin + k].astype(np.uint32) for k in range(3))
-    ok = (a != END) & (a != BLANK) & (b != BLANK)
-    return (a << 16 | b << 8 | c)[ok] | np.uint32(HEADS)
+def dealt_order(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk's sorted keys travel, and their shards in it; the same whenever it is asked."""
+    own = keys >> np.uint64(64 - 8 * ORDERS[-1]) if kind == GRAMS else keys
+    shard = (mix(own + np.uint64(kind)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order]
 
 
-def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for _, held, split in train_chunks(batches, CHUNK // 3):
-        text = b"".join(b" ".join(words) + b" \n" if words else b"\n" for out, words in zip(held, split) if not out)
-        if text:
-            stream = np.frombuffer(text, np.uint8)
-            k, c = np.unique(np.concatenate([stream_contexts(stream), head_contexts(stream)]), return_counts=True)
-            keys, counts = merge_counts([keys, k], [counts, c])
-    for at in range(0, len(keys), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000].astype(np.int32)), pa.array(counts[at : at + 50_000])], names=["key", "n"])
+def as_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "chunk", "kind", "part"])
+
+
+def parts_of(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[int, int, int, bytes]]:
+    order, shard = dealt_order(kind, keys, shards)
+    keys, counts = keys[order], counts[order]
+    first = starts_of(shard)
+    return [
+        (int(shard[lo]), chunk, kind, squeeze(np.int64(hi - lo).tobytes() + planes(np.diff(keys[lo:hi], prepend=np.uint64(0))) + planes(counts[lo:hi])))
+        for lo, hi in zip(first, [*first[1:], len(keys)])
+    ]
+
+
+def send(shards: int, score: bool):
+    """A chunk's strings and words with their training counts; to ``score``, those of held-out texts as well, and the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (ids, held, split) in enumerate(train_chunks(batches, CHUNK)):
+            chunk = TaskContext.get().partitionId() << 32 | k
+            if not score:
+                split = [words for words, out in zip(split, held) if not out]
+                ids, held = ids[: len(split)], [False] * len(split)
+            bodies = [b" ".join(words) + b" \n" if words else b"\n" for words in split]
+            size, n = np.fromiter(map(len, bodies), np.int64, len(split)), np.fromiter(map(len, split), np.int64, len(split))
+            trained, text = ~np.array(held, bool), b"".join(bodies)
+            rows = parts_of(chunk, GRAMS, *counted(gram_keys(text, size), np.repeat(trained, size)), shards)
+            rows += parts_of(chunk, WORDS, *counted(word_hashes(list(itertools.chain.from_iterable(split))), np.repeat(trained, n)), shards)
+            if score:
+                none = np.array([d is None for d in ids], bool)
+                known = np.array([0 if d is None else d for d in ids], np.int64)
+                head = np.int64(len(ids)).tobytes() + known.tobytes() + size.tobytes() + n.tobytes() + none.tobytes() + (~trained).tobytes()
+                rows.append((chunk % shards, chunk, DOCS, squeeze(head + text)))
+            del bodies, text
+            for x in range(0, len(rows), 300):
+                yield as_batch(rows[x : x + 300])
+
+    return work
+
+
+def unpacked(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = expand(part)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.cumsum(joined(raw[8:], "<u8", n)), joined(raw[8 + 8 * n :], "<u4", n).astype(np.int64)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, with their counts added."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = starts_of(keys)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def looked_up(keys: np.ndarray, counts: np.ndarray, pair: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(pair), np.int64)
-    key = (pair.astype(np.int64) << 8 | symbol).astype(np.uint32)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, counts[at], 0)
+def by_shard(use):
+    """``use`` gets the merged keys and counts of one (shard, kind) after another, and its chunks' parts; other rows pass."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        held: list[tuple[int, bytes]] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            yield from use(*at, *added(parts), held)
 
+        for batch in batches:
+            for shard, chunk, kind, part in zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "kind", "part"))):
+                if kind == DOCS:
+                    yield as_batch([(shard, chunk, kind, part)])
+                    continue
+                if held and (shard, kind) != at:
+                    yield from done()
+                    held, parts, fresh = [], [], 0
+                at = shard, kind
+                held.append((chunk, part))
+                parts.append(unpacked(part))
+                fresh += len(parts[-1][0])
+                if fresh > 1 << 20 and fresh > len(parts[0][0]):
+                    parts, fresh = [added(parts)], 0
+        if held:
+            yield from done()
+
+    return work
 
-def bucket(total: np.ndarray, kinds: np.ndarray, depth) -> np.ndarray:
-    """The cell of the escape table for nodes with this total (from 1), number of symbols and depth."""
+
+def cell(total: np.ndarray, kinds: np.ndarray, level) -> np.ndarray:
+    """The cell of the escape table for contexts with this total (from 1) and number of symbols."""
     total, kinds = np.maximum(total, 1), np.maximum(kinds, 1)
     t = np.where(total < 5, total, 3 + np.log2(total).astype(np.int64))
     d = np.where(kinds < 4, kinds, 2 + np.log2(kinds).astype(np.int64))
-    return (np.searchsorted(DEPTHS, depth, "right") - 1) * 1024 + np.minimum(t, 63) * 16 + np.minimum(d, 15)
+    return level * CELLS + np.minimum(t, 63) * 16 + np.minimum(d, 15)
 
 
 class Escapes:
     """Escapes and hits when one occurrence is left out, by cell."""
 
     def __init__(self, counts: np.ndarray | None = None):
-        self.counts = np.zeros((2, 1024 * len(DEPTHS))) if counts is None else counts
+        self.counts = np.zeros((2, CELLS * len(ORDERS))) if counts is None else counts
 
-    def see(self, n: np.ndarray, total: np.ndarray, kinds: np.ndarray, depth) -> None:
-        """Symbols (n > 0) of nodes."""
+    def see(self, n: np.ndarray, total: np.ndarray, kinds: np.ndarray, level: int) -> None:
+        """Symbols (n > 0) of contexts."""
         once, more = (n == 1) & (total > 1), n > 1
-        depth = np.broadcast_to(depth, n.shape)
-        np.add.at(self.counts[0], bucket(total[once] - 1, kinds[once] - 1, depth[once]), 1)
-        np.add.at(self.counts[1], bucket(total[more] - 1, kinds[more], depth[more]), n[more])
+        size = self.counts.shape[1]
+        self.counts[0] += np.bincount(cell(total[once] - 1, kinds[once] - 1, level), minlength=size)
+        self.counts[1] += np.bincount(cell(total[more] - 1, kinds[more], level), weights=n[more], minlength=size)
 
-    def share(self, total: np.ndarray, kinds: np.ndarray, depth) -> np.ndarray:
-        at = bucket(total, kinds, depth)
+    def share(self, total: np.ndarray, kinds: np.ndarray, level: int) -> np.ndarray:
+        """1 for a context without symbols."""
+        at = cell(total, kinds, level)
         prior = kinds / np.maximum(total + kinds, 1)  # weighs as much as four occurrences
-        return (self.counts[0][at] + 4 * prior) / (self.counts.sum(axis=0)[at] + 4)
+        return np.where(total > 0, (self.counts[0][at] + 4 * prior) / (self.counts.sum(axis=0)[at] + 4), 1.0)
 
 
 class Short:
     """Contexts of two bytes and fewer, with what is left of each level under exclusion."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        heads = keys >= HEADS
-        order = np.argsort(keys[heads])
-        self.head_keys, self.nh = (keys[heads] - np.uint32(HEADS))[order], counts[heads][order].astype(np.int64)
-        keys, counts = keys[~heads], counts[~heads]
         order = np.argsort(keys)
         self.keys, self.n2 = keys[order].astype(np.uint32), counts[order].astype(np.int64)
         pair, last = (self.keys >> np.uint32(8)).astype(np.int64), (self.keys & np.uint32(0xFFFF)).astype(np.int64)
@@ -161,13 +236,13 @@ class Short:
         self.d0 = (self.n0 > 0).sum() - (table > 0).sum(axis=1)
         self.rest = 256 - int((self.n0 > 0).sum())
         self.tokens = int(self.n0[BLANK] + self.n0[END])
-        pair = (self.head_keys >> np.uint32(8)).astype(np.int64)
-        self.th = np.bincount(pair, weights=self.nh, minlength=1 << 16).astype(np.int64)
-        self.dh = np.bincount(pair, minlength=1 << 16)
-        self.t2h = self.t2 - np.bincount(pair, weights=self.count2(pair, self.head_keys & np.uint32(255)), minlength=1 << 16).astype(np.int64)
 
     def count2(self, pair: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return looked_up(self.keys, self.n2, pair, symbol)
+        if not len(self.keys):
+            return np.zeros(len(pair), np.int64)
+        key = (pair.astype(np.int64) << 8 | symbol).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.n2[at], 0)
 
     def log(self, pair: np.ndarray, symbol: np.ndarray, t2: np.ndarray, d2: np.ndarray) -> np.ndarray:
         """log10 of the share of ``symbol`` after two bytes, where t2 and d2 are what exclusion leaves of their context."""
@@ -186,212 +261,128 @@ class Short:
         out[open_] -= math.log10(max(self.rest, 1))
         return out
 
-    def plain(self, pair: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return self.log(pair, symbol, self.t2[pair], self.d2[pair])
-
-
-def word_logs(words: list[bytes], counts: np.ndarray, short: Short, escapes: Escapes, learn: bool = False) -> np.ndarray:
-    """log10 of each word with its end-of-word byte. ``words``: different, sorted, all of a shard; counts: in training.
 
-    With ``learn``, the nodes' occurrences go into ``escapes`` and no code lengths are computed.
-    """
-    out = np.zeros(len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    start = np.cumsum(size + 1) - size - 1
-
-    def pair_at(at: np.ndarray, depth) -> np.ndarray:
-        one = np.where(depth > 0, data[at + depth - 1], BLANK)
-        two = np.where(depth > 1, data[at + np.maximum(depth - 2, 0)], BLANK)
-        return two << 8 | one
-
-    for depth in range(0 if learn else HEAD):
-        on = np.flatnonzero(size >= depth)
-        pair, symbol = pair_at(start[on], np.full(len(on), depth)), data[start[on] + depth]
-        if depth < 2:
-            out[on] += short.plain(pair, symbol)
-            continue
-        n, total, kinds = looked_up(short.head_keys, short.nh, pair, symbol), short.th[pair], short.dh[pair]
-        escape = np.where(total > 0, escapes.share(total, kinds, depth), 1.0)
-        hit = n > 0
-        out[on[hit]] += np.log10((1 - escape[hit]) * n[hit] / total[hit])
-        miss = ~hit
-        out[on[miss]] += np.log10(escape[miss]) + short.log(pair[miss], symbol[miss], short.t2h[pair[miss]], short.d2[pair[miss]] - kinds[miss])
-    on = np.flatnonzero(size >= HEAD)
-    if not len(on):
-        return out
-    head = data[start[on]] << 16 | data[start[on] + 1] << 8 | data[start[on] + 2]
-    new = np.ones(len(on), bool)
-    new[1:] = head[1:] != head[:-1]
-    depth = HEAD
-    while len(on):
-        symbol, pair = data[start[on] + depth], pair_at(start[on], np.full(len(on), depth))
-        run = new.copy()
-        run[1:] |= symbol[1:] != symbol[:-1]
-        first = np.flatnonzero(run)
-        length = np.diff(np.append(first, len(on)))
-        n = np.add.reduceat(counts[on], first)
-        group = np.cumsum(new)[first] - 1
-        s, p = symbol[first], pair[first]
-        total = np.bincount(group, weights=n).astype(np.int64)[group]
-        kinds = np.bincount(group, weights=n > 0).astype(np.int64)[group]
-        hit, miss = n > 0, n == 0
-        going = s != BLANK
-        lone = on[first[going & (length == 1)]]  # alone below here: its own child each time, or nothing in the trie
-        seen = lone[counts[lone] > 0]
-        if learn:
-            escapes.see(n[hit], total[hit], kinds[hit], depth)
-        else:
-            known = np.where(hit, short.count2(p, s), 0)
-            t2 = short.t2[p] - np.bincount(group, weights=known).astype(np.int64)[group]
-            d2 = short.d2[p] - kinds
-            escape = np.where(total > 0, escapes.share(total, kinds, depth), 1.0)
-            value = np.zeros(len(first))
-            value[hit] = np.log10((1 - escape[hit]) * n[hit] / total[hit])
-            value[miss] = np.log10(escape[miss]) + short.log(p[miss], s[miss], t2[miss], d2[miss])
-            out[on] += np.repeat(value, length)
-            fresh = lone[counts[lone] == 0]
-            left = size[fresh] - depth
-            if len(fresh):
-                at = np.repeat(start[fresh], left)
-                place = spread(np.full(len(fresh), depth + 1), left)
-                logs = short.plain(pair_at(at, place), data[at + place])
-                out[fresh] += np.bincount(np.repeat(np.arange(len(fresh)), left), weights=logs, minlength=len(fresh))
-        for low, high in zip(DEPTHS, [*DEPTHS[1:], 1 << 60]):
-            steps = np.maximum(np.minimum(size[seen], high - 1) - np.maximum(depth + 1, low) + 1, 0)
-            if learn:
-                many = counts[seen] > 1
-                np.add.at(escapes.counts[1], bucket(counts[seen][many] - 1, np.ones(many.sum(), np.int64), low), counts[seen][many] * steps[many])
-            else:
-                out[seen] += steps * np.log10(1 - escapes.share(counts[seen], np.ones(len(seen), np.int64), low))
-        keep = np.repeat(going & (length > 1), length)
-        new, on = run[keep], on[keep]
-        depth += 1
+class Level:
+    """Contexts of one order over a shard's strings, which are sorted."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+        own = keys if order == ORDERS[0] else (keys >> np.uint64(64 - 8 * order) << np.uint64(8)) | (keys & np.uint64(255))
+        rank = np.argsort(own, kind="stable")
+        first = starts_of(own[rank])
+        #: The entry (context and symbol) of each string, and a string of each entry.
+        self.entry = np.empty(len(keys), np.int64)
+        self.entry[rank] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        self.one = rank[first]
+        self.n = np.add.reduceat(counts[rank], first) if len(first) else np.zeros(0, np.int64)
+        context = own[self.one] >> np.uint64(8 if order != ORDERS[0] else 64 - 8 * order)
+        lead = starts_of(context)
+        #: The context of each entry, its total and its number of symbols.
+        self.context = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(context))))
+        self.total = np.bincount(self.context, weights=self.n).astype(np.int64)
+        self.kinds = np.bincount(self.context, weights=self.n > 0).astype(np.int64)
+
+    def per_string(self, of_context: np.ndarray) -> np.ndarray:
+        return of_context[self.context[self.entry]]
+
+
+def two_bytes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last two bytes of contexts, the further one first, and the symbols."""
+    return (((keys >> np.uint64(48)) & np.uint64(255)) << np.uint64(8) | keys >> np.uint64(56)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
+
+
+def string_logs(keys: np.ndarray, counts: np.ndarray, short: Short, escapes: Escapes) -> np.ndarray:
+    """log10 of the last byte's share after the others, for a shard's different strings."""
+    out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+    above = None
+    for k, order in enumerate(ORDERS):
+        level = Level(keys, counts, order)
+        n, total, kinds = level.n[level.entry], level.per_string(level.total), level.per_string(level.kinds)
+        if above is not None:  # without the symbols that the longer context knows
+            known = np.where(above.n > 0, n[above.one], 0)
+            total = total - above.per_string(np.bincount(above.context, weights=known).astype(np.int64))
+            kinds = kinds - above.per_string(above.kinds)
+        escape = escapes.share(total, kinds, k)
+        hit = open_ & (n > 0)
+        out[hit] += np.log10((1 - escape[hit]) * n[hit] / total[hit])
+        open_ &= n == 0
+        out[open_] += np.log10(escape[open_])
+        above = level
+    pair, symbol = two_bytes(keys)
+    known = np.where(above.n > 0, short.count2(pair[above.one], symbol[above.one]), 0)
+    gone = above.per_string(np.bincount(above.context, weights=known).astype(np.int64))
+    left = np.flatnonzero(open_)
+    pair, symbol = pair[left], symbol[left]
+    out[left] += short.log(pair, symbol, short.t2[pair] - gone[left], short.d2[pair] - above.per_string(above.kinds)[left])
     return out
 
 
-def shard_of(word: bytes, shards: int) -> int:
-    return xxhash.xxh32_intdigest(word[:HEAD]) % shards
-
-
-def as_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "chunk", "kind", "part"])
-
-
-def send_words(shards: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (ids, held, split) in enumerate(train_chunks(batches, CHUNK)):
-            chunk = TaskContext.get().partitionId() << 32 | k
-            n = np.fromiter(map(len, split), np.int64, len(split))
-            number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-            at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n.sum()))
-            words = list(number)
-            shard = np.fromiter((shard_of(w, shards) for w in words), np.int64, len(words))
-            order = np.argsort(shard, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            at = place[at]
-            counts = np.bincount(at[np.repeat(~np.array(held, bool), n)], minlength=len(words))
-            shard = shard[order]
-            first = starts_of(shard)
-            rows = []
-            for lo, hi in zip(first, [*first[1:], len(words)]):
-                body = b" ".join(words[i] for i in order[lo:hi])
-                rows.append((int(shard[lo]), chunk, WORDS, squeeze(np.int64(hi - lo).tobytes() + counts[lo:hi].astype(np.int64).tobytes() + body)))
-            none = np.array([d is None for d in ids], bool)
-            known = np.array([0 if d is None else d for d in ids], np.int64)
-            wide = np.uint32(0) if len(words) >= 1 << 16 else np.uint16(0)
-            head = np.array([len(ids), wide.itemsize], np.int64).tobytes() + known.tobytes() + none.tobytes() + np.array(held, bool).tobytes() + n.tobytes()
-            rows.append((chunk % shards, chunk, DOCS, squeeze(head + at.astype(wide.dtype).tobytes())))
-            for x in range(0, len(rows), 300):
-                yield as_batch(rows[x : x + 300])
-
-    return work
-
-
-def by_shard(use):
-    """``use`` gets one shard after another: its number, and each chunk's (chunk, words, counts)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        held: list[tuple[int, list[bytes], np.ndarray]] = []
-        for batch in batches:
-            for shard, chunk, part in zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "part"))):
-                if held and shard != at:
-                    yield from use(at, held)
-                    held = []
-                at = shard
-                raw = expand(part)
-                n = int(np.frombuffer(raw, np.int64, 1)[0])
-                held.append((chunk, raw[8 + 8 * n :].split(b" "), np.frombuffer(raw, np.int64, n, 8)))
-        if held:
-            yield from use(at, held)
-
-    return work
-
-
-def added(held: list[tuple[int, list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
-    """The shard's words, sorted, and their training counts."""
-    total: dict[bytes, int] = defaultdict(int)
-    for _, words, counts in held:
-        for word, n in zip(words, counts.tolist()):
-            total[word] += n
-    words = sorted(total)
-    return words, np.fromiter(map(total.__getitem__, words), np.int64, len(words))
-
-
-def learn_escapes(shard: int, held: list) -> Iterator[pa.RecordBatch]:
-    """The shard's number of training words, and its escapes and hits, by cell."""
-    words, counts = added(held)
-    escapes = Escapes()
-    word_logs(words, counts, None, escapes, learn=True)
-    cells = np.flatnonzero(escapes.counts.sum(axis=0))
-    columns = [np.append(cells, -1), np.append(escapes.counts[0][cells], (counts > 0).sum()), np.append(escapes.counts[1][cells], 0)]
-    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["cell", "escapes", "hits"])
-
-
-def score_words(shared):
-    """Walks the trie; answers each chunk in the order of its words."""
-
-    def use(shard: int, held: list) -> Iterator[pa.RecordBatch]:
-        keys, n, escape_counts = shared.value
-        words, counts = added(held)
-        logs = word_logs(words, counts, Short(keys, n), Escapes(escape_counts))
-        number = dict(zip(words, range(len(words))))
+def learn(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, held: list) -> Iterator[pa.RecordBatch]:
+    """A shard's escapes and hits by cell, its counts of two-byte contexts, and its number of training words."""
+    if kind == WORDS:
+        columns = [[VOCABULARY], [0], [len(keys)], [0]]
+    else:
+        escapes = Escapes()
+        for k, order in enumerate(ORDERS):
+            level = Level(keys, counts, order)
+            escapes.see(level.n, level.total[level.context], level.kinds[level.context], k)
+        cells = np.flatnonzero(escapes.counts.sum(axis=0))
+        pair, symbol = two_bytes(keys)
+        place, at = np.unique(pair << 8 | symbol, return_inverse=True)
+        n = np.bincount(at, weights=counts).astype(np.int64)
+        columns = [np.repeat([ESCAPE, SHORT], [len(cells), len(place)]), np.append(cells, place), np.append(escapes.counts[0][cells].astype(np.int64), n), np.append(escapes.counts[1][cells].astype(np.int64), np.zeros_like(n))]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["what", "key", "a", "b"])
+
+
+def answer(shared):
+    """Tells each chunk the logs of its strings and the counts of its words, in the order in which it sent them."""
+
+    def use(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, held: list) -> Iterator[pa.RecordBatch]:
+        if kind == GRAMS:
+            short_keys, n, escape_counts = shared.value
+            told = string_logs(keys, counts, Short(short_keys, n), Escapes(escape_counts)).astype(np.float32)
+        else:
+            told = counts
         for k in range(0, len(held), 50):
-            rows = []
-            for chunk, own, _ in held[k : k + 50]:
-                place = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-                rows.append((shard, chunk, ANSWER, squeeze(counts[place].tobytes() + logs[place].tobytes())))
-            yield as_batch(rows)
+            yield as_batch([(shard, chunk, LOGS if kind == GRAMS else FOUND, squeeze(planes(told[np.searchsorted(keys, unpacked(part)[0])]))) for chunk, part in held[k : k + 50]])
 
     return by_shard(use)
 
 
-def score_texts(tokens: int, vocabulary: int, end_count: int, end_log: float):
-    """One chunk after another; its answers come in the order of shards."""
+def told_of(parts: list[bytes], dtype: str, keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
+    """What the shards, in their order, say of a chunk's different keys."""
+    size = np.dtype(dtype).itemsize
+    got = [joined(raw, dtype, len(raw) // size) for raw in map(expand, parts)]
+    out = np.empty(len(keys), dtype)
+    out[dealt_order(kind, keys, shards)[0]] = np.concatenate([*got, np.zeros(0, dtype)])
+    return out
+
+
+def score_texts(shards: int, tokens: int, vocabulary: int, end_count: int):
+    """One chunk after another; its rows come by kind, then in the order of shards."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, docs = None, b""
-        counts: list[np.ndarray] = []
-        logs: list[np.ndarray] = []
+        logs: list[bytes] = []
+        counts: list[bytes] = []
 
         def done() -> pa.RecordBatch:
-            n_docs, wide = np.frombuffer(docs, np.int64, 2).tolist()
-            known = np.frombuffer(docs, np.int64, n_docs, 16)
-            none = np.frombuffer(docs, bool, n_docs, 16 + 8 * n_docs)
-            held = np.frombuffer(docs, bool, n_docs, 16 + 9 * n_docs)
-            n = np.frombuffer(docs, np.int64, n_docs, 16 + 10 * n_docs)
-            place = np.frombuffer(docs, f"<u{wide}", -1, 16 + 18 * n_docs)
-            c = np.concatenate([*counts, np.zeros(0, np.int64)])
-            lp = np.concatenate([*logs, np.zeros(0)])
+            raw = expand(docs)
+            n_docs = int(np.frombuffer(raw, np.int64, 1)[0])
+            known, size, n = np.frombuffer(raw, np.int64, 3 * n_docs, 8).reshape(3, n_docs)
+            none, held = np.frombuffer(raw, bool, 2 * n_docs, 8 + 24 * n_docs).reshape(2, n_docs)
+            text = raw[8 + 26 * n_docs :]
+            keys = gram_keys(text, size)
+            every = np.unique(keys)
+            each = told_of(logs, "<f4", every, GRAMS, shards).astype(float)[np.searchsorted(every, keys)]
+            score = np.add.reduceat(each, np.cumsum(size) - size)
+            keys = word_hashes(text.split())
+            every = np.unique(keys)
+            c = told_of(counts, "<i8", every, WORDS, shards)[np.searchsorted(every, keys)]
             doc = np.repeat(np.arange(n_docs), n)
-            add = lambda x: np.bincount(doc, weights=x[place], minlength=n_docs)
-            base = add(np.log10(c + 1.0)) + math.log10(end_count + 1) - (n + 1) * math.log10(tokens + vocabulary + 1)
-            n_known = add((c > 0).astype(float)).astype(np.int64) + (end_count > 0)
+            base = np.bincount(doc, weights=np.log10(c + 1.0), minlength=n_docs) + math.log10(end_count + 1) - (n + 1) * math.log10(tokens + vocabulary + 1)
+            n_known = np.bincount(doc, weights=c > 0, minlength=n_docs).astype(np.int64) + (end_count > 0)
             return pa.RecordBatch.from_arrays(
-                [pa.array(known, pa.int64(), mask=none), pa.array(held), pa.array(n + 1), pa.array(n_known), pa.array(np.full(n_docs, tokens, np.int64)), pa.array(base), pa.array(add(lp) + end_log)],
+                [pa.array(known, pa.int64(), mask=none), pa.array(held), pa.array(n + 1), pa.array(n_known), pa.array(np.full(n_docs, tokens, np.int64)), pa.array(base), pa.array(score)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
@@ -399,15 +390,12 @@ def score_texts(tokens: int, vocabulary: int, end_count: int, end_log: float):
             for chunk, kind, part in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "part"))):
                 if at is not None and chunk != at:
                     yield done()
-                    counts, logs = [], []
+                    logs, counts = [], []
                 at = chunk
-                raw = expand(part)
                 if kind == DOCS:
-                    docs = raw
+                    docs = part
                 else:
-                    half = len(raw) // 2
-                    counts.append(np.frombuffer(raw[:half], np.int64))
-                    logs.append(np.frombuffer(raw[half:], np.float64))
+                    (logs if kind == LOGS else counts).append(part)
         if at is not None:
             yield done()
 
@@ -421,25 +409,22 @@ def code_lengths(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFr
     """
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False)).alias("held_out")
-    body = texts(docs, out)
-    found = body.mapInArrow(count_contexts, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # 2**24 rows at most
-    keys, counts = found["key"].to_numpy(np.int64).astype(np.uint32), found["n"].to_numpy(np.int64)
+    body, parts, shards = texts(docs, out), shuffle_parts(spark), buckets_for(docs, 8 << 20)
+
+    def dealt(score: bool) -> DataFrame:
+        return body.mapInArrow(frugal(send(shards, score)), ROW).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+
+    # cells, contexts of two bytes and one number: 2**24 + 3 * CELLS + 1 rows at most
+    found = dealt(False).mapInArrow(frugal(by_shard(learn)), LEARNED).groupBy("what", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    escapes = Escapes()
+    cells = found[found["what"] == ESCAPE]
+    escapes.counts[:, cells["key"].to_numpy(np.int64)] = cells[["a", "b"]].to_numpy(float).T
+    pairs = found[found["what"] == SHORT]
+    keys, counts = pairs["key"].to_numpy(np.int64), pairs["a"].to_numpy(np.int64)
+    vocabulary = int(found[found["what"] == VOCABULARY]["a"].sum())
     short = Short(keys, counts)
-    parts = shuffle_parts(spark)
-    sent = cut(body.mapInArrow(send_words(buckets_for(docs, 4 << 20)), ROW), "lm-words")
-    words = sent.where(F.col("kind") == WORDS).select("shard", "chunk", "part")
-    dealt = words.repartition(parts, "shard").sortWithinPartitions("shard")
-    # a few thousand cells at most, and the number of words
-    cells = dealt.mapInArrow(by_shard(learn_escapes), "cell long, escapes long, hits long").groupBy("cell").agg(F.sum("escapes").alias("escapes"), F.sum("hits").alias("hits")).toPandas()
-    escapes, vocabulary = Escapes(), 0
-    for cell, lost, hits in cells.itertuples(index=False):
-        if cell < 0:
-            vocabulary = int(lost)
-        else:
-            escapes.counts[:, cell] = lost, hits
     end = int(short.n0[END])
-    end_log = float(short.plain(np.array([BLANK << 8 | BLANK]), np.array([END]))[0])
     shared = spark.sparkContext.broadcast((keys, counts, escapes.counts))
-    answers = dealt.mapInArrow(score_words(shared), ROW)
-    by_chunk = sent.where(F.col("kind") == DOCS).union(answers).repartition(parts, "chunk").sortWithinPartitions("chunk", "shard", "kind")
-    return by_chunk.select("chunk", "kind", "part").mapInArrow(score_texts(short.tokens, vocabulary + (end > 0), end, end_log), COLUMNS)
+    answers = dealt(True).mapInArrow(frugal(answer(shared)), ROW)
+    by_chunk = answers.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "shard")
+    return by_chunk.select("chunk", "kind", "part").mapInArrow(frugal(score_texts(shards, short.tokens, vocabulary + (end > 0), end)), COLUMNS)

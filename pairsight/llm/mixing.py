@@ -6,10 +6,13 @@ which is water-filling with one level. Rates: within a source, documents get rat
 ``cap / (1 + exp(-lambda * size / mean))``, the least change in bounded entropy that meets
 the source's token constraint; lambda solves the convex dual by Newton steps that are
 kept inside a bracket. One step is one aggregation over (source, size) counts, so its
-cost does not depend on the number of rows once they are counted. Rounding: copies follow
-the running sum of rates over sizes, so at every size the copies are within one half of
-what the rates say; equal sizes share their copies over hashed blocks, so that a hot
-(source, size) is dealt over many tasks.
+cost does not depend on the number of rows once they are counted; rates that do not settle
+end the job. Rounding: copies follow the running sum of rates over sizes, so at every size
+the copies are within one half of what the rates say; the words that this leaves over or
+short are then made up from the largest sizes that fit down to small ones, ``ROUNDS``
+times, so that a source ends within about its smallest documents of its target. Equal
+sizes share their copies over hashed blocks, so that a hot (source, size) is dealt over
+many tasks. Lambda is rounded, so that reruns agree whatever the order of sums.
 
 Defined results: null text has size 0 and takes 0; a source without words has target 0;
 an empty table gives no rows; rows that repeat a doc_id are documents of their own; a
@@ -21,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import cut
+from pairsight.llm.common import cut, forget
 
 BLOCKS = 1024
-STEPS = 40
+STEPS = 60
+ROUNDS = 5
 CLOSE = 1e-7
+#: A source further off its target than this share after all steps ends the job.
+FAR = 1e-3
 WIDEST = 1e5
 
 
@@ -90,11 +96,30 @@ def solve(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
             .withColumn("next", F.when(F.col("error") < CLOSE, F.col("lam")).otherwise(kept))
             .select(*fixed, F.col("next").alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("error").alias("off"))
         )
-        state = cut(state, "mix-state")
+        old, state = state, cut(state, "mix-state")
+        forget(old)
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst < CLOSE:
             break
-    return state
+    if worst is not None and worst >= FAR:
+        raise RuntimeError(f"rates not settled after {STEPS} steps: a source is {worst:.3g} of its target off")
+    return state.withColumn("lam", F.round("lam", 9))
+
+
+def made_up(sums: DataFrame, cap: float) -> DataFrame:
+    """(number, size) rows whose copies, ``all``, are raised or lowered until the source's words meet its target as nearly as sizes allow."""
+    source = Window.partitionBy("number")
+    larger = source.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(ROUNDS):
+        short = F.floor(F.col("target") - F.sum(F.col("all") * F.col("size")).over(source) + F.lit(0.5)).cast("long")
+        sums = sums.withColumn("short", short)
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("short"))
+        room = F.when(fits, F.when(F.col("short") > 0, F.col("n") * F.lit(int(cap)) - F.col("all")).otherwise(F.col("all"))).otherwise(0)
+        sums = sums.withColumn("room", room)
+        left = F.abs("short") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+        more = F.when(F.col("room") > 0, F.least(F.greatest(F.floor(left / F.col("size")), F.lit(0)), F.col("room"))).otherwise(0).cast("long")
+        sums = sums.withColumn("all", F.col("all") + F.signum("short").cast("long") * more)
+    return sums.drop("short", "room")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -113,8 +138,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: f
         .withColumn("rate", rate(cap))
         .withColumn("run", F.floor(F.sum(F.col("n") * F.col("rate")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)) + F.lit(0.5)))
         .withColumn("all", F.col("run") - F.coalesce(F.lag("run").over(by_size), F.lit(0)))
-        .select("number", "size", "n", "source_size", "target", "rate", "all")
+        .select("number", "size", "n", "source_size", "target", "rate", F.col("all").cast("long").alias("all"))
     )
+    sums = made_up(sums, cap)
     by_block = Window.partitionBy("number", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("held").over(by_block)
     each, extra = F.expr("`all` div n"), F.expr("`all` % n")

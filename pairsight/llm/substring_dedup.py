@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from pairsight.llm.common import buckets_for, chunks, frugal, mix, sliding_min, spread
-from pairsight.llm.superkmer import BucketWriter, gather, ranges_equal, spans_of, union_of, verified, with_spans
+from pairsight.llm.superkmer import BucketWriter, fingerprints, gather, ranges_equal, spans_of, union_of, verified, with_spans
 
 GRAM = 2
 CHUNK = 3 << 20
@@ -78,7 +78,7 @@ def cut_words(buckets: int, width: int):
         for ids, bodies in chunks(batches, CHUNK):
             pieces, held = [], 0
             for doc, body in zip(ids, bodies):
-                words = body.split()
+                words = body.split() if doc is not None else []
                 for base in range(0, max(1, len(words) - width + 1), PIECE_WORDS):
                     pieces.append((doc, base, words[base : base + PIECE_WORDS + width - 1]))
                     held += len(pieces[-1][2])
@@ -117,7 +117,12 @@ def word_windows(width: int):
 
 
 def later_documents(width: int):
-    def judge(data, head, lo, hi, owner, unit, prints):
+    windows_of = word_windows(width)
+
+    def judge(raw: bytes, head: np.ndarray):
+        data = np.frombuffer(raw, np.uint8)
+        lo, hi, owner, unit = windows_of(data, head)
+        prints = fingerprints(data, lo, hi)
         order = np.lexsort((head[1][owner], prints))
         p = prints[order]
         new = np.ones(len(p), bool)
@@ -153,7 +158,7 @@ def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id and its list of packed (first word, end word) pairs, for documents that lose any."""
-    return spans_of(docs, cut_words(buckets_for(docs, 1 << 20), width), word_windows(width), later_documents(width))
+    return spans_of(docs, cut_words(buckets_for(docs, 1 << 20), width), later_documents(width))
 
 
 def without_repeated_words(docs: DataFrame, width: int = 13) -> DataFrame:

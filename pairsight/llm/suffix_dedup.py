@@ -1,19 +1,27 @@
-"""Repeated byte strings: suffixes are sorted one bucket at a time.
+"""Repeated byte strings by blockwise suffix sorting with a difference cover.
 
 A suffix belongs to the bucket of the minimiser of its first ``width`` bytes, and
 neighbouring suffixes with one minimiser travel as one string (see superkmer.py), so a
-bucket holds all it needs. In a bucket, suffixes are ordered by a fingerprint of their
-first ``width`` bytes; ties are long (whole windows), and are resolved by the ranks of a
-difference-cover sample: for any two places x, y of a tie there is an offset k below
-``PERIOD`` at which both x + k and y + k are sample places, whose ranks were computed
-once for the bucket. Ranks at k, k + PERIOD, ... settle all but the ends of the tie,
-which are compared directly. Memory is that of one bucket.
+bucket holds all it needs. In a bucket, first, the suffixes that start at the places of a
+difference cover modulo ``PERIOD`` are ranked, once: by their first PERIOD bytes, then by
+doubling, since a sample place and the place PERIOD further on are both in the sample.
+Then the bucket's suffixes are cut into blocks by their first bytes, and one block at a
+time is sorted: by the first PERIOD bytes, eight at a time, and where these tie, by ranks.
+For any two places x, y there is an offset k below PERIOD at which x + k and y + k are both
+sample places, whose ranks decide. Places of one residue compare at one k and are sorted
+at once; residues are then merged by comparing. What is repeated stands side by side:
+neighbours with ``width`` bytes in common. Beside a bucket's bytes and ranks, memory is
+that of a block.
+
+Strings are laid out with their minimisers at one residue, so that equal suffixes mostly
+have equal residues and little is left to merge.
 
 Defined results: null text is empty; texts shorter than ``width`` bytes lose nothing;
 a string that occurs twice in one document counts; every place where a repeated string
 occurs is removed, the first too; rows with one doc_id are separate occurrences of their
 strings, but spans found in any of them apply to all; a row without doc_id keeps all its
-bytes and repeats nothing; an empty table gives no rows; other columns are not read.
+bytes, and what it holds is an occurrence for the others; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,21 +34,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pairsight.llm.common import buckets_for, chunks, frugal, mix, sliding_min, spread
-from pairsight.llm.superkmer import SETTLED, BucketWriter, gather, ranges_equal, spans_of, union_of, verified, with_spans
+from pairsight.llm.superkmer import SETTLED, BucketWriter, gather, spans_of, union_of, with_spans
 
 GRAM = 16
 CHUNK = 1 << 20
 PERIOD = 64
 ROOT = 8
 #: A difference cover modulo PERIOD: every difference is a multiple of ROOT less a number below ROOT.
-COVER = sorted({*range(ROOT), *range(0, PERIOD, ROOT)})
-SAMPLE = 136
+COVER = np.array(sorted({*range(ROOT), *range(0, PERIOD, ROOT)}))
+#: The number of a residue among those of the cover.
+NUMBER = np.full(PERIOD, -1)
+NUMBER[COVER] = np.arange(len(COVER))
+#: Suffixes in a block.
+BLOCK = 1 << 18
+#: The first k bytes of eight, for k from 0.
+FIRST = np.array([(1 << 64) - (1 << 8 * (8 - k)) for k in range(9)], np.uint64)
+#: Bits of a minimiser's hash that say where it is in its chunk's text.
+PLACE = np.uint64((1 << 22) - 1)
 
 
 def cover_offsets() -> np.ndarray:
     """[x, y] -> the least k with (x + k) and (y + k) in the cover, modulo PERIOD."""
-    inside = np.zeros(PERIOD, bool)
-    inside[COVER] = True
+    inside = NUMBER >= 0
     k = np.arange(PERIOD)
     hit = inside[(k[:, None] + k) % PERIOD]  # [x, k]
     return np.argmax(hit[:, None, :] & hit[None, :, :], axis=2)
@@ -49,31 +64,158 @@ def cover_offsets() -> np.ndarray:
 OFFSETS = cover_offsets()
 
 
-def ties_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a+size] equals data[b:b+size]; by ranks of sample places where the tie is long enough."""
-    same = np.zeros(len(a), bool)
-    long = size >= PERIOD + SAMPLE
-    same[~long] = ranges_equal(data, a[~long], b[~long], size[~long])
-    a, b, n = a[long], b[long], size[long]
-    if not len(a):
-        return same
-    k = OFFSETS[a % PERIOD, b % PERIOD]
-    m = 1 + (n - k - SAMPLE) // PERIOD
-    step = np.repeat(k, m) + PERIOD * spread(np.zeros(len(m), np.int64), m)
-    which = np.repeat(np.arange(len(m)), m)
-    places, at = np.unique(np.concatenate([a[which] + step, b[which] + step]), return_inverse=True)
-    view = np.ndarray((len(data) - SAMPLE + 1,), f"S{SAMPLE}", data, strides=(1,))
-    rank = np.empty(len(places), np.int64)
-    words = view[places]
-    order = np.argsort(words, kind="stable")
-    words = words[order]
-    rank[order] = np.cumsum(np.append(False, words[1:] != words[:-1])) if len(words) else 0
-    off = rank[at[: len(step)]] != rank[at[len(step) :]]
-    ok = np.bincount(which, weights=off, minlength=len(m)) == 0
-    tail = k + PERIOD * (m - 1) + SAMPLE
-    ok &= ranges_equal(data, a, b, k) & ranges_equal(data, a + tail, b + tail, n - tail)
-    same[long] = ok
-    return same
+def sample_number(place: np.ndarray) -> np.ndarray:
+    return place // PERIOD * len(COVER) + NUMBER[place % PERIOD]
+
+
+def tied(new: np.ndarray) -> np.ndarray:
+    """Numbers of the entries that share a group with another; ``new`` marks where groups begin."""
+    alone = new & np.append(new[1:], True)
+    return np.flatnonzero(~alone)
+
+
+def refine(order: np.ndarray, new: np.ndarray, key_of) -> bool:
+    """Sorts within groups by another key, in place; False if no group has two entries."""
+    at = tied(new)
+    if not len(at):
+        return False
+    group = np.cumsum(new)[at]
+    key = key_of(order[at])
+    sub = np.lexsort((key, group))
+    order[at], key = order[at][sub], key[sub]
+    new[at[1:]] |= (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+    return True
+
+
+def by_bytes(eights: np.ndarray, place: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of places by their first PERIOD bytes, or ``room`` bytes where these are fewer, and where groups of equals begin."""
+
+    def eight(which: np.ndarray, depth: int) -> np.ndarray:
+        return eights[place[which] + depth].astype(np.uint64) & FIRST[np.clip(room[which] - depth, 0, 8)]
+
+    first = eight(np.arange(len(place)), 0)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    new = np.append(True, first[1:] != first[:-1])[: len(order)]
+    del first
+    for depth in range(8, PERIOD, 8):
+        if not refine(order, new, lambda which: eight(which, depth)):
+            return order, new
+    if room.min(initial=PERIOD) < PERIOD:
+        refine(order, new, lambda which: np.minimum(room[which], PERIOD))
+    return order, new
+
+
+def sample_ranks(eights: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The rank of each sample place's suffix, to the end of its string; ``owner``: the string of each PERIOD bytes."""
+    place = (np.arange(len(owner))[:, None] * PERIOD + COVER).ravel()
+    own = np.repeat(owner, len(COVER))
+    room = np.where(place >= start[own], np.maximum(end[own] - place, 0), 0)
+    order, new = by_bytes(eights, place, room)
+    rank = np.empty(len(place), np.int64)
+    reach, most = PERIOD, int(room.max(initial=0))
+    while True:
+        rank[order] = np.cumsum(new) - 1
+        if reach >= most:
+            return rank
+        step = reach // PERIOD * len(COVER)
+
+        def further(which: np.ndarray) -> np.ndarray:
+            on = room[which] > reach
+            return np.where(on, rank[np.where(on, which + step, 0)], -1)
+
+        if not refine(order, new, further):
+            return rank
+        reach *= 2
+
+
+def before(rank: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the suffix at x comes before that at y; their first PERIOD bytes are equal."""
+    k = OFFSETS[x % PERIOD, y % PERIOD]
+    return rank[sample_number(x + k)] < rank[sample_number(y + k)]
+
+
+def merge_residues(x: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places sorted within (group, residue), sorted within groups: runs are merged two by two."""
+    run = np.append(True, (group[1:] != group[:-1]) | (x[1:] % PERIOD != x[:-1] % PERIOD))[: len(x)]
+    while True:
+        start = np.flatnonzero(run)
+        end = np.append(start[1:], len(x))
+        of = group[start]
+        lead = np.append(True, of[1:] != of[:-1])[: len(of)]
+        nth = np.arange(len(start)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        if not (nth > 0).any():
+            return x
+        right = nth % 2 == 1
+        other = np.where(right, np.arange(len(start)) - 1, np.arange(len(start)) + 1)
+        other[~right] = np.where(np.append(right[1:], False)[~right], other[~right], -1)
+        mine = np.cumsum(run) - 1
+        at = np.flatnonzero(other[mine] >= 0)
+        partner, late = other[mine[at]], right[mine[at]]
+        lo, hi = start[partner].copy(), end[partner].copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            y, own = x[mid], x[at[open_]]
+            less = np.where(late[open_], ~before(rank, own, y), before(rank, y, own))
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+        to = np.arange(len(x))
+        to[at] = np.minimum(start[partner], start[mine[at]]) + (at - start[mine[at]]) + (lo - start[partner])
+        merged = np.empty_like(x)
+        merged[to] = x
+        x = merged
+        run[start[right]] = False
+
+
+def sorted_ties(data: np.ndarray, eights: np.ndarray, place: np.ndarray, rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block's places those that share PERIOD bytes (or ``width``, if fewer) with another, in the order of their suffixes, and their groups."""
+    order, new = by_bytes(eights, place, np.full(len(place), width))
+    at = tied(new)
+    x, group = place[order[at]], np.cumsum(new)[at]
+    if width > PERIOD and len(x):
+        residue = x % PERIOD
+        x = x[np.lexsort((rank[sample_number(x + OFFSETS[residue, residue])], residue, group))]
+        x = merge_residues(x, group, rank)
+    return x, group
+
+
+def blocks_of(first: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of entries, about BLOCK at a time, with equal first bytes together."""
+    if len(first) <= BLOCK:
+        yield np.arange(len(first))
+        return
+    some = np.sort(first[:: max(1, len(first) // 4096)])
+    edges = np.unique(some[:: max(1, len(some) * BLOCK // len(first))][1:])
+    block = np.searchsorted(edges, first, "right")
+    for k in range(len(edges) + 1):
+        yield np.flatnonzero(block == k)
+
+
+def repeated_places(texts: list[bytes], anchors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of every suffix whose first ``width`` bytes occur twice in these strings."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    lead = -anchors % PERIOD
+    blocks = -(-(lead + size) // PERIOD)
+    start = (np.cumsum(blocks) - blocks) * PERIOD + lead
+    data = np.zeros(int(blocks.sum()) * PERIOD + 2 * PERIOD + width, np.uint8)
+    data[spread(start, size)] = np.frombuffer(b"".join(texts), np.uint8)
+    eights = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    rank = sample_ranks(eights, np.repeat(np.arange(len(texts)), blocks), start, start + size) if width > PERIOD else None
+    places = spread(start, np.maximum(size - width + 1, 0))
+    found = [np.zeros(0, np.int64)]
+    rest = np.ndarray((len(data) - width + 1,), f"S{width - PERIOD}", data.data, PERIOD, (1,)) if width > PERIOD else None
+    for which in blocks_of(eights[places].astype(np.uint64)):
+        x, group = sorted_ties(data, eights, places[which], rank, width)
+        pair = np.flatnonzero(group[1:] == group[:-1])
+        for k in range(0, len(pair), 1 << 15):
+            a, b = x[pair[k : k + (1 << 15)]], x[pair[k : k + (1 << 15)] + 1]
+            if rest is not None:
+                same = rest[a] == rest[b]
+                a, b = a[same], b[same]
+            found += [a, b]
+    at = np.unique(np.concatenate(found))
+    own = np.searchsorted(start, at, "right") - 1
+    return own, at - start[own]
 
 
 def cut_bytes(buckets: int, width: int):
@@ -87,26 +229,30 @@ def cut_bytes(buckets: int, width: int):
             return
         eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
         grams = mix(eight[: len(text) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + (eight[8:] ^ (eight[8:] >> np.uint64(33))))
-        key = sliding_min(grams, width - GRAM + 1)[starts]
+        # the leftmost of the least hashes, and its place in the low bits
+        placed = sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), width - GRAM + 1)[starts]
+        key = placed & ~PLACE
         piece = np.repeat(np.arange(len(pieces)), n)
         new = np.ones(len(starts), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (key[1:] != key[:-1])
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(starts)) - 1
         bucket = (mix(key[a]) % np.uint64(buckets)).astype(np.int64)
+        anchor = (placed[a] & PLACE).astype(np.int64) - starts[a]
         met: dict[bytes, list] = {}
         own = piece[a]
-        for x, y, k, p, at in zip(starts[a].tolist(), (starts[b] + width).tolist(), bucket.tolist(), own.tolist(), (starts[a] - first[own]).tolist()):
+        for x, y, k, p, at, to in zip(starts[a].tolist(), (starts[b] + width).tolist(), bucket.tolist(), own.tolist(), (starts[a] - first[own]).tolist(), anchor.tolist()):
             doc, base, _ = pieces[p]
-            met.setdefault(text[x:y], []).append((doc, base + at, k))
+            met.setdefault(text[x:y], []).append((doc, base + at, k, to))
         for string, found in met.items():
-            doc, at, k = found[0]
+            doc, at, k, to = found[0]
             if len(found) == 1:
-                out.put(k, string, doc, at)
+                out.put(k, string, doc, at, to)
                 continue
-            out.put(k, string, int(SETTLED), 0)
-            for doc, at, _ in found:
-                out.span(doc, at, at + len(string))
+            out.put(k, string, int(SETTLED), 0, to)
+            for doc, at, _, _ in found:
+                if doc != SETTLED:
+                    out.span(doc, at, at + len(string))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = BucketWriter(buckets)
@@ -114,7 +260,7 @@ def cut_bytes(buckets: int, width: int):
             pieces, held = [], 0
             for doc, body in zip(ids, bodies):
                 for base in range(0, max(1, len(body) - width + 1), CHUNK):
-                    pieces.append((doc, base, body[base : base + CHUNK + width - 1]))
+                    pieces.append((int(SETTLED) if doc is None else doc, base, body[base : base + CHUNK + width - 1]))
                     held += len(pieces[-1][2])
                     if held >= CHUNK:
                         settle_chunk(pieces, out)
@@ -127,29 +273,25 @@ def cut_bytes(buckets: int, width: int):
     return work
 
 
-def byte_windows(width: int):
-    def windows_of(data: np.ndarray, head: np.ndarray):
-        size = head[0]
-        first = np.cumsum(size) - size
-        n = np.maximum(size - width + 1, 0)
-        lo = spread(first, n)
-        owner = np.repeat(np.arange(len(size)), n)
-        return lo, lo + width, owner, lo - first[owner]
-
-    return windows_of
-
-
 def any_repeat(width: int):
-    def judge(data, head, lo, hi, owner, unit, prints):
-        order = np.argsort(prints, kind="stable")
-        p = prints[order]
-        pair = np.flatnonzero(p[1:] == p[:-1])
-        del p
-        a, b = order[pair], order[pair + 1]
-        del order
-        ok = verified(lo, hi, a, b, lambda x, y, n: ties_equal(data, x, y, n))
-        found = np.unique(np.concatenate([a[ok], b[ok]]))
-        yield gather(owner[found], unit[found], head, width)
+    def judge(raw: bytes, head: np.ndarray):
+        size, doc, pos, anchor = head
+        first: dict[bytes, int] = {}
+        copies, at = [], 0
+        for k, n in enumerate(size.tolist()):
+            one = first.setdefault(raw[at : at + n], k)
+            at += n
+            if one != k:
+                copies += [one, k]
+        if copies:  # equal strings are repeated as a whole; one of them stays, as an occurrence
+            at = np.unique(copies)
+            named = at[doc[at] != SETTLED]
+            yield doc[named], pos[named], pos[named] + size[named]
+            doc = doc.copy()
+            doc[at] = SETTLED
+        kept = np.fromiter(first.values(), np.int64, len(first))
+        owner, unit = repeated_places(list(first), anchor[kept], width)
+        yield gather(owner, unit, np.stack([size[kept], doc[kept], pos[kept]]), width)
 
     return judge
 
@@ -174,7 +316,7 @@ def kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     """doc_id and its list of packed (begin, end) byte pairs, for documents that lose any."""
-    return spans_of(docs, cut_bytes(buckets_for(docs, 1 << 20), width), byte_windows(width), any_repeat(width))
+    return spans_of(docs, cut_bytes(buckets_for(docs, 1 << 20), width), any_repeat(width))
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:

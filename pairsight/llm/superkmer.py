@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pairsight.llm.common import expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
 
-#: The owner of a string that some chunk holds more than once: none, its windows count as repeated.
+#: The owner of a string whose spans some chunk has given already, or of a row without doc_id: an occurrence for others, nothing else.
 SETTLED = np.iinfo(np.int64).min
 FLUSH_BYTES = 24 << 20
 HASH_PIECE = 1 << 20
@@ -42,9 +42,10 @@ class BucketWriter:
         self.spans: list[tuple[int, int, int]] = []
         self.held = 0
 
-    def put(self, bucket: int, text: bytes, doc: int, pos: int) -> None:
-        self.strings.setdefault(bucket, []).append((text, doc, pos))
-        self.held += len(text) + 120
+    def put(self, bucket: int, text: bytes, doc: int, pos: int, anchor: int = 0) -> None:
+        """``anchor``: where in the string its minimiser is, for operators that lay strings out by it."""
+        self.strings.setdefault(bucket, []).append((text, doc, pos, anchor))
+        self.held += len(text) + 130
 
     def span(self, doc: int, lo: int, hi: int) -> None:
         self.spans.append((doc, lo, hi))
@@ -56,8 +57,8 @@ class BucketWriter:
     def flush(self) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, bool, bytes]] = []
         for bucket, held in self.strings.items():
-            head = np.array([(len(t), d, p) for t, d, p in held], np.int64)
-            rows.append((bucket, False, squeeze(np.int64(len(held)).tobytes() + head.T.tobytes() + b"".join(t for t, _, _ in held))))
+            head = np.array([(len(t), d, p, a) for t, d, p, a in held], np.int64)
+            rows.append((bucket, False, squeeze(np.int64(len(held)).tobytes() + head.T.tobytes() + b"".join(t for t, *_ in held), 3)))
         for k in range(0, len(self.spans), 20_000):
             self.turn += 1
             spans = np.array(self.spans[k : k + 20_000], np.int64)
@@ -69,10 +70,10 @@ class BucketWriter:
 
 
 def unpack(part: bytes) -> tuple[np.ndarray, bytes]:
-    """(lengths, docs, positions) and the joined strings."""
+    """(lengths, docs, positions, anchors) and the joined strings."""
     raw = expand(part)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n), raw[8 + 24 * n :]
+    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :]
 
 
 @lru_cache(2)
@@ -150,8 +151,8 @@ def spans_batches(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(doc[f], pa.int64()), pa.array([pairs[x:y].tobytes() for x, y in zip(f, e)], pa.binary())], names=["doc_id", "spans"])
 
 
-def settle(windows_of: Callable, judge: Callable):
-    """Reads parts sorted by bucket, one bucket at a time, and gives spans."""
+def settle(judge: Callable):
+    """Reads parts sorted by bucket; ``judge`` gets one bucket's strings and their head at a time, and gives spans."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: list[np.ndarray] = []
@@ -159,12 +160,10 @@ def settle(windows_of: Callable, judge: Callable):
         at = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            head, data = np.concatenate(heads, axis=1), np.frombuffer(b"".join(bodies), np.uint8)
+            head, data = np.concatenate(heads, axis=1), b"".join(bodies)
             heads.clear()
             bodies.clear()
-            lo, hi, owner, unit = windows_of(data, head)
-            prints = fingerprints(data, lo, hi)
-            for doc, begin, end in judge(data, head, lo, hi, owner, unit, prints):
+            for doc, begin, end in judge(data, head):
                 yield from spans_batches(doc, begin, end)
 
         for batch in batches:
@@ -199,12 +198,12 @@ def gather(owner: np.ndarray, unit: np.ndarray, head: np.ndarray, width: int) ->
     return head[1][at], head[2][at] + unit[first], head[2][at] + unit[last] + width
 
 
-def spans_of(docs: DataFrame, cutter: Callable, windows_of: Callable, judge: Callable) -> DataFrame:
+def spans_of(docs: DataFrame, cutter: Callable, judge: Callable) -> DataFrame:
     """doc_id and the list of its packed spans, for documents that have any."""
     parts = shuffle_parts(docs.sparkSession)
-    sent = texts(docs).where("doc_id is not null").mapInArrow(frugal(cutter), PARTS_SCHEMA)
+    sent = texts(docs).mapInArrow(frugal(cutter), PARTS_SCHEMA)
     met = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(frugal(settle(windows_of, judge)), SPANS_SCHEMA).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    return met.mapInArrow(frugal(settle(judge)), SPANS_SCHEMA).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

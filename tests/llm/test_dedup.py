@@ -99,8 +99,7 @@ def brute_bytes(rows, width):
     count = Counter()
     for d, t in rows:
         b = (t or "").encode()
-        if d is not None:
-            count.update(b[k : k + width] for k in range(len(b) - width + 1))
+        count.update(b[k : k + width] for k in range(len(b) - width + 1))
     out = {}
     for d, t in rows:
         b = (t or "").encode()
@@ -143,15 +142,35 @@ def test_cover_offsets_meet():
             assert (x + k) % suffix_dedup.PERIOD in inside and (y + k) % suffix_dedup.PERIOD in inside
 
 
-def test_ties_by_ranks_equal_bytes():
-    rng = np.random.default_rng(2)
-    data = rng.integers(97, 99, 4000).astype(np.uint8)
-    data[2000:3000] = data[500:1500]
-    a = rng.integers(0, 1500, 300)
-    b = np.where(rng.random(300) < 0.5, a + 1500, rng.integers(0, 3000, 300))
-    n = rng.integers(1, 700, 300)
-    want = [bytes(data[x : x + k]) == bytes(data[y : y + k]) for x, y, k in zip(a, b, n)]
-    assert suffix_dedup.ties_equal(data, a, b, n).tolist() == want
+@pytest.mark.parametrize("letters, width, block", [(2, 70, 64), (3, 200, 1 << 18), (1, 90, 100), (2, 40, 64)])
+def test_blocks_sort_suffixes(monkeypatch, letters, width, block):
+    """Ranks order the sample's suffixes, ties come out in the order of their suffixes, and neighbours tell what is repeated."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(letters)
+    base = bytes(rng.choice(b"ab\0"[:letters]) for _ in range(500))
+    texts = list({base[x : x + rng.randrange(width, 400)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) for x in (rng.randrange(200) for _ in range(40))})
+    anchors = np.array([rng.randrange(50) for _ in texts])
+    count = Counter(t[k : k + width] for t in texts for k in range(len(t) - width + 1))
+    want = {(n, k) for n, t in enumerate(texts) for k in range(len(t) - width + 1) if count[t[k : k + width]] > 1}
+    own, unit = suffix_dedup.repeated_places(texts, anchors, width)
+    assert set(zip(own.tolist(), unit.tolist())) == want
+    size = np.array([len(t) for t in texts])
+    lead = -anchors % 64
+    blocks = -(-(lead + size) // 64)
+    start = (np.cumsum(blocks) - blocks) * 64 + lead
+    data = np.zeros(int(blocks.sum()) * 64 + 128 + width, np.uint8)
+    for s, t in zip(start, texts):
+        data[s : s + len(t)] = np.frombuffer(t, np.uint8)
+    eights = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    rank = suffix_dedup.sample_ranks(eights, np.repeat(np.arange(len(texts)), blocks), start, start + size)
+    sample = [(t[k:], int(rank[suffix_dedup.sample_number(np.array([s + k]))[0]])) for s, t in zip(start, texts) for k in range(len(t)) if (s + k) % 64 in suffix_dedup.COVER]
+    assert [r for _, r in sorted(sample)] == sorted(r for _, r in sample) and len({x for x, _ in sample}) == len({r for _, r in sample})
+    if width > 64:
+        places = np.concatenate([np.arange(s, s + max(0, len(t) - width + 1)) for s, t in zip(start, texts)])
+        x, group = suffix_dedup.sorted_ties(data, eights, places, rank, width)
+        text_at = lambda p: (n := int(np.searchsorted(start, p, "right")) - 1, texts[n][p - start[n] :])[1]
+        got = [text_at(p) for p in x]
+        assert got == sorted(got)
 
 
 def brute_components(rows, width, percent):

@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairsight.llm import decontaminate, lm_scoring, secrets, token_counts, toxicity
 from pairsight.llm.mixing import mix_sources
@@ -21,86 +24,99 @@ from tests.llm.fixtures import as_dict, corpus, frame
 class BrutePpm:
     """The same model, one symbol at a time."""
 
-    def __init__(self, texts):
-        self.n = [defaultdict(Counter), defaultdict(Counter), Counter()]
-        self.trie = defaultdict(Counter)
-        for t in texts:
-            for w in t:
-                self.add(w + b" ")
-            self.count(b"  ", 10)
+    def __init__(self, streams):
+        self.kids = {k: defaultdict(Counter) for k in (*lm_scoring.ORDERS, 2, 1, 0)}
+        for stream in streams:
+            for at in range(8, len(stream)):
+                for k, kids in self.kids.items():
+                    kids[stream[at - k : at]][stream[at]] += 1
         self.cells = [Counter(), Counter()]
-        for prefix, kids in self.trie.items():
-            if len(prefix) < lm_scoring.HEAD:
-                continue
-            total, kinds = sum(kids.values()), len(kids)
-            for n in kids.values():
-                if n == 1 and total > 1:
-                    self.cells[0][self.cell(total - 1, kinds - 1, len(prefix))] += 1
-                elif n > 1:
-                    self.cells[1][self.cell(total - 1, kinds, len(prefix))] += n
+        for level, order in enumerate(lm_scoring.ORDERS):
+            for kids in self.kids[order].values():
+                total, kinds = sum(kids.values()), len(kids)
+                for n in kids.values():
+                    if n == 1 and total > 1:
+                        self.cells[0][self.cell(total - 1, kinds - 1, level)] += 1
+                    elif n > 1:
+                        self.cells[1][self.cell(total - 1, kinds, level)] += n
 
     @staticmethod
-    def cell(total, kinds, depth):
-        return int(lm_scoring.bucket(np.array([total]), np.array([kinds]), depth)[0])
-
-    def count(self, before, s):
-        self.n[0][before][s] += 1
-        self.n[1][before[1:]][s] += 1
-        self.n[2][s] += 1
-
-    def add(self, w):
-        for k, s in enumerate(w):
-            self.count((b"  " + w[:k])[-2:], s)
-            if k >= 2:
-                self.trie[w[:k]][s] += 1
-
-    def low(self, before, s, excluded):
-        p = 1.0
-        for kids in (self.n[0].get(before, {}), self.n[1].get(before[1:], {}), self.n[2]):
-            left = {k: v for k, v in kids.items() if k not in excluded}
-            total, kinds = sum(left.values()), len(left)
-            if s in left:
-                return p * left[s] / (total + kinds)
-            if total:
-                p *= kinds / (total + kinds)
-            excluded = set(kids)
-        return p / (256 - len(self.n[2]))
-
-    def word(self, w):
-        w, out = w + b" ", 0.0
-        for k, s in enumerate(w):
-            kids = self.trie.get(w[:k], {}) if k >= 2 else {}
-            before = (b"  " + w[:k])[-2:]
-            if not kids:
-                out += math.log10(self.low(before, s, set()))
-                continue
+    def stream(words):
+        return b"\n" * 8 + (b" ".join(words) + b" \n" if words else b"\n")
+
+    @staticmethod
+    def cell(total, kinds, level):
+        return int(lm_scoring.cell(np.array([total]), np.array([kinds]), level)[0])
+
+    def shares(self, before):
+        """Every byte's share, level by level."""
+        share, left = {}, 1.0
+        for level, (order, all_kids) in enumerate(self.kids.items()):
+            kids = {s: n for s, n in all_kids.get(before[len(before) - order :], {}).items() if s not in share}
             total, kinds = sum(kids.values()), len(kids)
-            c = self.cell(total, kinds, k)
-            escape = (self.cells[0][c] + 4 * kinds / (total + kinds)) / (self.cells[0][c] + self.cells[1][c] + 4)
-            out += math.log10((1 - escape) * kids[s] / total) if s in kids else math.log10(escape * self.low(before, s, set(kids)))
-        return out
+            if not total:
+                continue
+            if level < len(lm_scoring.ORDERS):
+                c = self.cell(total, kinds, level)
+                escape = (self.cells[0][c] + 4 * kinds / (total + kinds)) / (self.cells[0][c] + self.cells[1][c] + 4)
+            else:
+                escape = kinds / (total + kinds)
+            share |= {s: left * (1 - escape) * n / total for s, n in kids.items()}
+            left *= escape
+        rest = 256 - len(self.kids[0][b""])
+        return share | {s: left / rest for s in range(256) if s not in share}
+
+    def log(self, stream):
+        return sum(math.log10(self.shares(stream[at - 8 : at])[stream[at]]) for at in range(8, len(stream)))
 
 
 def held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_code_lengths(spark, parts):
-    rows = corpus(40)
-    words = {d: (t or "").encode().lower().split() for d, t in rows}
-    learned = [w for d, w in words.items() if not held(d)]
-    model, count = BrutePpm(learned), Counter()
+@pytest.mark.parametrize("parts, chunk", [(1, 1 << 21), (4, 500)])
+def test_code_lengths(spark, parts, chunk):
+    rows = [r for r in corpus(40, repeat=True) if len(r[1] or "") < 3000]
+    words = [(d, (t or "").encode().lower().split()) for d, t in rows]
+    learned = [w for d, w in words if not held(d)]
+    model, count = BrutePpm([BrutePpm.stream(w) for w in learned]), Counter()
+    assert sum(model.shares(b"abc the ").values()) == pytest.approx(1)
     for w in learned:
         count.update([*w, None])
     n, v = sum(count.values()), len(count)
-    got = as_dict(lm_scoring.code_lengths(frame(spark, rows, parts)), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    end = math.log10(model.low(b"  ", 10, set()))
-    for d, w in words.items():
+    out = lm_scoring.code_lengths(frame(spark, rows, parts))
+    assert out.count() == len(rows)
+    got = as_dict(out, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for d, w in words:
         g = got[d]
         assert g[:4] == (held(d), len(w) + 1, sum(count[x] > 0 for x in [*w, None]), n)
         assert g[4] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in [*w, None]), abs=1e-6)
-        assert g[5] == pytest.approx(sum(map(model.word, w)) + end, abs=1e-6)
+        assert g[5] == pytest.approx(model.log(BrutePpm.stream(w)), rel=1e-5)
+
+
+def test_chunks_and_shards_do_not_change_scores(monkeypatch):
+    """The steps without Spark, with chunks of a few texts and many shards."""
+    rng = random.Random(1)
+    texts = [[bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(30))] for _ in range(60)]
+    bodies = [BrutePpm.stream(w)[8:] for w in texts]
+    keys = lm_scoring.gram_keys(b"".join(bodies), np.array(list(map(len, bodies))))
+    every, counts = lm_scoring.counted(keys, np.ones(len(keys), bool))
+    halves = [lm_scoring.counted(k, np.ones(len(k), bool)) for k in np.array_split(keys, 5)]
+    assert all((x == y).all() for x, y in zip(lm_scoring.added(halves), (every, counts)))
+    parts = [p for k, (key, n) in enumerate(halves) for p in lm_scoring.parts_of(k, lm_scoring.GRAMS, key, n, 7)]
+    for shard, _, _, part in parts:
+        assert (lm_scoring.dealt_order(lm_scoring.GRAMS, lm_scoring.unpacked(part)[0], 7)[1] == shard).all()
+
+
+SF = "/root/testdata/sf"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF + "0.1"), reason="no tables")
+def test_model_against_the_base(spark):
+    """At 15 MB the model is ahead of the words' base on held-out texts, and on its own training texts by far."""
+    row = lm_scoring.code_lengths(spark.read.parquet(SF + "0.1/documents.parquet")).groupBy().pivot("held_out", [True, False]).agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert row["true_score"] > 0.96 * row["true_base"]
+    assert row["false_score"] > 0.9 * row["false_base"]
 
 
 def test_code_lengths_of_nothing(spark):
@@ -173,11 +189,85 @@ def found(text):
     return [text[a:b] for a, _, b in secrets.literal_spans(text)]
 
 
-def test_literals_reach_names():
-    assert found('k = "Zx9Zx9Zx9Zx9!"\nclient_secret = k') == ["Zx9Zx9Zx9Zx9!"]
-    assert found('auth_key = "ab12CD" + "ef34GH"') == ["ab12CD", "ef34GH"]
-    assert found('{"db_password": "hunter2hunter2"}') == ["hunter2hunter2"]
-    assert found('my_token="changeme"') == [] and found('name = "Zx9Zx9Zx9Zx9"') == [] and found("secret: ${VALUE}") == []
+PAIRS = [
+    ('k = "Zx9Zx9Zx9Zx9!"\nclient_secret = k', ["Zx9Zx9Zx9Zx9!"]),
+    ('auth_key = "ab12CD" + "ef34GH"', ["ab12CD", "ef34GH"]),
+    ('{"db_password": "hunter2hunter2"}', ["hunter2hunter2"]),
+    ('password: str = "hunter2hunter2"', ["hunter2hunter2"]),
+    ('const password: string = "hunter2hunter2";', ["hunter2hunter2"]),
+    ('os.environ["API_KEY"] = "abcdefgh12345"', ["abcdefgh12345"]),
+    ('password = """two\nlines 1"""', ["two\nlines 1"]),
+    ("<password>hunter2hunter2</password>", ["hunter2hunter2"]),
+    ('<add key="api_key" value="QWERTYqwerty12"/>', ["QWERTYqwerty12"]),
+    ("password: |\n  first line 12\n  second line\nother: 1", ["first line 12", "second line"]),
+    ('password := decode("hunter2hunter2")', ["hunter2hunter2"]),
+    ('p="abcd1"\npassword = p+"efgh2"', ["abcd1", "efgh2"]),
+    ('k1="abcd1efg"\nsecret=k1+k1', ["abcd1efg"]),
+    ('part="abc"\npart += "defgh123"\nauth_token = part', ["abc", "defgh123"]),
+    ('a = b = api_key = "zzzyyxx11223"', ["zzzyyxx11223"]),
+    ("export TOKEN=abc/def+ghi12==", ["abc/def+ghi12=="]),
+    ("don't forget password: 'abcd1234efgh'", ["abcd1234efgh"]),
+    ('conn = "Server=x;Password=Secr3tValue9"', ["Secr3tValue9"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+    ("db_pwd = OpenSesameNow", ["OpenSesameNow"]),
+    ('my_token="changeme"', []),
+    ('name = "Zx9Zx9Zx9Zx9"', []),
+    ("secret: ${VALUE}", []),
+    ('if password == "notthis12345": pass', []),
+    ("the password: something happened here", []),
+    ("password = None", []),
+]
+
+
+@pytest.mark.parametrize("text, want", PAIRS)
+def test_literals_reach_names(text, want):
+    assert found(text) == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_propagation_against_brute_force(seed):
+    """Random programs of assignments and joins: values written out in full, with the places that they come from."""
+    rng = random.Random(seed)
+    names, text, held, want = ["a", "b", "c", "d", "secret", "my_token"], "", {}, set()
+    for _ in range(rng.randrange(1, 25)):
+        name, places, value = rng.choice(names), set(), ""
+        known = [x for x in names if x in held]
+        text += f"{name} = "
+        for k in range(rng.randrange(1, 4)):
+            text += " + " if k else ""
+            if known and rng.random() < 0.5:
+                other = rng.choice(known)
+                text += other
+                value, places = value + held[other][0], places | held[other][1]
+            else:
+                body = "".join(rng.choice("abc1") for _ in range(rng.randrange(1, 9)))
+                places |= {(len(text) + 1, len(text) + 1 + len(body))}
+                text += f'"{body}"'
+                value += body
+        text += "\n"
+        held[name] = value, places
+        if name in ("secret", "my_token") and len(value) >= secrets.LEAST and len(set(value)) >= secrets.DIFFERENT:
+            want |= places
+    assert {(a, b) for a, _, b in secrets.literal_spans(text)} == want
+
+
+LONG = [
+    'a0="secretlit1"\n' + "".join(f"a{k + 1} = a{k} + a{k}\n" for k in range(5000)) + "password = a5000\n",
+    "=k".join(map(str, range(50_000))) + "\npassword=x",
+    "password=" * 50_000,
+    "password = '" * 50_000,
+    "password: \n" + "x:|\n " * 50_000,
+    "<a " * 100_000 + "secret",
+    "password = f(" * 50_000,
+    "secret=" + "b+" * 100_000 + "1",
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_long_texts_take_time_by_their_length(text):
+    began = time.process_time()
+    secrets.literal_spans(text)
+    assert time.process_time() - began < 15
 
 
 # --- mixing
@@ -214,7 +304,7 @@ def test_mixing(spark, parts):
         assert r.target == pytest.approx(target[source[d]]) and r.source_size == sizes[source[d]] and 0 <= r.taken <= 2 * r.size and size == r.size
         taken[source[d]] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= max(200, 0.02 * target[s])
+        assert abs(taken[s] - target[s]) <= 3
     again = {(r.doc_id, r.size): r for r in mix_sources(docs.repartition(3)).collect()}
     assert {k: r.taken for k, r in again.items()} == {k: r.taken for k, r in got.items()}
 
