@@ -11,8 +11,9 @@
    a combination. Sets with a < k are indexed under every shingle as well.
 3. Sets with an index key in common are candidates, unless a bound on what they share
    rules a link out: unique shingles are not shared, and parity bitmaps of the others
-   differ in no more bits than the sets in shingles. Neighbours in key order are verified
-   first, and links give components; then every candidate pair that is still in two
+   differ in no more bits than the sets in shingles. Neighbours under a set's least keys
+   (a sketch of its keys: near copies share some of them) are verified first, and links
+   give components; then every candidate pair that is still in two
    components is verified, so no link between components is lost, while a group of
    near copies costs a few pairs per member. A pair is made at the first key that its
    sets share and hardly ever again (never where one of the ``EARLIER`` keys before is
@@ -44,6 +45,8 @@ FREQUENT = 64
 GROUPS = 4
 #: How many of a set's earlier keys are held beside a key, to see that a pair has come from one of them.
 EARLIER = 16
+#: Under so many of a set's keys, the least ones, neighbours are looked for first; what that misses is left to the candidates of all keys.
+LEAST_KEYS = 8
 #: Kinds of rows in the shuffles: a chunk's table of sets, its frequent occurrences, shingles to be counted, their answer.
 TABLE, OWN, COUNT, ANSWER = 0, 1, 2, 3
 ROW = "bucket int, chunk long, kind int, part binary"
@@ -317,7 +320,8 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     every = cut(told.mapInArrow(frugal(build_sets(percent)), SET_ROW), "sets")
     sets = every.where("keys is not null").select("doc_id", "n_shingles", "tokens")
     posted = cut(every.where("keys is not null").select("doc_id", "n_shingles", F.size("tokens").cast("long").alias("shareable"), "low", "high", F.explode("keys").alias("key")), "set-keys")
-    ordered = posted.repartitionByRange(parts, F.col("key"), F.xxhash64("key", "doc_id")).sortWithinPartitions("key", F.xxhash64("key", "doc_id"))
+    sketch = every.where("keys is not null").select("doc_id", "n_shingles", F.size("tokens").cast("long").alias("shareable"), "low", "high", F.explode(F.slice("keys", 1, LEAST_KEYS)).alias("key"))
+    ordered = sketch.repartitionByRange(parts, F.col("key"), F.xxhash64("key", "doc_id")).sortWithinPartitions("key", F.xxhash64("key", "doc_id"))
     first = ordered.select("key", "doc_id", "n_shingles", "shareable", "low", "high").mapInArrow(frugal(neighbours(percent)), "a long, b long").distinct()
     links = cut(linked(first, sets, percent), "links-1")
     label = components(links)
