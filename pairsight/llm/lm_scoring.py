@@ -77,6 +77,8 @@ def train_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
 
 def gram_keys(text: bytes, size: np.ndarray) -> np.ndarray:
     """For each byte of texts of these sizes: its context and itself as one number; END stands before a text's beginning."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
     first = np.cumsum(size + 8) - size
     padded = np.full(int((size + 8).sum()), END, np.uint8)
     at = spread(first, size)
