@@ -57,14 +57,6 @@ def mcnemar_exact(n10: Column, n01: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
-def holm(p: str, family: list[str], ties: list[str]) -> Column:
-    """Step-down adjusted p within a family (which must be named: the same p values in other families adjust otherwise)."""
-    order = Window.partitionBy(*family).orderBy(p, *ties)
-    size = F.count(p).over(Window.partitionBy(*family))
-    stepped = (size - F.row_number().over(order) + 1) * F.col(p)
-    return F.least(F.lit(1.0), F.max(stepped).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def holm_columns(df, p: str, family: list[str], ties: list[str], name: str):
     """``df`` with the adjusted p. A window inside a window is not allowed, so the steps are two."""
     order = Window.partitionBy(*family).orderBy(p, *ties)

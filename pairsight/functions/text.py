@@ -74,18 +74,16 @@ def composite_key(*parts: Column, sep: str = "#") -> Column:
     return key
 
 
-def answer_start(context: Column, answer: Column, start: Column) -> Column:
-    """From 0: the given start if the answer is there, else its first place, else null."""
-    there = F.substring(context, start + 1, F.length(answer)) == answer
-    found = F.instr(context, answer)
-    return F.when(there, start).when(found > 0, found - 1)
+def stripped(value: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(value, r"^[\s\h\v\x1c-\x1f\x85]+|[\s\h\v\x1c-\x1f\x85]+$", "")
 
 
 def prompt(parts: dict[str, Column], layout: list[str]) -> Column:
     """Lines of fixed text and of trimmed parts (``{name}``), without a line end at the end."""
     out = []
     for line in layout:
-        pieces = [F.trim(parts[p[1:-1]]) if p.startswith("{") else F.lit(p) for p in line.split("|")]
+        pieces = [stripped(parts[p[1:-1]]) if p.startswith("{") else F.lit(p) for p in line.split("|")]
         out.append(F.concat(*pieces))
     return F.concat_ws("\n", *out)
 
@@ -95,8 +93,19 @@ def commit_sha(value: Column) -> Column:
 
 
 def alias_of(model: Column, lang: Column, epochs: Column) -> Column:
-    """model-ft-lang, or model-ft3ep-lang beyond one epoch."""
-    return F.concat(model, F.when(epochs > 1, F.concat(F.lit("-ft"), epochs.cast("string"), F.lit("ep-"))).otherwise("-ft-"), lang)
+    """model-ft-lang, or model-ft3ep-lang beyond one epoch; ``__`` parts the fields of file names, so an alias that holds it is fatal."""
+    alias = F.concat(model, F.when(epochs > 1, F.concat(F.lit("-ft"), epochs.cast("string"), F.lit("ep-"))).otherwise("-ft-"), lang)
+    return F.when(alias.contains("__"), F.raise_error(F.concat(F.lit("P12 alias: holds __: "), alias))).otherwise(alias)
+
+
+def truncated(n_tokens: Column, most: int) -> Column:
+    """Whether a prompt filled the window, and so may have lost its beginning (P10)."""
+    return n_tokens >= most
+
+
+def timestamp(value: Column) -> Column:
+    """An ISO timestamp as a point in time; null where it is none."""
+    return F.try_to_timestamp(value)
 
 
 def alias_parts(alias: Column) -> Column:

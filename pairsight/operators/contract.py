@@ -104,15 +104,22 @@ def unknown_keys(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct(), key, "left_anti")
 
 
-def conservation(source: DataFrame, items: DataFrame, dropped: DataFrame) -> DataFrame:
-    """n_source, n_items, n_dropped, holds."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(source, "n_source").join(count(items, "n_items")).join(count(dropped, "n_dropped")).withColumn("holds", F.col("n_items") + F.col("n_dropped") == F.col("n_source"))
+def conservation(parts: DataFrame, by: str, dropped: str) -> DataFrame:
+    """by, n_source, n_items, n_dropped, holds: whether every source row is an item or a drop, once (V19). parts: one row for each item or drop, with a column ``n_source`` of its group's rows."""
+    sums = parts.groupBy(by).agg(F.max("n_source").alias("n_source"), F.count_if(F.col(dropped).isNull()).alias("n_items"), F.count(dropped).alias("n_dropped"))
+    return sums.withColumn("holds", F.col("n_items") + F.col("n_dropped") == F.col("n_source"))
 
 
-def spread_of_rates(rates: DataFrame, rate: str, ceiling: float) -> DataFrame:
-    """lowest, highest, spread, within: how far groups' rates are apart."""
-    return rates.agg(F.min(rate).alias("lowest"), F.max(rate).alias("highest"), (F.max(rate) - F.min(rate)).alias("spread")).withColumn("within", F.col("spread") <= ceiling)
+def spread_of_rates(rates: DataFrame, rate: str, ceiling: float, by: list[str] | None = None) -> DataFrame:
+    """by..., lowest, highest, spread, within: how far rates are apart."""
+    sums = rates.groupBy(*(by or [])).agg(F.min(rate).alias("lowest"), F.max(rate).alias("highest"), (F.max(rate) - F.min(rate)).alias("spread"))
+    return sums.withColumn("within", F.col("spread") <= ceiling)
+
+
+def row_fraction(parts: DataFrame, by: str, partition: str, low: float = 0.70, high: float = 0.90) -> DataFrame:
+    """by, fraction, within: the share of a group's rows that are in training."""
+    share = F.count_if(F.col(partition) == "train") / F.count("*")
+    return parts.groupBy(by).agg(share.alias("fraction")).withColumn("within", F.col("fraction").between(low, high))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

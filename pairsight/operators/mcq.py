@@ -272,6 +272,17 @@ def require(gated: DataFrame) -> None:
         raise ContractError("V22 construction", ", ".join(sorted(set(broken))))
 
 
+IGNORED = -100
+
+
+def training_examples(items: DataFrame, encoded: Column, option_ids: list[int], most: int) -> DataFrame:
+    """item_id, input_ids, labels, label_id: the prompt's last ``most`` - 1 tokens, then the gold option's, which alone is learned from (F17). A gold outside the options is fatal."""
+    label = F.get(F.array(*map(F.lit, option_ids)), F.col("gold") - 1)
+    label = F.when(label.isNull(), F.raise_error(F.concat(F.lit("F17 gold: "), F.col("item_id")))).otherwise(label)
+    kept = F.when(F.size(encoded) > most - 1, F.slice(encoded, F.size(encoded) - (most - 2), F.lit(most - 1))).otherwise(encoded)
+    return items.select("item_id", kept.alias("_ids"), label.alias("label_id")).select("item_id", F.concat("_ids", F.array("label_id")).alias("input_ids"), F.concat(F.array_repeat(F.lit(IGNORED), F.size("_ids")), F.array("label_id")).alias("labels"), "label_id")
+
+
 def burden(rows: DataFrame, by: list[str], size: str) -> DataFrame:
     """by..., median (whole), mean (one digit), max of token counts."""
     return rows.groupBy(*by).agg(F.median(size).cast("int").alias("median_tokens"), F.round(F.avg(size), 1).alias("mean_tokens"), F.max(size).alias("max_tokens"))

@@ -4,6 +4,10 @@ A cell is one configuration's outcomes over a set of items. Items are matched by
 never by position. Outcomes of several configurations are brought side by side in one
 aggregation by item (``pivot_outcomes``), so a contrast costs one shuffle by item and no
 self-join, however many contrasts are read from it.
+
+Nothing is dropped in silence: a cell that lacks items which its partner has ends the job
+(``J1 alignment``) from within the aggregation that reads it, at no further cost; cells
+that have no partner at all make no row. ``incomplete_cells`` tells which they are.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsight.functions.stats import holm_columns, mcnemar_exact, wilson
+from pairsight.operators.ranks import average_ranks
 
 
 def accuracy(tidy: DataFrame, by: list[str], z: float = 1.96, clamp: bool = True) -> DataFrame:
@@ -30,22 +35,45 @@ def pivot_outcomes(tidy: DataFrame, key: list[str], over: str, values: list[str]
     return tidy.groupBy(*key).agg(*(F.max(F.when(F.col(over) == v, F.col(outcome))).alias(v) for v in values))
 
 
+def aligned(n: Column, held: list[Column], expected: int | None = None) -> Column:
+    """``n``, the items that all cells of a contrast have; fatal where one of them (``held``: its items) has more, or n is not ``expected``."""
+    most = F.greatest(*held) if len(held) > 1 else held[0]
+    off = most != n
+    if expected is not None:
+        off = off | (n != expected)
+    message = F.concat(F.lit("J1 alignment: "), n.cast("string"), F.lit(" items in common of "), most.cast("string"), F.lit("" if expected is None else f", {expected} expected"))
+    return F.when(off, F.raise_error(message)).otherwise(n)
+
+
+def incomplete_cells(tidy: DataFrame, within: list[str], cell: list[str], item: str) -> DataFrame:
+    """within..., cell..., n_items, n_missing: cells that lack items which another cell within the same group has."""
+    keyed = tidy.select(*within, *cell, item).distinct()
+    total = keyed.select(*within, item).distinct().groupBy(*within).agg(F.count("*").alias("total"))
+    held = keyed.groupBy(*within, *cell).agg(F.count("*").alias("n_items"))
+    met = held.join(total, within) if within else held.join(F.broadcast(total))
+    return met.select(*within, *cell, "n_items", (F.col("total") - F.col("n_items")).alias("n_missing")).where("n_missing > 0")
+
+
 def discordant(a: Column, b: Column) -> tuple[Column, Column]:
     """(only a, only b)."""
     return F.count_if((a == 1) & (b == 0)), F.count_if((a == 0) & (b == 1))
 
 
-def degradation(tidy: DataFrame, by: list[str], item: str, baseline: str, others: list[str], family: list[str]) -> DataFrame:
-    """by..., precision, acc_fp16, acc_quant, delta_acc, n_fp16_only, n_quant_only, mcnemar_p, mcnemar_p_holm."""
+def degradation(tidy: DataFrame, by: list[str], item: str, baseline: str, others: list[str], family: list[str], expected: int | None = None) -> DataFrame:
+    """by..., precision, n, acc_fp16, acc_quant, delta_acc, n_fp16_only, n_quant_only, mcnemar_p, mcnemar_p_holm.
+
+    Fatal where a cell lacks items of its baseline or the other way round (or has not ``expected`` items); a precision that a group lacks makes no row.
+    """
     wide = pivot_outcomes(tidy, [*by, item], "precision", [baseline, *others])
     sums = []
     for k, other in enumerate(others):
         a, b = F.col(baseline), F.col(other)
         ten, one = discordant(a, b)
-        sums += [F.count_if(a.isNotNull() & b.isNotNull()).alias(f"n{k}"), F.sum(F.when(b.isNotNull(), a)).alias(f"a{k}"), F.sum(F.when(a.isNotNull(), b)).alias(f"b{k}"), ten.alias(f"t{k}"), one.alias(f"o{k}")]
-    cells = wide.groupBy(*by).agg(*sums)
-    each = F.explode(F.array(*(F.struct(F.lit(o).alias("precision"), *(F.col(f"{c}{k}").cast("long").alias(c) for c in "nabto")) for k, o in enumerate(others)))).alias("x")
-    rows = cells.select(*by, each).select(*by, "x.*").where("n > 0")
+        sums += [F.count(b).alias(f"h{k}"), F.count_if(a.isNotNull() & b.isNotNull()).alias(f"n{k}"), F.sum(F.when(b.isNotNull(), a)).alias(f"a{k}"), F.sum(F.when(a.isNotNull(), b)).alias(f"b{k}"), ten.alias(f"t{k}"), one.alias(f"o{k}")]
+    cells = wide.groupBy(*by).agg(F.count(F.col(baseline)).alias("held"), *sums)
+    each = F.explode(F.array(*(F.struct(F.lit(o).alias("precision"), *(F.col(f"{c}{k}").cast("long").alias(c) for c in "hnabto")) for k, o in enumerate(others)))).alias("x")
+    rows = cells.select(*by, "held", each).select(*by, "held", "x.*").where("h > 0 and held > 0")
+    rows = rows.withColumn("n", aligned(F.col("n"), [F.col("held"), F.col("h")], expected))
     table = rows.select(
         *by,
         "precision",
@@ -60,19 +88,17 @@ def degradation(tidy: DataFrame, by: list[str], item: str, baseline: str, others
     return holm_columns(table, "mcnemar_p", family, [*by, "precision"], "mcnemar_p_holm")
 
 
-def item_differences(wide: DataFrame, by: list[str], left: tuple[Column, Column], right: tuple[Column, Column]) -> DataFrame:
-    """by..., d = (left fp16 - left quantised) - (right fp16 - right quantised), one integer for each item."""
-    d = (left[0] - left[1]) - (right[0] - right[1])
-    return wide.select(*by, d.cast("int").alias("d")).where("d is not null")
+def tally(differences: DataFrame, by: list[str], expected: int | None = None) -> DataFrame:
+    """by..., n, total, and how many items have each difference: all that a bootstrap of the mean needs.
 
-
-def tally(differences: DataFrame, by: list[str]) -> DataFrame:
-    """by..., n, total, and how many items have each difference: all that a bootstrap of the mean needs."""
+    A null difference is an item that one of the cells lacks: fatal, but where no item has a difference, since then a whole cell is not there.
+    """
     counts = [F.count_if(F.col("d") == v).alias(f"c{v + 4}") for v in range(-4, 5)]
-    return differences.groupBy(*by).agg(F.count("*").alias("n"), F.sum("d").alias("total"), *counts)
+    summed = differences.groupBy(*by).agg(F.count("d").alias("n"), F.count("*").alias("_held"), F.sum("d").alias("total"), *counts)
+    return summed.where("n > 0").withColumn("n", aligned(F.col("n"), [F.col("_held")], expected)).drop("_held")
 
 
-def bootstrap(differences: DataFrame, by: list[str], n_boot: int = 10_000, seed: int = 0, percentiles: tuple[float, float] = (2.5, 97.5), cap: bool = True) -> DataFrame:
+def bootstrap(differences: DataFrame, by: list[str], n_boot: int = 10_000, seed: int = 0, percentiles: tuple[float, float] = (2.5, 97.5), cap: bool = True, expected: int | None = None) -> DataFrame:
     """by..., n, delta, ci_low, ci_high, p_bootstrap, n_boot.
 
     Differences take few integer values, and the mean of n draws depends on how often
@@ -80,7 +106,7 @@ def bootstrap(differences: DataFrame, by: list[str], n_boot: int = 10_000, seed:
     the tally, in time that does not grow with the number of items. One seed for each
     contrast, from ``seed`` and its key, so results do not move with partitions.
     """
-    counted = tally(differences, by)
+    counted = tally(differences, by, expected)
     names = [f"c{v + 4}" for v in range(-4, 5)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*by).schema), "n long, delta double, ci_low double, ci_high double, p_bootstrap double, n_boot long"])
 
@@ -102,27 +128,34 @@ def bootstrap(differences: DataFrame, by: list[str], n_boot: int = 10_000, seed:
     return counted.mapInPandas(draw, schema)
 
 
-def bootstrap_hashed(differences: DataFrame, item: str, n_boot: int, seed: int, percentiles: tuple[float, float] = (0.025, 0.975), cap: bool = True) -> DataFrame:
-    """The same for one contrast by item draws from MD5 of seed, replicate and place: an independent engine can repeat it.
+def bootstrap_hashed(differences: DataFrame, by: list[str], n_boot: int, seed: int, percentiles: tuple[float, float] = (0.025, 0.975), cap: bool = True, expected: int | None = None) -> DataFrame:
+    """The same by draws from MD5 of seed, replicate and place: an independent engine can repeat it.
 
-    The items are put in key order in one array; meant for checks, not for large n.
+    A draw is a place among the items sorted by their difference, so the tally tells its value and no item is held;
+    the work is one digest for each draw, over groups and replicates.
     """
-    vector = differences.agg(F.transform(F.array_sort(F.collect_list(F.struct(item, "d"))), lambda x: x["d"]).alias("v"), F.count("*").alias("n"), F.sum("d").alias("total"))
-    index = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), j.cast("string"))), 1, 15), 16, 10).cast("long"), F.col("n")).cast("int")
-    drawn = vector.select("v", "n", "total", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    sums = drawn.select("n", "total", F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(0), lambda acc, j: acc + F.get("v", index(j))).alias("s"))
+    counted = tally(differences, by, expected)
+    index = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), j.cast("string"))), 1, 15), 16, 10).cast("long"), F.col("n"))
+    edges = [sum((F.col(f"c{k}") for k in range(1, v + 1)), F.col("c0")) for v in range(9)]
+
+    def value(j: Column) -> Column:
+        # the place is bound once, in an array of one, and then set against the counts' running sums
+        return F.aggregate(F.array(index(j)), F.lit(-4), lambda acc, at: acc + sum(((at >= e).cast("int") for e in edges[:-1]), F.lit(0)))
+
+    drawn = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    sums = drawn.select(*by, "n", "total", F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(0), lambda acc, j: acc + value(j)).alias("s"))
     share = lambda c: F.count_if(c) / F.lit(float(n_boot))
     both = 2 * F.least(share(F.col("s") <= 0), share(F.col("s") >= 0))
-    return sums.groupBy("n", "total").agg(
+    return sums.groupBy(*by, "n", "total").agg(
         F.percentile(F.col("s") / F.col("n"), F.lit(percentiles[0])).alias("ci_low"), F.percentile(F.col("s") / F.col("n"), F.lit(percentiles[1])).alias("ci_high"), (F.least(F.lit(1.0), both) if cap else both).alias("p_bootstrap")
-    ).select("n", (F.col("total") / F.col("n")).alias("delta"), "ci_low", "ci_high", "p_bootstrap")
+    ).select(*by, "n", (F.col("total") / F.col("n")).alias("delta"), "ci_low", "ci_high", "p_bootstrap", F.lit(n_boot).cast("long").alias("n_boot"))
 
 
 def bootstrap_numpy(differences: np.ndarray, n_boot: int, seed: int, percentiles: tuple[float, float] = (2.5, 97.5), cap: bool = True) -> dict[str, float]:
-    """One contrast with NumPy's own index stream, for parity with published intervals; in blocks of replicates."""
+    """One contrast with NumPy's own index stream, for parity with published intervals; in blocks of replicates, which draw the same stream."""
     d, n = np.asarray(differences, np.int64), len(differences)
-    index = np.random.default_rng(seed).integers(0, n, size=(n_boot, n))
-    sums = d[index].sum(axis=1)
+    rng, step = np.random.default_rng(seed), max(1, (1 << 22) // max(n, 1))
+    sums = np.concatenate([d[rng.integers(0, n, size=(min(step, n_boot - k), n))].sum(axis=1) for k in range(0, n_boot, step)])
     low, high = np.percentile(sums / n, percentiles)
     p = 2 * min((sums <= 0).mean(), (sums >= 0).mean())
     return {"delta": d.mean(), "ci_low": low, "ci_high": high, "p_bootstrap": min(1.0, p) if cap else p}
@@ -130,11 +163,7 @@ def bootstrap_numpy(differences: np.ndarray, n_boot: int, seed: int, percentiles
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by..., n, rho: correlation of average ranks."""
-    from pyspark.sql import Window
-
-    def ranked(c: str) -> Column:
-        group = Window.partitionBy(*by)
-        ties = F.count("*").over(Window.partitionBy(*by, c))
-        return F.rank().over(group.orderBy(c)) + (ties - 1) / 2
-
-    return df.withColumns({"_rx": ranked(x), "_ry": ranked(y)}).groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    rows = df.select(*by, x, y)
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        rows = rows.join(average_ranks(df, c, by).withColumnRenamed("rank", name), [*by, c])
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.errors import ContractError
 from pairsight.functions.stats import Z_EXACT, holm_columns, wilson
 from pairsight.operators import paired
 
@@ -19,15 +18,9 @@ def floor_gate(cells: DataFrame, by: str = "lang", floor: float = FLOOR) -> Data
     return sums.select(by, "n", "correct", (F.col("correct") / F.col("n")).alias("acc"), low.alias("ci_low"), high.alias("ci_high"), (low > floor).alias("passes_floor"))
 
 
-def exact_join(*cells: DataFrame, key: str, expected: int) -> DataFrame:
-    """Inner join on the key of tables with one outcome column each; fatal unless exactly ``expected`` rows meet."""
-    out = cells[0]
-    for other in cells[1:]:
-        out = out.join(other, key)
-    n = out.count()
-    if n != expected:
-        raise ContractError("J3 row count", f"{n} rows where {expected} were expected")
-    return out
+def touches_chance(cells: DataFrame, chance: float = 0.25) -> DataFrame:
+    """The cells (ci_low, ci_high of their accuracy) with ``touches_chance``: whether guessing is within the interval."""
+    return cells.withColumn("touches_chance", (F.col("ci_low") <= chance) & (F.col("ci_high") >= chance))
 
 
 def degradation(tidy: DataFrame, passing: DataFrame, baseline: str = "fp16", others: tuple[str, ...] = ("int8_llmint8", "nf4")) -> DataFrame:
@@ -37,21 +30,23 @@ def degradation(tidy: DataFrame, passing: DataFrame, baseline: str = "fp16", oth
     return table.select("lang", "precision", F.col("delta_acc").alias("delta"), F.col("n_fp16_only").alias("lost"), F.col("n_quant_only").alias("gained"), "mcnemar_p", "mcnemar_p_holm")
 
 
-def cross_model(first: DataFrame, second: DataFrame, passing: DataFrame, narrow, n_boot: int = 20_000, seed: int = 0, precisions: tuple[str, ...] = ("fp16", "int8_llmint8", "nf4")) -> DataFrame:
+def cross_model(first: DataFrame, second: DataFrame, passing: DataFrame, narrow, n_boot: int = 20_000, seed: int = 0, precisions: tuple[str, ...] = ("fp16", "int8_llmint8", "nf4"), expected: int | None = None, hashed: bool = False) -> DataFrame:
     """Degradation of the second model less that of the first, by item; p is not capped, and adjusted over all tests and over the narrow family.
 
-    ``narrow``: a column expression over lang and precision that tells the pre-registered tests.
+    ``narrow``: a column expression over lang and precision that tells the pre-registered tests. Fatal where
+    the models do not hold the same items (or not ``expected`` ones, J3).
     """
     base = precisions[0]
-    a = paired.pivot_outcomes(first, ["lang", "item_id"], "precision", list(precisions))
-    b = paired.pivot_outcomes(second, ["lang", "item_id"], "precision", list(precisions))
-    met = a.select("lang", "item_id", *(F.col(p).alias(f"a_{p}") for p in precisions)).join(b, ["lang", "item_id"]).join(passing.where("passes_floor").select("lang"), "lang", "left_semi")
+    kept = passing.where("passes_floor").select("lang")
+    a, b = (paired.pivot_outcomes(x.join(kept, "lang", "left_semi"), ["lang", "item_id"], "precision", list(precisions)) for x in (first, second))
+    met = a.select("lang", "item_id", *(F.col(p).alias(f"a_{p}") for p in precisions)).join(b, ["lang", "item_id"], "full_outer")
     each = F.array(*(F.struct(F.lit(p).alias("precision"), (F.col(f"a_{base}") - F.col(f"a_{p}")).alias("da"), (F.col(base) - F.col(p)).alias("db")) for p in precisions[1:]))
-    rows = met.select("lang", F.explode(each).alias("x")).select("lang", "x.*").where("da is not null and db is not null")
-    means = rows.groupBy("lang", "precision").agg((F.sum("da") / F.count("*")).alias("first_degradation"), (F.sum("db") / F.count("*")).alias("rep_degradation"))
-    tested = paired.bootstrap(rows.select("lang", "precision", (F.col("db") - F.col("da")).cast("int").alias("d")), ["lang", "precision"], n_boot, seed, cap=False)
+    rows = met.select("lang", F.explode(each).alias("x")).select("lang", "x.*")
+    means = rows.groupBy("lang", "precision").agg((F.sum("da") / F.count("da")).alias("first_degradation"), (F.sum("db") / F.count("db")).alias("rep_degradation"))
+    d = rows.select("lang", "precision", (F.col("db") - F.col("da")).cast("int").alias("d"))
+    tested = (paired.bootstrap_hashed if hashed else paired.bootstrap)(d, ["lang", "precision"], n_boot, seed, cap=False, expected=expected)
     out = means.join(tested, ["lang", "precision"]).select(
-        "lang", "precision", "first_degradation", "rep_degradation", F.col("delta").alias("difference"), "ci_low", "ci_high", "p_bootstrap", ~((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)).alias("ci_excludes_zero"), narrow.alias("in_prereg_family"), F.lit(1).alias("_all")
+        "lang", "precision", "first_degradation", "rep_degradation", F.col("delta").alias("difference"), "ci_low", "ci_high", "p_bootstrap", (~((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))).alias("ci_excludes_zero"), narrow.alias("in_prereg_family"), F.lit(1).alias("_all")
     )
     out = holm_columns(out, "p_bootstrap", ["_all"], ["lang", "precision"], "p_holm_all_tests")
     out = holm_columns(out, "p_bootstrap", ["in_prereg_family"], ["lang", "precision"], "_narrow")

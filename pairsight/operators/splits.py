@@ -15,12 +15,14 @@ def ordinals(rows: DataFrame, group: str, order: list[str], ties: list[str]) ->
 
 
 def grouped_split(rows: DataFrame, by: str, group: str, fraction: float, seed: object, label: str = "split") -> DataFrame:
-    """by, group, partition: whole groups go to train or heldout; the share is rounded half to even, and both sides get one."""
+    """by, group, partition: whole groups go to train or heldout; the share is rounded half to even, and both sides get one, so one group alone is fatal."""
     groups = rows.select(by, group).distinct()
     rank = F.row_number().over(Window.partitionBy(by).orderBy(hash_rank(F.lit(str(seed)), F.col(by), F.lit(label), F.col(group)), group))
     n = F.count("*").over(Window.partitionBy(by))
     cut = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(fraction)).cast("long")))
-    return groups.select(by, group, F.when(rank <= cut, "train").otherwise("heldout").alias("partition"))
+    side = F.when(rank <= cut, "train").otherwise("heldout")
+    alone = F.concat(F.lit("K4 split: one group alone can't be on both sides: "), F.col(by).cast("string"))
+    return groups.select(by, group, F.when(n < 2, F.raise_error(alone)).otherwise(side).alias("partition"))
 
 
 def capped(rows: DataFrame, by: str, key: str, cap: int, seed: object, label: str) -> DataFrame:

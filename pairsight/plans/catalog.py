@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairsight.functions import stats, text
-from pairsight.operators import contamination, contract, grid, mcq, paired, replication, splits
+from pairsight.operators import contamination, contract, grid, mcq, paired, ranks, replication, splits
 from pairsight.plans.tables import GRID_SQL, LANGS, REFERENCE, labelled, table
 from pairsight.plans.tables import grid as grid_of
+from pairsight.sources import benchmark, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,7 +107,7 @@ def mcnemar_holm_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT list(quality - toxic ORDER BY doc_id) AS v, count(*) AS n, sum(quality - toxic) AS total FROM labels),
+WITH l AS (SELECT list(quality - toxic ORDER BY quality - toxic) AS v, count(*) AS n, sum(quality - toxic) AS total FROM labels),
 r AS (SELECT n, total, list_sum(list_transform(range(0, n), lambda j: v[CAST(('0x' || substr(md5(concat('7|', rep, '|', j)), 1, 15))::BIGINT % n AS BIGINT) + 1])) AS s FROM l, range(0, 200) t(rep))
 SELECT n, round(total / n, 9) AS delta, round(quantile_cont(s / n, 0.025), 9) AS ci_low, round(quantile_cont(s / n, 0.975), 9) AS ci_high,
        round(least(1.0, 2 * least(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0.0 END))), 9) AS p_bootstrap
@@ -115,7 +116,7 @@ FROM r GROUP BY n, total
 def bootstrap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7 with indices that another engine can repeat (B1)."""
     d = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).cast("int").alias("d"))
-    return rounded(paired.bootstrap_hashed(d, "doc_id", 200, 7))
+    return rounded(paired.bootstrap_hashed(d.withColumn("_all", F.lit(1)), ["_all"], 200, 7).drop("_all", "n_boot"))
 
 
 @query(f"""
@@ -127,7 +128,7 @@ FROM w a JOIN w b ON a.arm = b.arm AND a.item_id = b.item_id AND b.lang = 'L0' W
 def did_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6, J1, J5."""
     d = grid.language_differences(grid_of(spark, sf_dir), REFERENCE).where("precision = 'nf4'")
-    return rounded(d.groupBy("arm", "lang").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.avg("d").alias("delta")))
+    return rounded(grid.points(d, ["arm", "lang"]))
 
 
 @query(f"""
@@ -169,16 +170,49 @@ def grid_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.rq3(grid_of(spark, sf_dir)))
 
 
-@query()
+#: Replicates of the registered bootstraps, which repeat in another engine draw by draw.
+REPLICATES = 40
+
+
+def bootstrap_sql(source: str, by: str, seed: int, cap: bool) -> str:
+    """by, n, delta, ci_low, ci_high, p_bootstrap of ``source`` (by, d): the same draws from MD5 as the library's."""
+    p = "2 * least(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0.0 END))"
+    return f"""SELECT {by}, n, total / n AS delta, quantile_cont(s / n, 0.025) AS ci_low, quantile_cont(s / n, 0.975) AS ci_high, {f'least(1.0, {p})' if cap else p} AS p_bootstrap
+FROM (SELECT {by}, n, total, list_sum(list_transform(range(0, n), lambda j: v[CAST(('0x' || substr(md5(concat('{seed}|', rep, '|', j)), 1, 15))::BIGINT % n AS BIGINT) + 1])) AS s
+      FROM (SELECT {by}, list(d ORDER BY d) AS v, count(*) AS n, sum(d) AS total FROM {source} GROUP BY {by}), range(0, {REPLICATES}) t(rep))
+GROUP BY {by}, n, total"""
+
+
+WIDE_SQL = "w AS (SELECT arm, lang, item_id, max(CASE WHEN precision = 'fp16' THEN correct END) - max(CASE WHEN precision = 'int8_llmint8' THEN correct END) AS i, max(CASE WHEN precision = 'fp16' THEN correct END) - max(CASE WHEN precision = 'nf4' THEN correct END) AS q FROM g GROUP BY ALL)"
+TESTED = "n, round(delta, 9) AS delta_interaction, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_bootstrap, 9) AS p_bootstrap, CAST({0} AS BIGINT) AS n_boot, round(p_holm, 9) AS p_holm"
+
+
+@query(f"""
+WITH g AS ({GRID_SQL}), {WIDE_SQL},
+d AS (SELECT a.arm, a.lang, p.precision, CAST(CASE p.precision WHEN 'nf4' THEN a.q - b.q ELSE a.i - b.i END AS INT) AS d FROM w a JOIN w b ON a.arm = b.arm AND a.item_id = b.item_id AND b.lang = 'L0' AND a.lang <> 'L0', (VALUES ('int8_llmint8'), ('nf4')) p(precision)),
+t AS ({bootstrap_sql('d', 'arm, lang, precision', 20260826, True)})
+SELECT arm, lang, precision, {TESTED.format(REPLICATES)}, 'L0' AS reference FROM ({holm_sql('t', 'p_bootstrap', 'p_holm', 'arm, lang, precision')})
+""")
 def grid_rq1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2 with the bootstrap drawn from tallies."""
-    return rounded(grid.rq1(grid_of(spark, sf_dir), REFERENCE, 2000, 20260826))
+    """C2, J1, J5, A7."""
+    return rounded(grid.rq1(grid_of(spark, sf_dir), REFERENCE, REPLICATES, 20260826, hashed=True))
 
 
-@query()
+@query(f"""
+WITH g AS ({GRID_SQL}), {WIDE_SQL},
+d AS (SELECT a.lang, p.precision, CAST(CASE p.precision WHEN 'nf4' THEN a.q - b.q ELSE a.i - b.i END AS INT) AS d FROM w a JOIN w b ON a.lang = b.lang AND a.item_id = b.item_id AND a.arm = 'ft' AND b.arm = 'base', (VALUES ('int8_llmint8'), ('nf4')) p(precision)),
+t AS ({bootstrap_sql('d', 'lang, precision', 20260826, True)})
+SELECT lang, precision, {TESTED.format(REPLICATES)}, 'ft - base' AS contrast FROM ({holm_sql('t', 'p_bootstrap', 'p_holm', 'lang, precision')})
+""")
 def grid_rq2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3."""
-    return rounded(grid.rq2(grid_of(spark, sf_dir), 2000, 20260826))
+    """C3, J6."""
+    return rounded(grid.rq2(grid_of(spark, sf_dir), REPLICATES, 20260826, hashed=True))
+
+
+@query()
+def grid_rq1_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 in its production form: replicates drawn from tallies, which no other engine draws alike."""
+    return rounded(grid.rq1(grid_of(spark, sf_dir), REFERENCE, 2000, 20260826))
 
 
 @query(f"""
@@ -189,15 +223,95 @@ FROM w f JOIN w b ON f.lang = b.lang AND f.item_id = b.item_id AND f.arm = 'ft'
 """)
 def arm_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3's point estimates, J6."""
-    return grid.arm_differences(grid_of(spark, sf_dir)).groupBy("lang", "precision").agg(F.count("*").alias("n"), F.sum("d").alias("total"))
+    return grid.points(grid.arm_differences(grid_of(spark, sf_dir)), ["lang", "precision"]).drop("delta")
 
 
-@query()
+@query(f"""
+WITH g AS ({GRID_SQL}), {WIDE_SQL},
+x AS (SELECT a.lang, p.precision, CASE p.precision WHEN 'nf4' THEN a.q ELSE a.i END AS da, CASE p.precision WHEN 'nf4' THEN b.q ELSE b.i END AS db FROM w a JOIN w b ON a.lang = b.lang AND a.item_id = b.item_id AND a.arm = 'base' AND b.arm = 'ft', (VALUES ('int8_llmint8'), ('nf4')) p(precision)),
+m AS (SELECT lang, precision, avg(da) AS first_degradation, avg(db) AS rep_degradation FROM x GROUP BY ALL),
+d AS (SELECT lang, precision, CAST(db - da AS INT) AS d FROM x),
+t AS (SELECT * FROM ({bootstrap_sql('d', 'lang, precision', 1, False)}) JOIN m USING (lang, precision)),
+f AS (SELECT *, precision = 'nf4' AND lang <> 'L0' AS in_prereg_family FROM t),
+h AS ({holm_sql('f', 'p_bootstrap', 'p_holm_all_tests', 'lang, precision')}),
+k AS ({holm_sql('h', 'p_bootstrap', 'narrow', 'lang, precision', 'in_prereg_family')})
+SELECT lang, precision, round(first_degradation, 9) AS first_degradation, round(rep_degradation, 9) AS rep_degradation, round(delta, 9) AS difference, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_bootstrap, 9) AS p_bootstrap,
+       NOT (ci_low <= 0 AND ci_high >= 0) AS ci_excludes_zero, in_prereg_family, round(p_holm_all_tests, 9) AS p_holm_all_tests, CASE WHEN in_prereg_family THEN round(narrow, 9) END AS p_holm_prereg
+FROM k
+""")
 def cross_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms stand for two models; p is not capped; two Holm families."""
+    """Arms stand for two models; p is not capped; two Holm families; the models must hold the same items."""
     rows = grid_of(spark, sf_dir)
     gate = replication.floor_gate(rows.where("arm = 'ft' and precision = 'fp16'"))
-    return rounded(replication.cross_model(rows.where("arm = 'base'"), rows.where("arm = 'ft'"), gate, (F.col("precision") == "nf4") & (F.col("lang") != REFERENCE), 2000, 1))
+    return rounded(replication.cross_model(rows.where("arm = 'base'"), rows.where("arm = 'ft'"), gate, (F.col("precision") == "nf4") & (F.col("lang") != REFERENCE), REPLICATES, 1, hashed=True))
+
+
+@query("""
+WITH c AS (SELECT lang, 'documents' AS cell, doc_id FROM documents UNION ALL SELECT d.lang, 'labels', d.doc_id FROM documents d JOIN labels l USING (doc_id) UNION ALL SELECT lang, 'with numbers', doc_id FROM documents WHERE regexp_matches(text, '[0-9]')),
+k AS (SELECT DISTINCT * FROM c), t AS (SELECT lang, count(DISTINCT doc_id) AS total FROM k GROUP BY lang)
+SELECT lang, cell, count(*) AS n_items, total - count(*) AS n_missing FROM k JOIN t USING (lang) GROUP BY lang, cell, total HAVING total > count(*)
+""")
+def incomplete_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that fail-fast alignment refuses; labelled documents and documents with digits against all of a language."""
+    docs = table(spark, sf_dir, "documents")
+    some = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    cells = [docs.select("lang", "doc_id", F.lit("documents").alias("cell")), some.select("lang", "doc_id", F.lit("labels").alias("cell")), docs.where(F.col("text").rlike("[0-9]")).select("lang", "doc_id", F.lit("with numbers").alias("cell"))]
+    return paired.incomplete_cells(cells[0].unionByName(cells[1]).unionByName(cells[2]), ["lang"], ["cell"], "doc_id")
+
+
+@query("""
+WITH k AS (SELECT lang, doc_id AS item_id, CAST(n_chars % 4 + 1 AS INT) AS gold FROM documents),
+m AS (SELECT doc_id AS item_id, CAST(quality + 1 AS INT) AS gold FROM labels), h AS (SELECT lang, item_id, count(*) AS held, min(gold) AS lo, max(gold) AS hi FROM k GROUP BY ALL)
+SELECT lang, CAST(sum(held) AS BIGINT) AS n_items, CAST(sum(held) <> 500 AS BIGINT) AS wrong_count, count(CASE WHEN held > 1 THEN 1 END) AS repeated, count(CASE WHEN m.item_id IS NULL THEN 1 END) AS unknown,
+       count(CASE WHEN lo <> m.gold OR hi <> m.gold THEN 1 END) AS gold_differs, (SELECT count(DISTINCT item_id) FROM m) - count(m.item_id) AS missing
+FROM h LEFT JOIN m USING (item_id) GROUP BY lang
+""")
+def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a language's export, labels as the frozen manifest, which knows some of them with other golds."""
+    rows = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("item_id"), (F.col("n_chars") % 4 + 1).cast("int").alias("gold"))
+    manifest = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), (F.col("quality") + 1).cast("int").alias("gold"))
+    return benchmark.report(rows, manifest, "lang", "gold", 500)
+
+
+@query("""
+WITH p AS (SELECT role, conv_id, row_number() OVER (PARTITION BY role ORDER BY turn, conv_id) - 1 AS place FROM conversations WHERE turn < 2),
+k AS (SELECT role, conv_id, place FROM p), r AS (SELECT conv_id, place FROM k WHERE role = 'user')
+SELECT k.role, count(*) AS n, count(CASE WHEN k.place <> r.place THEN 1 END) AS moved FROM k JOIN r USING (conv_id) WHERE k.role <> 'user' GROUP BY k.role
+""")
+def moved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns by role, against their order among the user's."""
+    first = benchmark.with_place(table(spark, sf_dir, "conversations").where("turn < 2"), "role", ["turn", "conv_id"])
+    return benchmark.moved_rows(first, "role", "user", "conv_id", "place")
+
+
+@query("""
+SELECT doc_id, n_chars >= 4096 AS truncated, CAST(NULL AS TIMESTAMP) IS NULL AS bad_time_is_null, TRY_CAST('2026-08-28T10:11:12+00:00' AS TIMESTAMP) = TIMESTAMP '2026-08-28 10:11:12' AS time_is_read FROM documents
+""")
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10, F19."""
+    when = text.timestamp(F.lit("2026-08-28T10:11:12+00:00"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("n_chars"), 4096).alias("truncated"), text.timestamp(F.lit("never")).isNull().alias("bad_time_is_null"), (when == F.to_timestamp(F.lit("2026-08-28 10:11:12"))).alias("time_is_read"))
+
+
+@query("""
+WITH l AS (SELECT conv_id, list(1000 + CAST(length(text) AS INT) ORDER BY turn) AS e FROM conversations GROUP BY conv_id), k AS (SELECT conv_id, CASE WHEN len(e) > 3 THEN e[len(e) - 2:] ELSE e END AS e, CAST(31 + conv_id % 4 AS INT) AS label FROM l)
+SELECT conv_id AS item_id, list_concat(e, [label]) AS input_ids, list_concat(list_transform(e, lambda x: CAST(-100 AS INT)), [label]) AS labels, label AS label_id FROM k
+""")
+def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a conversation's turn lengths stand for tokens, cut to the last three and the answer's."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") + 1000).cast("int").alias("id")))), lambda x: x["id"])
+    items = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ids.alias("ids")).withColumn("gold", (F.col("conv_id") % 4 + 1).cast("int"))
+    return mcq.training_examples(items.withColumnRenamed("conv_id", "item_id"), F.col("ids"), [31, 32, 33, 34], 4)
+
+
+@query(f"""
+SELECT lang, n, correct, round(accuracy, 9) AS accuracy, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, lo <= 0.5 AND hi >= 0.5 AS touches_chance
+FROM (SELECT lang, n, correct, accuracy, {wilson_sql('correct', 'n', '1.96', '-', True)} AS lo, {wilson_sql('correct', 'n', '1.96', '+', True)} AS hi FROM (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS correct, avg(quality) AS accuracy FROM {LABELLED_SQL} GROUP BY lang))
+""")
+def chance_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether guessing is within the interval."""
+    cells = paired.accuracy(labelled(spark, sf_dir).withColumnRenamed("quality", "correct"), ["lang"]).withColumnsRenamed({"ci95_low": "ci_low", "ci95_high": "ci_high"})
+    return rounded(replication.touches_chance(cells, 0.5))
 
 
 @query(f"""
@@ -278,10 +392,10 @@ FROM l
 """)
 def three_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1, A11, A13."""
-    v = F.sort_array(F.collect_list("value"))
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), stats.exclusive_quantile(v, 0.25).alias("p25_exclusive"), stats.floor_quantile(v, 0.9).alias("p90_floor"), stats.linear_quantile("value", 0.25).alias("p25_linear"), F.median("value").alias("median_value"), F.avg("value").alias("mean_value")
-    )
+    rows = table(spark, sf_dir, "events").select("event_type", "value")
+    sums = rows.groupBy("event_type").agg(stats.linear_quantile("value", 0.25).alias("p25_linear"), F.median("value").alias("median_value"), F.avg("value").alias("mean_value"))
+    out = ranks.exclusive_quantiles(rows, "value", ["event_type"], {"p25_exclusive": 0.25}).join(ranks.floor_quantiles(rows, "value", ["event_type"], {"p90_floor": 0.9}), "event_type").join(sums, "event_type")
+    out = out.select("event_type", "n", "p25_exclusive", "p90_floor", "p25_linear", "median_value", "mean_value")
     return rounded(out, 6)
 
 
@@ -303,21 +417,39 @@ def known_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+#: The base arm's cells with one kind of fault for each remainder of the item, as SQL for both engines; L3 in nf4 alone is faulty, so that the others are whole.
+BROKEN_SQL = """
+SELECT 'm' AS model, CASE WHEN bad AND k = 9 THEN 'r1' ELSE 'r0' END AS model_revision, CASE WHEN bad AND k = 3 THEN 'int4' ELSE precision END AS precision, CASE WHEN bad AND k = 2 THEN NULL ELSE lang END AS lang,
+       CASE WHEN bad AND k = 7 THEN item_id + 1000000000 ELSE item_id END AS item_id, CASE WHEN bad AND k = 4 THEN 5 ELSE pred END AS pred, CASE WHEN bad AND k = 8 THEN gold % 4 + 1 ELSE gold END AS gold,
+       CASE WHEN bad AND k = 5 THEN 2 WHEN bad AND k = 6 THEN 1 - correct ELSE correct END AS correct
+FROM (SELECT *, lang = 'L3' AND precision = 'nf4' AS bad, item_id % 101 AS k FROM grid WHERE arm = 'base')
+"""
+
+
 @query(f"""
-WITH g AS ({GRID_SQL}), t AS (SELECT * FROM g WHERE arm = 'base' AND NOT (lang = 'L3' AND precision = 'nf4' AND item_id % 10 = 0)),
-m AS (SELECT item_id, CAST(item_id % 4 + 1 AS INT) AS gold FROM (SELECT DISTINCT item_id FROM g)), total AS (SELECT count(*) AS total FROM m),
-c AS (SELECT precision, lang, count(DISTINCT item_id) AS items, count(*) - count(DISTINCT item_id) AS twice FROM t GROUP BY ALL)
-SELECT * FROM (VALUES ('V2 no nulls', CAST(0 AS BIGINT)), ('V3 precision known', 0), ('V4 answers in 1..4', 0), ('V5 correct is 0 or 1', 0), ('V6 correct says pred = gold', 0), ('V7 item known', 0), ('V9 no item twice in a cell', 0), ('V11 one revision in a cell', 0)) v(rule, broken)
-UNION ALL SELECT 'V8 gold as in manifest', count(*) FROM t JOIN m USING (item_id) WHERE t.gold <> m.gold
-UNION ALL SELECT 'V10 cell complete', count(*) FROM c, total WHERE items <> total
-UNION ALL SELECT 'V12 same items in every language', count(*) FROM (SELECT precision FROM c GROUP BY precision HAVING count(DISTINCT items) > 1)
+WITH grid AS ({GRID_SQL}), b AS ({BROKEN_SQL}), t AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE item_id % 101 = 10 AND lang = 'L3' AND precision = 'nf4'),
+m AS (SELECT DISTINCT item_id, CAST(item_id % 4 + 1 AS INT) AS gold FROM grid), total AS (SELECT count(*) AS total FROM m),
+i AS (SELECT precision, lang, item_id, count(*) AS held, min(model_revision) AS lo, max(model_revision) AS hi FROM t GROUP BY ALL),
+c AS (SELECT precision, lang, count(CASE WHEN held > 1 THEN 1 END) AS twice, count(*) AS items, count(m.item_id) AS known, min(lo) AS lo, max(hi) AS hi, list(i.item_id ORDER BY i.item_id) AS ids FROM i LEFT JOIN m USING (item_id) GROUP BY precision, lang)
+SELECT 'V2 no nulls' AS rule, count(CASE WHEN lang IS NULL THEN 1 END) AS broken FROM t
+UNION ALL SELECT 'V3 precision known', count(CASE WHEN precision NOT IN ('fp16', 'int8_llmint8', 'nf4') THEN 1 END) FROM t
+UNION ALL SELECT 'V4 answers in 1..4', count(CASE WHEN pred NOT BETWEEN 1 AND 4 OR gold NOT BETWEEN 1 AND 4 THEN 1 END) FROM t
+UNION ALL SELECT 'V5 correct is 0 or 1', count(CASE WHEN correct NOT IN (0, 1) THEN 1 END) FROM t
+UNION ALL SELECT 'V6 correct says pred = gold', count(CASE WHEN correct <> CAST(pred = gold AS INT) THEN 1 END) FROM t
+UNION ALL SELECT 'V7 item known', count(CASE WHEN m.item_id IS NULL THEN 1 END) FROM t LEFT JOIN m USING (item_id)
+UNION ALL SELECT 'V8 gold as in manifest', count(CASE WHEN t.gold <> m.gold THEN 1 END) FROM t JOIN m USING (item_id)
+UNION ALL SELECT 'V9 no item twice in a cell', CAST(sum(twice) AS BIGINT) FROM c
+UNION ALL SELECT 'V10 cell complete', count(CASE WHEN items <> total OR known <> total THEN 1 END) FROM c, total
+UNION ALL SELECT 'V11 one revision in a cell', count(CASE WHEN lo <> hi THEN 1 END) FROM c
+UNION ALL SELECT 'V12 same items in every language', count(*) FROM (SELECT precision FROM c GROUP BY precision HAVING count(DISTINCT ids) > 1)
 """)
 def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2 to V12 on a grid with one incomplete cell."""
+    """V2 to V12 on a grid in which one cell breaks every rule."""
     rows = grid_of(spark, sf_dir)
-    manifest = rows.select("item_id", F.col("gold")).distinct()
-    tidy = rows.where("arm = 'base' and not (lang = 'L3' and precision = 'nf4' and item_id % 10 = 0)").select(*contract.TIDY)
-    return contract.report(tidy, manifest)
+    b = spark.sql(BROKEN_SQL.replace("FROM grid", "FROM {grid}"), grid=rows)
+    tidy = b.union(b.where("item_id % 101 = 10 and lang = 'L3' and precision = 'nf4'"))
+    manifest = rows.select("item_id", (F.col("item_id") % 4 + 1).cast("int").alias("gold")).distinct()
+    return contract.report(tidy.select(*contract.TIDY), manifest)
 
 
 @query("""
@@ -347,15 +479,15 @@ def duplicate_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH h AS (SELECT arm, lang, precision, count(DISTINCT item_id) AS held FROM ({GRID_SQL}) WHERE NOT (lang = 'L2' AND arm = 'ft') GROUP BY ALL)
+WITH h AS (SELECT arm, lang, precision, count(DISTINCT item_id) AS held FROM ({GRID_SQL}) GROUP BY ALL)
 SELECT a.arm, l.lang, p.precision, coalesce(held, 0) AS n_items, CASE WHEN coalesce(held, 0) = 0 THEN 'missing' WHEN held < (SELECT max(held) FROM h) THEN 'short' ELSE 'present' END AS state
-FROM (VALUES ('base'), ('ft')) a(arm), (VALUES ('L0'), ('L1'), ('L2'), ('L3')) l(lang), (VALUES ('fp16'), ('int8_llmint8'), ('nf4')) p(precision) LEFT JOIN h ON h.arm = a.arm AND h.lang = l.lang AND h.precision = p.precision
+FROM (VALUES ('base'), ('ft')) a(arm), (VALUES ('L0'), ('L1'), ('L2'), ('L3'), ('L4')) l(lang), (VALUES ('fp16'), ('int8_llmint8'), ('nf4')) p(precision) LEFT JOIN h ON h.arm = a.arm AND h.lang = l.lang AND h.precision = p.precision
 """)
 def completeness_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10, J10, A9."""
-    rows = grid_of(spark, sf_dir).where("not (lang = 'L2' and arm = 'ft')")
+    """A10, J10, A9; a language that no cell has is expected too."""
+    rows = grid_of(spark, sf_dir)
     expected = rows.groupBy("arm", "lang", "precision").agg(F.count_distinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    return grid.completeness(rows, expected, ["base", "ft"], LANGS)
+    return grid.completeness(rows, expected, ["base", "ft"], [*LANGS, "L4"])
 
 
 @query("SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY text, conv_id, turn) - 1 AS ordinal, concat(role, '#', row_number() OVER (PARTITION BY role ORDER BY text, conv_id, turn) - 1) AS item_id FROM conversations")
@@ -393,10 +525,15 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.occurrences(F.col("text"), F.lit("th")).cast("array<bigint>").alias("places"))
 
 
-@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS INT) AS pred, true AS finite FROM embeddings")
+@query("""
+WITH e AS (SELECT vec_id, embedding, CASE WHEN vec_id % 5 = 0 THEN list_concat(['NaN'::DOUBLE], embedding::DOUBLE[]) WHEN vec_id % 5 = 1 THEN list_concat(['Infinity'::DOUBLE], embedding::DOUBLE[]) WHEN vec_id % 5 = 2 THEN list_concat([CAST(NULL AS DOUBLE)], embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS odd FROM embeddings)
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS INT) AS pred, len(list_filter(odd, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS finite FROM e
+""")
 def argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P9, A15."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", stats.argmax(F.col("embedding")).alias("pred"), stats.finite(F.col("embedding")).alias("finite"))
+    """P9; A15 on vectors of which some begin with no number, infinity or null."""
+    e, k = F.col("embedding").cast("array<double>"), F.col("vec_id") % 5
+    odd = F.when(k == 0, F.concat(F.array(F.lit(float("nan"))), e)).when(k == 1, F.concat(F.array(F.lit(float("inf"))), e)).when(k == 2, F.concat(F.array(F.lit(None).cast("double")), e)).otherwise(e)
+    return table(spark, sf_dir, "embeddings").select("vec_id", stats.argmax(F.col("embedding")).alias("pred"), stats.finite(odd).alias("finite"))
 
 
 @query("""
@@ -452,21 +589,28 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mcq_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items from documents, measured by language."""
-    items = mcq.build_items(questions(spark, sf_dir), "all", "train", 5, 256).join(questions(spark, sf_dir).select("item_id", F.col("lang").alias("of")), "item_id")
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("group_id"), F.col("lang").alias("of"))
+    items = mcq.build_items(questions(spark, sf_dir), "all", "train", 5, 256).join(langs, "group_id")
     return rounded(mcq.diagnostics(items, ["of"]).drop("option_counts"), 6)
 
 
-@query("SELECT s.lang, s.source, s.n AS a, t.n AS b FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) s JOIN (SELECT lang, max(n) AS n FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang) t USING (lang)")
-def group_against_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17's kind of comparison within groups, V23's spread."""
-    n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("a"))
-    return n.join(n.groupBy("lang").agg(F.max("a").alias("b")), "lang")
+@query("""
+WITH r AS (SELECT lang, source, count(CASE WHEN length(text) < 400 THEN 1 END) / count(*) AS rate FROM documents GROUP BY ALL)
+SELECT lang, round(min(rate), 9) AS lowest, round(max(rate), 9) AS highest, round(max(rate) - min(rate), 9) AS spread, max(rate) - min(rate) <= 0.1 AS within FROM r GROUP BY lang
+""")
+def rate_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources' shares of short documents are apart, by language."""
+    rates = table(spark, sf_dir, "documents").groupBy("lang", "source").agg((F.count_if(F.length("text") < 400) / F.count("*")).alias("rate"))
+    return rounded(contract.spread_of_rates(rates, "rate", 0.1, ["lang"]))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+@query(f"""
+SELECT arm, lang, precision, n, correct, round(accuracy, 9) AS accuracy FROM (SELECT arm, lang, precision, count(*) AS n, CAST(sum(correct) AS BIGINT) AS correct, avg(correct) AS accuracy FROM ({GRID_SQL}) GROUP BY ALL) ORDER BY accuracy DESC, arm, lang, precision LIMIT 1
+""")
 def best_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One maximum, the first of equal ones."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1)
+    """The grid's most accurate cell, the first of equal ones."""
+    cells = grid.accuracy(grid_of(spark, sf_dir)).drop("ci95_low", "ci95_high")
+    return rounded(readers.best_cell(cells, ["arm", "lang", "precision"]))
 
 
 @query("SELECT doc_id, CAST(('0x' || substr(md5(concat('5|', doc_id)), 1, 15))::BIGINT % 4 AS INT) AS slot, CAST(('0x' || substr(sha256(concat('5|', doc_id)), 1, 16))::UBIGINT AS DECIMAL(20, 0)) AS seed FROM documents")

@@ -15,7 +15,8 @@ from pairsight.sources import schemas
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Per-item records of every ``*.jsonl`` below ``path``, with the file's name; a bad line or an empty folder is fatal.
 
-    Records of one run and item in two files (copies of a tree) are fatal too.
+    A bad line ends the job when it is read, with the file's name; ``bad_lines`` says which they are.
+    Whether a tree holds records twice is for ``repeated_records``.
     """
     rows = (
         spark.read.schema(schemas.RECORD).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
@@ -25,6 +26,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file_path, line (from 1 within its file), text: lines of ``*.jsonl`` files that hold no JSON object."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    parsed = F.try_parse_json("text")
+    return files.where((F.trim("text") != "") & (parsed.isNull() | ~F.startswith(F.ltrim("text"), F.lit("{")))).select("file_path", (F.col("line") + 1).alias("line"), "text")
+
+
 def repeated_records(records: DataFrame) -> DataFrame:
     """run_id, item_id, n: what the tree holds more than once."""
     return records.groupBy("run_id", "item_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -84,6 +92,8 @@ def cells_by_name(records: DataFrame, alias: str, n_expected: int) -> DataFrame:
     stem = F.split(F.regexp_replace("file_name", r"\.jsonl$", ""), "__")
     named = records.withColumn("_s", stem).where((F.size("_s") == 4) & (F.get("_s", 1) == alias))
     named = named.withColumns({"lang": F.get("_s", 2), "precision": F.get("_s", 3)}).drop("_s")
+    if not named.limit(1).count():
+        raise ContractError("S4 cell", f"no file of {alias}")
     bad = named.groupBy("lang", "precision").agg(F.count("*").alias("n"), F.count_if(F.coalesce("arm", F.lit("base")) != "base").alias("other")).where((F.col("n") != n_expected) | (F.col("other") > 0)).limit(1).collect()
     if bad:
         raise ContractError("S4 cell", f"{bad[0].asDict()}")
@@ -116,19 +126,43 @@ def invalid_revisions(revisions: DataFrame) -> DataFrame:
 
 def run_summary(records: DataFrame, by: list[str]) -> DataFrame:
     """by..., n, correct, truncated, latency median, mean and exclusive quartiles, median tokens."""
-    from pairsight.functions.stats import exclusive_quantile
+    from pairsight.operators.ranks import exclusive_quantiles
 
-    ordered = F.sort_array(F.collect_list("latency_ms"))
-    return records.groupBy(*by).agg(
+    # exact percentiles keep (value, count) pairs, the quartiles' neighbours come from ranks
+    quartiles = exclusive_quantiles(records.where("latency_ms is not null"), "latency_ms", by, {"p25_latency_ms": 0.25, "p75_latency_ms": 0.75})
+    sums = records.groupBy(*by).agg(
         F.count("*").alias("n_items"),
         F.sum((F.col("pred") == F.col("gold")).cast("int")).cast("long").alias("n_correct"),
         F.count_if("truncated").alias("n_truncated"),
         F.median("latency_ms").alias("median_latency_ms"),
         F.avg("latency_ms").alias("mean_latency_ms"),
-        exclusive_quantile(ordered, 0.25).alias("p25_latency_ms"),
-        exclusive_quantile(ordered, 0.75).alias("p75_latency_ms"),
         F.median("input_tokens").alias("median_input_tokens"),
     )
+    return sums.join(quartiles, by, "left").select(*by, "n_items", "n_correct", "n_truncated", "median_latency_ms", "mean_latency_ms", "p25_latency_ms", "p75_latency_ms", "median_input_tokens")
+
+
+def check_tuned_run(base: DataFrame, tuned: DataFrame) -> list[str]:
+    """What is wrong with a tuned run beside its base, from their records (V30): scores that are not finite, that are the base's own, one letter throughout."""
+    from pairsight.functions.stats import finite
+
+    shape = tuned.agg(F.count_if(~F.coalesce(finite(F.col("letter_logits")), F.lit(False))).alias("odd"), F.count_distinct("pred").alias("letters"), F.count("*").alias("n")).first()
+    moved = logit_shift(base, tuned).first()
+    problems = []
+    if not shape["n"] or moved["n"] != shape["n"]:
+        problems.append(f"{moved['n']} of {shape['n']} items are in the base run")
+    if shape["odd"]:
+        problems.append(f"{shape['odd']} items without finite scores")
+    if moved["n"] and not moved["max_shift"]:
+        problems.append("scores are those of the base")
+    if shape["letters"] == 1:
+        problems.append("one letter is predicted throughout")
+    return problems
+
+
+def accepted_records(meta: DataFrame, records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The records of runs that ``verify_runs`` accepts (S3)."""
+    stems = meta.join(verdicts.where("accepted").select("run_id"), "run_id", "left_semi").select(F.regexp_replace("file_name", r"\.meta\.json$", "").alias("_stem"))
+    return records.join(stems, F.regexp_replace("file_name", r"\.jsonl$", "") == F.col("_stem"), "left_semi")
 
 
 def logit_shift(a: DataFrame, b: DataFrame) -> DataFrame:
