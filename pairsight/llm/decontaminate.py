@@ -16,7 +16,8 @@ at their ends) are joined in the same way, so that verbatim copies are found wha
 case and spacing; they need no check of slots and are counted by themselves. An item's
 n is the larger of the two counts.
 
-The benchmark's windows are broadcast only where their counted number is within
+A window becomes a row only where a bit mask of the benchmark's hashes, of bounded size, may
+hold it; the join that follows is exact. The benchmark's windows are broadcast only where their counted number is within
 ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
 
 Defined results: null text has no tokens; items under ``LEAST`` tokens, and windows less
@@ -38,6 +39,7 @@ WIDTH = 8
 NEED = 6
 LEAST = 4
 BROADCAST_WINDOWS = 200_000
+MASK_LONGS = 4096
 #: Units that follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|liters?|litres?|l|ml|gallons?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|watts?|kw|volts?"
 
@@ -85,26 +87,50 @@ def aligned_words(docs: DataFrame, key: str, *more: str) -> DataFrame:
     return kept.select(key, *more, F.transform("p", lambda x: x["w"]).alias("words"), F.transform("p", lambda x: x["t"]).alias("tokens"), "plain")
 
 
-def windows(rows: DataFrame, key: str, widths: dict[str, list[int]]) -> DataFrame:
-    """key, at (from 1), hash of the windows of these widths of each column (tokens, plain), from one pass over it.
+def mask_of(searched: DataFrame, count: int) -> tuple[Column, int]:
+    """Bits of which those of the searched hashes are set, as one array of longs, and their number: MASK_LONGS longs at most, whatever the benchmark's size."""
+    longs = 1
+    while longs < MASK_LONGS and longs * 64 < count * 8:
+        longs *= 2
+    slot = F.col("hash").bitwiseAND(F.lit(64 * longs - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    held = {r["word"]: r["bits"] for r in searched.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}
+    one = searched.sparkSession.createDataFrame([([held.get(k, 0) for k in range(longs)],)], "bits array<bigint>")
+    return one.scalar(), 64 * longs
+
+
+def windows(rows: DataFrame, key: str, widths: dict[str, list[int]], mask: tuple[Column, int]) -> DataFrame:
+    """key, at (from 1), hash of the windows of these widths of each column (tokens, plain) whose hash the mask may hold, from one pass over it.
 
     A token is hashed once; a window's hash runs over its tokens' hashes and its width, which
-    is negative for plain words, so that these do not meet templates.
+    is negative for plain words, so that these do not meet templates. Rows are made of what
+    the mask lets through alone: making a row costs far more than a hash.
     """
-    hashed = rows.select(key, *(F.transform(c, lambda t: F.xxhash64(t)).alias(f"h_{c}") for c in widths))
+    bits, n = mask
+    hashed = rows.select(key, bits.alias("bits"), *(F.transform(c, lambda t: F.xxhash64(t)).alias(f"h_{c}") for c in widths))
 
-    def hashed_windows(c: str, width: int) -> Column:
+    def may_hold(hash_: Column) -> Column:
+        slot = hash_.bitwiseAND(F.lit(n - 1))
+        return F.getbit(F.get("bits", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def hashes(c: str, width: int) -> Column:
+        # single elements are got: a slice would copy the whole array for each window
         h, kind = F.col(f"h_{c}"), F.lit(-width if c == "plain" else width)
-        return F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.struct((i + 1).alias("at"), F.xxhash64(kind, F.slice(h, i + 1, F.lit(width))).alias("hash")))
+        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(kind, *(F.get(h, i + k) for k in range(width)))))
+
+    def at_of(name: str):
+        return lambda i: F.struct((i + 1).alias("at"), F.get(name, i).alias("hash"))
 
+    every = [(f"w_{c}_{width}", hashes(c, width)) for c in widths for width in widths[c]]
+    each = hashed.select(key, "bits", *(made.alias(name) for name, made in every))
+    places = [F.transform(F.array_compact(F.transform(name, lambda h, i: F.when(may_hold(h), i))), at_of(name)) for name, _ in every]
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    made = [F.when(F.size(f"h_{c}") >= width, hashed_windows(c, width)).otherwise(none) for c in widths for width in widths[c]]
-    return hashed.select(key, F.inline(F.concat(*made) if made else none))
+    return each.select(key, F.inline(F.concat(*(F.coalesce(x, none) for x in places)) if places else none))
 
 
 def slots(words: str, toks: str, at: Column, width: Column) -> Column:
     """The raw words of a window, in order, where the token is a slot."""
-    part = F.arrays_zip(F.slice(words, at, width).alias("w"), F.slice(toks, at, width).alias("t"))
+    part = F.transform(F.sequence(at - 1, at + width - 2), lambda k: F.struct(F.get(words, k).alias("w"), F.get(toks, k).alias("t")))
     return F.transform(F.filter(part, lambda x: x["t"].contains(MARK)), lambda x: F.lower(F.regexp_replace(x["w"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
@@ -137,9 +163,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not any(widths.values()):
         return everyone.select("doc_id", *nothing)
     places = searched.drop("theirs")
-    small = places.count() <= BROADCAST_WINDOWS
+    count = places.count()
+    small = count <= BROADCAST_WINDOWS
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = windows(tokens(known, "doc_id"), "doc_id", widths).join(F.broadcast(places) if small else places, "hash").select("doc_id", "item_row", "item_id", "verbatim", "width", F.when(~F.col("verbatim"), F.col("at")).alias("at"), "item_at")
+    found = windows(tokens(known, "doc_id"), "doc_id", widths, mask_of(searched, count)).join(F.broadcast(places) if small else places, "hash").select("doc_id", "item_row", "item_id", "verbatim", "width", F.when(~F.col("verbatim"), F.col("at")).alias("at"), "item_at")
     hits = cut(found.distinct(), "bench-hits")
     copied = hits.where("verbatim").groupBy("doc_id", "item_row", "item_id", "verbatim").agg(F.count_distinct("item_at").alias("n"))
     # a document's own words are read beside its hits alone: what leaves the row is the words of slots

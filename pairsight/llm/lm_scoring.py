@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import buckets_for, expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.common import buckets_for, distinct, expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
 from pairsight.llm.ngram_join import joined, planes
 from pairsight.llm.substring_dedup import word_hashes
 
@@ -51,7 +51,7 @@ ORDERS = (6, 4, 3)
 #: The context's bytes of a key: its highest, the last byte before the symbol first; the symbol is the lowest byte.
 CONTEXT = np.uint64((1 << 64) - (1 << 8 * (8 - ORDERS[0])))
 CELLS = 1024
-CHUNK = 2 << 20
+CHUNK = 5 << 20
 GRAMS, WORDS, DOCS, LOGS, FOUND = 0, 1, 2, 3, 4
 ROW = "shard int, chunk long, kind int, part binary"
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -89,13 +89,24 @@ def gram_keys(text: bytes, size: np.ndarray) -> np.ndarray:
 
 def counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, sorted, and how often each is among the trained ones."""
-    every = np.unique(keys)
-    mine, n = np.unique(keys[trained], return_counts=True)
+    every, mine = distinct(keys), np.sort(keys[trained])
+    first = starts_of(mine)
     counts = np.zeros(len(every), np.uint32)
-    counts[np.searchsorted(every, mine)] = n
+    counts[np.searchsorted(every, mine[first])] = np.diff(np.append(first, len(mine)))
     return every, counts
 
 
+def spread_back(keys: np.ndarray, told) -> np.ndarray:
+    """For each key what ``told`` says of the different keys, which it gets sorted."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = starts_of(ordered)
+    values = told(ordered[first])
+    out = np.empty(len(keys), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(first, len(keys))))
+    return out
+
+
 def dealt_order(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order in which a chunk's sorted keys travel, and their shards in it; the same whenever it is asked."""
     own = keys >> np.uint64(64 - 8 * ORDERS[-1]) if kind == GRAMS else keys
@@ -137,7 +148,7 @@ def send(shards: int, score: bool):
                 none = np.array([d is None for d in ids], bool)
                 known = np.array([0 if d is None else d for d in ids], np.int64)
                 head = np.int64(len(ids)).tobytes() + known.tobytes() + size.tobytes() + n.tobytes() + none.tobytes() + (~trained).tobytes()
-                rows.append((chunk % shards, chunk, DOCS, squeeze(head + text)))
+                rows.append((chunk % shards, chunk, DOCS, squeeze(head + text, 3)))
             del bodies, text
             for x in range(0, len(rows), 300):
                 yield as_batch(rows[x : x + 300])
@@ -343,7 +354,7 @@ def answer(shared):
             short_keys, n, escape_counts = shared.value
             told = string_logs(keys, counts, Short(short_keys, n), Escapes(escape_counts)).astype(np.float32)
         else:
-            told = counts
+            told = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)  # beyond it a count's log is the same to nine digits
         for k in range(0, len(held), 50):
             yield as_batch([(shard, chunk, LOGS if kind == GRAMS else FOUND, squeeze(planes(told[np.searchsorted(keys, unpacked(part)[0])]))) for chunk, part in held[k : k + 50]])
 
@@ -373,13 +384,9 @@ def score_texts(shards: int, tokens: int, vocabulary: int, end_count: int):
             known, size, n = np.frombuffer(raw, np.int64, 3 * n_docs, 8).reshape(3, n_docs)
             none, held = np.frombuffer(raw, bool, 2 * n_docs, 8 + 24 * n_docs).reshape(2, n_docs)
             text = raw[8 + 26 * n_docs :]
-            keys = gram_keys(text, size)
-            every = np.unique(keys)
-            each = told_of(logs, "<f4", every, GRAMS, shards).astype(float)[np.searchsorted(every, keys)]
-            score = np.add.reduceat(each, np.cumsum(size) - size)
-            keys = word_hashes(text.split())
-            every = np.unique(keys)
-            c = told_of(counts, "<i8", every, WORDS, shards)[np.searchsorted(every, keys)]
+            each = spread_back(gram_keys(text, size), lambda every: told_of(logs, "<f4", every, GRAMS, shards))
+            score = np.add.reduceat(each.astype(float), np.cumsum(size) - size)
+            c = spread_back(word_hashes(text.split()), lambda every: told_of(counts, "<u4", every, WORDS, shards)).astype(np.int64)
             doc = np.repeat(np.arange(n_docs), n)
             base = np.bincount(doc, weights=np.log10(c + 1.0), minlength=n_docs) + math.log10(end_count + 1) - (n + 1) * math.log10(tokens + vocabulary + 1)
             n_known = np.bincount(doc, weights=c > 0, minlength=n_docs).astype(np.int64) + (end_count > 0)

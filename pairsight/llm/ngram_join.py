@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import buckets_for, chunks, cut, expand, forget, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.common import buckets_for, chunks, cut, distinct, expand, forget, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
 from pairsight.llm.components import components
 from pairsight.llm.substring_dedup import word_hashes
 
@@ -238,7 +238,7 @@ def build_sets(percent: int):
                 elif rep[k] == k:
                     v, o = value[edge[k] : edge[k + 1]], often[edge[k] : edge[k + 1]]
                     if len(v) * 100 >= percent * size[k]:
-                        found = np.unique(index_keys(int(size[k]), v[~o], v[o], percent))
+                        found = distinct(index_keys(int(size[k]), v[~o], v[o], percent))
                         if len(found):
                             tokens, keys = v.view(np.int64), found.view(np.int64)
                             low, high = parity(v)

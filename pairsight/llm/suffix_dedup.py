@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairsight.llm.common import buckets_for, chunks, frugal, mix, sliding_min, spread
+from pairsight.llm.common import buckets_for, chunks, distinct, frugal, mix, sliding_min, spread
 from pairsight.llm.superkmer import SETTLED, BucketWriter, gather, spans_of, union_of, with_spans
 
 GRAM = 16
@@ -213,7 +213,7 @@ def repeated_places(texts: list[bytes], anchors: np.ndarray, width: int) -> tupl
                 same = rest[a] == rest[b]
                 a, b = a[same], b[same]
             found += [a, b]
-    at = np.unique(np.concatenate(found))
+    at = distinct(np.concatenate(found))
     own = np.searchsorted(start, at, "right") - 1
     return own, at - start[own]
 
@@ -284,7 +284,7 @@ def any_repeat(width: int):
             if one != k:
                 copies += [one, k]
         if copies:  # equal strings are repeated as a whole; one of them stays, as an occurrence
-            at = np.unique(copies)
+            at = distinct(np.array(copies))
             named = at[doc[at] != SETTLED]
             yield doc[named], pos[named], pos[named] + size[named]
             doc = doc.copy()
