@@ -28,7 +28,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """file_path, line (from 1 within its file), text: lines of ``*.jsonl`` files that hold no JSON object."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     parsed = F.try_parse_json("text")
     return files.where((F.trim("text") != "") & (parsed.isNull() | ~F.startswith(F.ltrim("text"), F.lit("{")))).select("file_path", (F.col("line") + 1).alias("line"), "text")
 
@@ -111,7 +111,7 @@ def best_cell(accuracies: DataFrame, base_columns: list[str]) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """A small JSON file as a dict; fatal if it is missing."""
-    return json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def manifest_table(spark: SparkSession, manifest: dict) -> DataFrame:

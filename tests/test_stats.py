@@ -82,3 +82,72 @@ def test_recovery_null_unless_it_costs(spark):
     df = spark.createDataFrame([(10, 0.05, 100), (0, 0.05, 100), (-3, 0.1, 100)], "c long, g double, n long")
     got = [r.r for r in df.select(stats.recovery(F.col("c"), F.col("g"), F.col("n")).alias("r")).collect()]
     assert got[0] == pytest.approx(0.5) and got[1:] == [None, None]
+
+
+def without(df, condition):
+    return df.where(f"not ({condition})")
+
+
+@pytest.mark.parametrize("gap", ["lang = 'L1' and precision = 'nf4' and item_id = '7'", "lang = 'L0' and precision = 'fp16' and item_id = '7'", "lang = 'L0' and item_id = '7'", "lang = 'L1' and item_id = '7'"])
+def test_a_missing_item_is_fatal(spark, gap):
+    """Cells are compared over the same items or not at all."""
+    from pairsight.operators import grid
+
+    broken = without(planted(spark), gap)
+    with pytest.raises(Exception, match="J1 alignment"):
+        grid.rq1(broken, "L0", 50, 3, ("fp16", "nf4")).collect()
+    cells = {tuple(r) for r in paired.incomplete_cells(broken, ["arm"], ["lang", "precision"], "item_id").collect()}
+    assert cells and all(held == 899 and missing == 1 for *_, held, missing in cells)
+
+
+def test_degradation_and_recovery_refuse_gaps_and_skip_whole_cells(spark):
+    from pairsight.operators import grid, replication
+
+    rows = planted(spark)
+    both = rows.unionByName(rows.withColumn("arm", F.lit("ft")))
+    assert grid.degradation(both, ("fp16", "nf4")).count() == 4 and grid.rq3(both, ("fp16", "nf4")).count() == 4
+    gap = without(both, "arm = 'ft' and lang = 'L1' and precision = 'nf4' and item_id = '7'")
+    for table in (grid.degradation(gap, ("fp16", "nf4")), grid.rq3(gap, ("fp16", "nf4")), grid.rq2(gap, 50, 1, ("fp16", "nf4"))):
+        with pytest.raises(Exception, match="J1 alignment"):
+            table.collect()
+    whole = without(both, "arm = 'ft' and lang = 'L1' and precision = 'nf4'")
+    assert grid.degradation(whole, ("fp16", "nf4")).count() == 3 and grid.rq2(whole, 50, 1, ("fp16", "nf4")).count() == 1
+    gate = replication.floor_gate(rows.where("precision = 'fp16'"))
+    models = lambda x, n: replication.cross_model(rows, x, gate, F.col("precision") == "nf4", 50, 1, ("fp16", "nf4"), expected=n)
+    assert models(rows, 900).count() == 2
+    for x, n in ((without(rows, "item_id = '7'"), None), (rows, 901)):
+        with pytest.raises(Exception, match="J1 alignment"):
+            models(x, n).collect()
+
+
+def test_hashed_bootstrap_and_blocks_of_numpy(spark):
+    rng = np.random.default_rng(1)
+    d = rng.choice([-1, 0, 1], 300, p=[0.1, 0.7, 0.2])
+    df = spark.createDataFrame([("k", int(x)) for x in d], "k string, d int")
+    a, b = paired.bootstrap_hashed(df, ["k"], 400, 1).first(), paired.bootstrap_numpy(d, 20_000, 1)
+    assert a.n == 300 and a.delta == pytest.approx(b["delta"]) and a.ci_low == pytest.approx(b["ci_low"], abs=0.02) and a.ci_high == pytest.approx(b["ci_high"], abs=0.02)
+    index = np.random.default_rng(1).integers(0, 300, size=(20_000, 300))
+    assert b["ci_low"] == np.percentile(d[index].sum(axis=1) / 300, 2.5)
+
+
+def test_ranks_and_order_statistics_over_ranges(spark):
+    from pairsight.operators import ranks
+
+    rng = np.random.default_rng(2)
+    rows = [(g, float(rng.integers(0, 40))) for g in "aab" for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for g in "ab":
+        v = np.sort([x for k, x in rows if k == g])
+        want = {x: np.flatnonzero(v == x).mean() + 1 for x in set(v)}
+        assert {r.x: r["rank"] for r in ranks.average_ranks(df, "x", ["g"]).where(F.col("g") == g).collect()} == pytest.approx(want)
+        got = ranks.floor_quantiles(df, "x", ["g"], {"q50": 0.5, "q99": 0.99, "q100": 1.0}).where(F.col("g") == g).first()
+        assert (got.n, got.q50, got.q99, got.q100) == (len(v), v[len(v) // 2], v[min(len(v) - 1, int(0.99 * len(v)))], v[-1])
+    few = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0)], "g string, x double")
+    assert ranks.exclusive_quantiles(few, "x", ["g"], {"q": 0.25}).first().q is None
+
+
+def test_flags(spark):
+    from pairsight.operators import replication
+
+    cells = spark.createDataFrame([(0.2, 0.3), (0.26, 0.4), (0.1, 0.25)], "ci_low double, ci_high double")
+    assert [r.touches_chance for r in replication.touches_chance(cells).collect()] == [True, False, True]

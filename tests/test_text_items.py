@@ -92,3 +92,32 @@ def test_source_rows_shift_and_reasons(spark):
     raw = spark.createDataFrame(rows, "title string, id string, context string, question string, answers struct<text:array<string>, answer_start:array<int>>")
     got = {r.source_id: (r.answer_start, r.reason) for r in mcq.source_rows(raw).collect()}
     assert got == {"1": (4, None), "2": (None, "answer not in context"), "3": (0, "missing field"), "4": (2, None)}
+
+
+def test_one_group_alone_is_refused(spark):
+    rows = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "g1")], "lang string, g string")
+    with pytest.raises(Exception, match="K4 split"):
+        splits.grouped_split(rows, "lang", "g", 0.8, 1).collect()
+
+
+def test_alias_with_the_separator_is_refused(spark):
+    with pytest.raises(Exception, match="P12 alias"):
+        spark.range(1).select(text.alias_of(F.lit("m__x"), F.lit("l"), F.lit(1))).collect()
+
+
+def test_prompt_strips_every_white_space(spark):
+    df = spark.createDataFrame([("\u2003 a\u00a0", "\x1cb\n")], "a string, b string")
+    assert df.select(text.prompt({"a": F.col("a"), "b": F.col("b")}, ["Q: |{a}", "{b}", "Answer:"]).alias("p")).first().p == "Q: a\nb\nAnswer:"
+
+
+def test_surface_key_agrees_with_its_parts(spark):
+    row = spark.createDataFrame([("in 1923 he",)], "s string").select(text.surface_key(F.col("s")).alias("k")).first()
+    assert tuple(row.k) == ("mixed", 1)
+
+
+def test_training_examples_keep_the_end(spark):
+    items = spark.createDataFrame([("i", 2, [1, 2, 3, 4, 5]), ("j", 1, [9])], "item_id string, gold int, ids array<int>")
+    got = {r.item_id: (r.input_ids, r.labels) for r in mcq.training_examples(items, F.col("ids"), [71, 72], 4).collect()}
+    assert got == {"i": ([3, 4, 5, 72], [-100, -100, -100, 72]), "j": ([9, 71], [-100, 71])}
+    with pytest.raises(Exception, match="F17 gold"):
+        mcq.training_examples(items, F.col("ids"), [71], 4).collect()
