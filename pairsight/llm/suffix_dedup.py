@@ -13,7 +13,8 @@ at once; residues are then merged by comparing. What is repeated stands side by
 neighbours with ``width`` bytes in common. Beside a bucket's bytes and ranks, memory is
 that of a block.
 
-Strings are laid out with their minimisers at one residue, so that equal suffixes mostly
+Strings whose minimiser no other string of the bucket has are left out beforehand: they
+share no suffix of ``width`` bytes. Strings are laid out with their minimisers at one residue, so that equal suffixes mostly
 have equal residues and little is left to merge.
 
 Defined results: null text is empty; texts shorter than ``width`` bytes lose nothing;
@@ -33,15 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairsight.llm.common import buckets_for, chunks, distinct, frugal, mix, sliding_min, spread
+from pairsight.llm.common import buckets_for, chunks, distinct, frugal, mix, sliding_min, spread, starts_of
 from pairsight.llm.superkmer import SETTLED, BucketWriter, gather, spans_of, union_of, with_spans
 
 GRAM = 16
 CHUNK = 1 << 20
 PERIOD = 64
-ROOT = 8
-#: A difference cover modulo PERIOD: every difference is a multiple of ROOT less a number below ROOT.
-COVER = np.array(sorted({*range(ROOT), *range(0, PERIOD, ROOT)}))
+SHIFT, WITHIN = PERIOD.bit_length() - 1, PERIOD - 1
+#: A smallest difference cover modulo PERIOD.
+COVER = np.array([1, 2, 3, 6, 15, 17, 35, 43, 60])
 #: The number of a residue among those of the cover.
 NUMBER = np.full(PERIOD, -1)
 NUMBER[COVER] = np.arange(len(COVER))
@@ -65,7 +66,7 @@ OFFSETS = cover_offsets()
 
 
 def sample_number(place: np.ndarray) -> np.ndarray:
-    return place // PERIOD * len(COVER) + NUMBER[place % PERIOD]
+    return (place >> SHIFT) * len(COVER) + NUMBER[place & WITHIN]
 
 
 def tied(new: np.ndarray) -> np.ndarray:
@@ -74,36 +75,53 @@ def tied(new: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~alone)
 
 
-def refine(order: np.ndarray, new: np.ndarray, key_of) -> bool:
-    """Sorts within groups by another key, in place; False if no group has two entries."""
-    at = tied(new)
-    if not len(at):
-        return False
-    group = np.cumsum(new)[at]
-    key = key_of(order[at])
-    sub = np.lexsort((key, group))
-    order[at], key = order[at][sub], key[sub]
-    new[at[1:]] |= (group[1:] == group[:-1]) & (key[1:] != key[:-1])
-    return True
-
-
-def by_bytes(eights: np.ndarray, place: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of places by their first PERIOD bytes, or ``room`` bytes where these are fewer, and where groups of equals begin."""
-
-    def eight(which: np.ndarray, depth: int) -> np.ndarray:
-        return eights[place[which] + depth].astype(np.uint64) & FIRST[np.clip(room[which] - depth, 0, 8)]
-
-    first = eight(np.arange(len(place)), 0)
-    order = np.argsort(first, kind="stable")
-    first = first[order]
-    new = np.append(True, first[1:] != first[:-1])[: len(order)]
-    del first
-    for depth in range(8, PERIOD, 8):
-        if not refine(order, new, lambda which: eight(which, depth)):
-            return order, new
-    if room.min(initial=PERIOD) < PERIOD:
-        refine(order, new, lambda which: np.minimum(room[which], PERIOD))
-    return order, new
+class Sorted:
+    """Entries in the order of what has been looked at, and which of them are still tied."""
+
+    def __init__(self, first: np.ndarray):
+        self.order = np.argsort(first)
+        first = first[self.order]
+        self.new = np.append(True, first[1:] != first[:-1])[: len(first)]
+        #: Places in the order of tied entries, and numbers of their groups.
+        self.at = tied(self.new)
+        self.group = np.cumsum(self.new)[self.at]
+
+    def refine(self, key_of) -> bool:
+        """Sorts tied entries by another key of theirs, of 40 bits at most; False if there are none."""
+        if not len(self.at):
+            return False
+        which = self.order[self.at]
+        key = key_of(which).astype(np.uint64)
+        if self.group[-1] < 1 << 24:
+            key |= self.group.astype(np.uint64) << np.uint64(40)
+            sub = np.argsort(key)
+        else:
+            sub = np.lexsort((key, self.group))
+        key = key[sub]
+        self.order[self.at] = which[sub]
+        split = np.append(True, (self.group[1:] != self.group[:-1]) | (key[1:] != key[:-1]))
+        self.new[self.at] = split
+        left = tied(split)
+        self.at, self.group = self.at[left], np.cumsum(split)[left]
+        return True
+
+
+def by_bytes(eights: np.ndarray, place: np.ndarray, room: np.ndarray | None = None, reach: int = PERIOD) -> Sorted:
+    """Places in the order of their first ``reach`` bytes, or of the ``room`` bytes that they have where these are fewer."""
+
+    def eight(which, depth: int) -> np.ndarray:
+        value = eights[place[which] + depth].astype(np.uint64)
+        if room is not None:
+            return value & FIRST[np.clip(room[which] - depth, 0, 8)]
+        return value if reach - depth >= 8 else value & FIRST[reach - depth]
+
+    out = Sorted(eight(slice(None), 0))
+    for depth in range(8, reach, 5):
+        if not out.refine(lambda which: eight(which, depth) >> np.uint64(24)):
+            return out
+    if room is not None:
+        out.refine(lambda which: np.minimum(room[which], reach))
+    return out
 
 
 def sample_ranks(eights: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -111,33 +129,35 @@ def sample_ranks(eights: np.ndarray, owner: np.ndarray, start: np.ndarray, end:
     place = (np.arange(len(owner))[:, None] * PERIOD + COVER).ravel()
     own = np.repeat(owner, len(COVER))
     room = np.where(place >= start[own], np.maximum(end[own] - place, 0), 0)
-    order, new = by_bytes(eights, place, room)
-    rank = np.empty(len(place), np.int64)
+    some = np.flatnonzero(room)
+    found = by_bytes(eights, place[some], room[some])
+    rank = np.full(len(place), -1, np.int32)
     reach, most = PERIOD, int(room.max(initial=0))
     while True:
-        rank[order] = np.cumsum(new) - 1
+        rank[some[found.order]] = np.cumsum(found.new)
         if reach >= most:
             return rank
         step = reach // PERIOD * len(COVER)
 
         def further(which: np.ndarray) -> np.ndarray:
-            on = room[which] > reach
-            return np.where(on, rank[np.where(on, which + step, 0)], -1)
+            at = some[which]
+            on = room[at] > reach
+            return np.where(on, rank[np.where(on, at + step, 0)], 0)  # ranks begin with 1
 
-        if not refine(order, new, further):
+        if not found.refine(further):
             return rank
         reach *= 2
 
 
 def before(rank: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the suffix at x comes before that at y; their first PERIOD bytes are equal."""
-    k = OFFSETS[x % PERIOD, y % PERIOD]
+    k = OFFSETS[x & WITHIN, y & WITHIN]
     return rank[sample_number(x + k)] < rank[sample_number(y + k)]
 
 
 def merge_residues(x: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Places sorted within (group, residue), sorted within groups: runs are merged two by two."""
-    run = np.append(True, (group[1:] != group[:-1]) | (x[1:] % PERIOD != x[:-1] % PERIOD))[: len(x)]
+    run = np.append(True, (group[1:] != group[:-1]) | ((x[1:] ^ x[:-1]) & WITHIN != 0))[: len(x)]
     while True:
         start = np.flatnonzero(run)
         end = np.append(start[1:], len(x))
@@ -169,11 +189,10 @@ def merge_residues(x: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.nda
 
 def sorted_ties(data: np.ndarray, eights: np.ndarray, place: np.ndarray, rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a block's places those that share PERIOD bytes (or ``width``, if fewer) with another, in the order of their suffixes, and their groups."""
-    order, new = by_bytes(eights, place, np.full(len(place), width))
-    at = tied(new)
-    x, group = place[order[at]], np.cumsum(new)[at]
+    found = by_bytes(eights, place, reach=min(PERIOD, width))
+    x, group = place[found.order[found.at]], found.group
     if width > PERIOD and len(x):
-        residue = x % PERIOD
+        residue = x & WITHIN
         x = x[np.lexsort((rank[sample_number(x + OFFSETS[residue, residue])], residue, group))]
         x = merge_residues(x, group, rank)
     return x, group
@@ -218,6 +237,11 @@ def repeated_places(texts: list[bytes], anchors: np.ndarray, width: int) -> tupl
     return own, at - start[own]
 
 
+def gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of sixteen bytes as two numbers; the low bits are left for a place."""
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(33)))) & ~PLACE
+
+
 def cut_bytes(buckets: int, width: int):
     def settle_chunk(pieces: list[tuple[int, int, bytes]], out: BucketWriter) -> None:
         text = b"".join(p[2] for p in pieces)
@@ -228,9 +252,9 @@ def cut_bytes(buckets: int, width: int):
         if not len(starts):
             return
         eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-        grams = mix(eight[: len(text) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + (eight[8:] ^ (eight[8:] >> np.uint64(33))))
+        grams = gram_hash(eight[: len(text) - GRAM + 1], eight[8:])
         # the leftmost of the least hashes, and its place in the low bits
-        placed = sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), width - GRAM + 1)[starts]
+        placed = sliding_min(grams | np.arange(len(grams), dtype=np.uint64), width - GRAM + 1)[starts]
         key = placed & ~PLACE
         piece = np.repeat(np.arange(len(pieces)), n)
         new = np.ones(len(starts), bool)
@@ -238,7 +262,8 @@ def cut_bytes(buckets: int, width: int):
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(starts)) - 1
         bucket = (mix(key[a]) % np.uint64(buckets)).astype(np.int64)
-        anchor = (placed[a] & PLACE).astype(np.int64) - starts[a]
+        # where the string's minimiser is, and in the last bit whether its windows have it at several places
+        anchor = ((placed[a] & PLACE).astype(np.int64) - starts[a]) * 2 + (placed[a] != placed[b])
         met: dict[bytes, list] = {}
         own = piece[a]
         for x, y, k, p, at, to in zip(starts[a].tolist(), (starts[b] + width).tolist(), bucket.tolist(), own.tolist(), (starts[a] - first[own]).tolist(), anchor.tolist()):
@@ -290,7 +315,23 @@ def any_repeat(width: int):
             doc = doc.copy()
             doc[at] = SETTLED
         kept = np.fromiter(first.values(), np.int64, len(first))
-        owner, unit = repeated_places(list(first), anchor[kept], width)
+        texts = list(first)
+        del first
+        # equal windows have equal minimisers: a string whose minimiser no other has, at one place of its own, repeats nothing
+        begin = np.cumsum(size) - size + (anchor >> 1)
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        key = gram_hash(eight[begin[kept]], eight[begin[kept] + 8])
+        order = np.argsort(key)
+        runs = starts_of(key[order])
+        held = np.diff(np.append(runs, len(key)))
+        likely = np.empty(len(key), bool)
+        likely[order] = np.repeat(held > 1, held)
+        likely |= anchor[kept] & 1 == 1
+        some = np.flatnonzero(likely)
+        if not len(some):
+            return
+        kept, texts = kept[some], [texts[k] for k in some]
+        owner, unit = repeated_places(texts, anchor[kept] >> 1, width)
         yield gather(owner, unit, np.stack([size[kept], doc[kept], pos[kept]]), width)
 
     return judge
