@@ -61,7 +61,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: SQL can't express learning the lexicon nor the balanced rates; tests/llm holds the stages against brute force.
+#: SQL can't express learning the lexicon nor the balanced rates; tests/llm/test_stages.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
