@@ -142,7 +142,7 @@ def bootstrap_hashed(differences: DataFrame, by: list[str], n_boot: int, seed: i
         # the place is bound once, in an array of one, and then set against the counts' running sums
         return F.aggregate(F.array(index(j)), F.lit(-4), lambda acc, at: acc + sum(((at >= e).cast("int") for e in edges[:-1]), F.lit(0)))
 
-    drawn = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    drawn = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")).repartition("rep")
     sums = drawn.select(*by, "n", "total", F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(0), lambda acc, j: acc + value(j)).alias("s"))
     share = lambda c: F.count_if(c) / F.lit(float(n_boot))
     both = 2 * F.least(share(F.col("s") <= 0), share(F.col("s") >= 0))

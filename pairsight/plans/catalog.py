@@ -209,6 +209,20 @@ def grid_rq2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.rq2(grid_of(spark, sf_dir), REPLICATES, 20260826, hashed=True))
 
 
+@query()
+def grid_rq2_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 in its production form."""
+    return rounded(grid.rq2(grid_of(spark, sf_dir), 2000, 20260826))
+
+
+@query()
+def cross_model_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 in its production form."""
+    rows = grid_of(spark, sf_dir)
+    gate = replication.floor_gate(rows.where("arm = 'ft' and precision = 'fp16'"))
+    return rounded(replication.cross_model(rows.where("arm = 'base'"), rows.where("arm = 'ft'"), gate, (F.col("precision") == "nf4") & (F.col("lang") != REFERENCE), 2000, 1))
+
+
 @query()
 def grid_rq1_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 in its production form: replicates drawn from tallies, which no other engine draws alike."""
