@@ -32,6 +32,8 @@ RECORD = np.dtype([("digest", "S32"), ("points", "<i8"), ("doc", "<i8"), ("count
 FLUSH_BYTES = 24 << 20
 FLUSH_ROWS = 100_000
 FILTER_BITS = 10
+#: So many rows of a digest and an id are broadcast at most.
+BROADCAST_REPS = 200_000
 SCHEMA_ROWS = "doc_id long, digest binary, bucket int, run binary, filter binary"
 
 
@@ -252,7 +254,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     runs = rows.where("run is not null").select("bucket", "run", "filter").repartition(parts, "bucket").sortWithinPartitions("bucket")
     groups = cut(runs.mapInArrow(frugal(merge_rows), "digest binary, keep_id long, group_size long, reps array<long>"), "dedup-groups")
     reps = groups.where("reps is not null").select("digest", F.explode("reps").alias("doc_id"))
-    met = body.join(reps, "doc_id").select("digest", "text").repartition(parts, "digest").sortWithinPartitions("digest")
+    # few documents stand for groups that several runs hold: the others' texts are not dealt where these can be broadcast
+    small = groups.agg(F.sum(F.array_size("reps"))).first()[0] or 0
+    met = body.join(F.broadcast(reps) if small <= BROADCAST_REPS else reps, "doc_id").select("digest", "text").repartition(parts, "digest").sortWithinPartitions("digest")
     verified = met.mapInArrow(frugal(verify_rows), "digest binary, verified_runs long")
     settled = cut(groups.drop("reps").join(verified, "digest", "left"), "dedup-settled")
     each = rows.where("run is null").select("doc_id", "digest")
