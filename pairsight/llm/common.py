@@ -50,6 +50,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt_once(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` over the shuffle files of one run, however many jobs read them.
+
+    Nothing is copied and lineage is kept: files of a lost executor are made again. They go when the frame is no longer referred to.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def remove(spark: SparkSession, paths: set[str]) -> None:
     """Delete tables that ``cut`` wrote."""
     jvm = spark.sparkContext._jvm

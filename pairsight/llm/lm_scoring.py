@@ -15,9 +15,9 @@ text is scored by counts that hold it.
 The trie is dealt by the last ``ORDERS[-1]`` bytes of contexts, so that a shard holds all
 longer contexts below them. A chunk of texts sends each different string of
 ``ORDERS[0]`` + 1 bytes once, with its training count; the shard adds counts and answers
-with one log for each string and chunk. First, one job over the training strings learns
-escapes and the counts of two-byte contexts (2**24 at most, whatever the corpus); then
-another scores. What is gathered grows with the different strings of the corpus. A shard
+with one log for each string and chunk. Two jobs read what was sent (``dealt_once``): the
+first learns escapes and the counts of two-byte contexts (2**24 at most, whatever the
+corpus), the second scores. What is gathered grows with the different strings of the corpus. A shard
 holds its strings' counts merged, and its chunks' parts compressed; contexts that end in
 the same ``ORDERS[-1]`` bytes can't be split further.
 
@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import buckets_for, distinct, expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
+from pairsight.llm.common import buckets_for, dealt_once, distinct, expand, frugal, mix, shuffle_parts, spread, squeeze, starts_of, texts
 from pairsight.llm.ngram_join import joined, planes
 from pairsight.llm.substring_dedup import word_hashes
 
@@ -130,25 +130,21 @@ def parts_of(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, shards
     ]
 
 
-def send(shards: int, score: bool):
-    """A chunk's strings and words with their training counts; to ``score``, those of held-out texts as well, and the texts."""
+def send(shards: int):
+    """A chunk's strings and words with their training counts (0 where held-out texts alone have them), and the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (ids, held, split) in enumerate(train_chunks(batches, CHUNK)):
             chunk = TaskContext.get().partitionId() << 32 | k
-            if not score:
-                split = [words for words, out in zip(split, held) if not out]
-                ids, held = ids[: len(split)], [False] * len(split)
             bodies = [b" ".join(words) + b" \n" if words else b"\n" for words in split]
             size, n = np.fromiter(map(len, bodies), np.int64, len(split)), np.fromiter(map(len, split), np.int64, len(split))
             trained, text = ~np.array(held, bool), b"".join(bodies)
             rows = parts_of(chunk, GRAMS, *counted(gram_keys(text, size), np.repeat(trained, size)), shards)
             rows += parts_of(chunk, WORDS, *counted(word_hashes(list(itertools.chain.from_iterable(split))), np.repeat(trained, n)), shards)
-            if score:
-                none = np.array([d is None for d in ids], bool)
-                known = np.array([0 if d is None else d for d in ids], np.int64)
-                head = np.int64(len(ids)).tobytes() + known.tobytes() + size.tobytes() + n.tobytes() + none.tobytes() + (~trained).tobytes()
-                rows.append((chunk % shards, chunk, DOCS, squeeze(head + text, 3)))
+            none = np.array([d is None for d in ids], bool)
+            known = np.array([0 if d is None else d for d in ids], np.int64)
+            head = np.int64(len(ids)).tobytes() + known.tobytes() + size.tobytes() + n.tobytes() + none.tobytes() + (~trained).tobytes()
+            rows.append((chunk % shards, chunk, DOCS, squeeze(head + text, 3)))
             del bodies, text
             for x in range(0, len(rows), 300):
                 yield as_batch(rows[x : x + 300])
@@ -330,7 +326,9 @@ def string_logs(keys: np.ndarray, counts: np.ndarray, short: Short, escapes: Esc
 
 
 def learn(shard: int, kind: int, keys: np.ndarray, counts: np.ndarray, held: list) -> Iterator[pa.RecordBatch]:
-    """A shard's escapes and hits by cell, its counts of two-byte contexts, and its number of training words."""
+    """A shard's escapes and hits by cell, its counts of two-byte contexts, and its number of training words, from what training texts hold alone."""
+    trained = counts > 0
+    keys, counts = keys[trained], counts[trained]
     if kind == WORDS:
         columns = [[VOCABULARY], [0], [len(keys)], [0]]
     else:
@@ -420,11 +418,9 @@ def code_lengths(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFr
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False)).alias("held_out")
     body, parts, shards = texts(docs, out), shuffle_parts(spark), buckets_for(docs, 8 << 20)
 
-    def dealt(score: bool) -> DataFrame:
-        return body.mapInArrow(frugal(send(shards, score)), ROW).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
-
+    sent = dealt_once(body.mapInArrow(frugal(send(shards)), ROW).repartition(parts, "shard").sortWithinPartitions("shard", "kind"))
     # cells, contexts of two bytes and one number: 2**24 + 3 * CELLS + 1 rows at most
-    found = dealt(False).mapInArrow(frugal(by_shard(learn)), LEARNED).groupBy("what", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    found = sent.where(F.col("kind") != DOCS).mapInArrow(frugal(by_shard(learn)), LEARNED).groupBy("what", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
     escapes = Escapes()
     cells = found[found["what"] == ESCAPE]
     escapes.counts[:, cells["key"].to_numpy(np.int64)] = cells[["a", "b"]].to_numpy(float).T
@@ -434,6 +430,6 @@ def code_lengths(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFr
     short = Short(keys, counts)
     end = int(short.n0[END])
     shared = spark.sparkContext.broadcast((keys, counts, escapes.counts))
-    answers = dealt(True).mapInArrow(frugal(answer(shared)), ROW)
+    answers = sent.mapInArrow(frugal(answer(shared)), ROW)
     by_chunk = answers.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "shard")
     return by_chunk.select("chunk", "kind", "part").mapInArrow(frugal(score_texts(shards, short.tokens, vocabulary + (end > 0), end)), COLUMNS)

@@ -108,6 +108,36 @@ def test_chunks_and_shards_do_not_change_scores(monkeypatch):
         assert (lm_scoring.dealt_order(lm_scoring.GRAMS, lm_scoring.unpacked(part)[0], 7)[1] == shard).all()
 
 
+def test_each_text_is_sent_once(spark, monkeypatch):
+    """Escapes are learned and texts scored from the same shuffle files."""
+    real, rows = lm_scoring.send, spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        work = real(*args)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    rows.add(batch.num_rows)
+                    yield batch
+
+            yield from work(seen())
+
+        return run
+
+    monkeypatch.setattr(lm_scoring, "send", counting)
+    assert lm_scoring.code_lengths(frame(spark, corpus(30))).count() == rows.value > 30
+
+
+def test_held_out_strings_teach_nothing():
+    rng = np.random.default_rng(2)
+    for kind in (lm_scoring.GRAMS, lm_scoring.WORDS):
+        keys = lm_scoring.distinct(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & np.uint64(0x0301030103010303))
+        counts = rng.integers(0, 4, len(keys))
+        both, alone = ([b.to_pylist() for b in lm_scoring.learn(0, kind, keys[x], counts[x], [])] for x in (counts >= 0, counts > 0))
+        assert both == alone
+
+
 SF = "/root/testdata/sf"
 
 
