@@ -16,8 +16,10 @@ at their ends) are joined in the same way, so that verbatim copies are found wha
 case and spacing; they need no check of slots and are counted by themselves. An item's
 n is the larger of the two counts.
 
-A window becomes a row only where a bit mask of the benchmark's hashes, of bounded size, may
-hold it; the join that follows is exact. The benchmark's windows are broadcast only where their counted number is within
+Each window of a document holds one piece, about half as long, that begins at a multiple of a
+fixed stride (``piece``). Only these pieces are hashed everywhere; a window is hashed where a bit mask of
+the benchmark's hashes, of bounded size, may hold its piece, and becomes a row where the mask
+may hold itself; the join that follows is exact. The benchmark's windows are broadcast only where their counted number is within
 ``BROADCAST_WINDOWS``; beyond it the same join shuffles.
 
 Defined results: null text has no tokens; items under ``LEAST`` tokens, and windows less
@@ -39,7 +41,7 @@ WIDTH = 8
 NEED = 6
 LEAST = 4
 BROADCAST_WINDOWS = 200_000
-MASK_LONGS = 4096
+MASK_LONGS = 8192
 #: Units that follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|liters?|litres?|l|ml|gallons?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|watts?|kw|volts?"
 
@@ -88,23 +90,30 @@ def aligned_words(docs: DataFrame, key: str, *more: str) -> DataFrame:
 
 
 def mask_of(searched: DataFrame, count: int) -> tuple[Column, int]:
-    """Bits of which those of the searched hashes are set, as one array of longs, and their number: MASK_LONGS longs at most, whatever the benchmark's size."""
+    """Bits of which those of the searched windows' hashes and of their pieces' are set, as one array of longs, and their number: MASK_LONGS longs at most, whatever the benchmark's size."""
     longs = 1
-    while longs < MASK_LONGS and longs * 64 < count * 8:
+    while longs < MASK_LONGS and longs * 64 < count * 16:  # a window brings about one piece of its own
         longs *= 2
+    hashes = searched.select(F.explode(F.array_append("pieces", F.col("hash"))).alias("hash"))
     slot = F.col("hash").bitwiseAND(F.lit(64 * longs - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    held = {r["word"]: r["bits"] for r in searched.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}
+    held = {r["word"]: r["bits"] for r in hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}
     one = searched.sparkSession.createDataFrame([([held.get(k, 0) for k in range(longs)],)], "bits array<bigint>")
     return one.scalar(), 64 * longs
 
 
+def piece(width):
+    """The size of a window's pieces, and the stride of their places: each window holds one whole piece that begins at a multiple of it."""
+    size = (width + 1) // 2 if isinstance(width, int) else F.shiftright(width + 1, 1)
+    return size, width - size + 1
+
+
 def windows(rows: DataFrame, key: str, widths: dict[str, list[int]], mask: tuple[Column, int]) -> DataFrame:
-    """key, at (from 1), hash of the windows of these widths of each column (tokens, plain) whose hash the mask may hold, from one pass over it.
+    """key, at (from 1), hash of the windows of these widths of each column (tokens, plain) where the mask may hold both their hash and that of their piece, from one pass over it.
 
-    A token is hashed once; a window's hash runs over its tokens' hashes and its width, which
+    A token is hashed once; the hash of a window or piece runs over its tokens' hashes and the window's width, which
     is negative for plain words, so that these do not meet templates. Rows are made of what
-    the mask lets through alone: making a row costs far more than a hash.
+    the mask lets through alone: making a row costs far more than a hash, and a window's hash more than a piece at every stride.
     """
     bits, n = mask
     hashed = rows.select(key, bits.alias("bits"), *(F.transform(c, lambda t: F.xxhash64(t)).alias(f"h_{c}") for c in widths))
@@ -113,19 +122,27 @@ def windows(rows: DataFrame, key: str, widths: dict[str, list[int]], mask: tuple
         slot = hash_.bitwiseAND(F.lit(n - 1))
         return F.getbit(F.get("bits", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def hashes(c: str, width: int) -> Column:
+    def hash_at(c: str, width: int, i: Column, size: int) -> Column:
         # single elements are got: a slice would copy the whole array for each window
-        h, kind = F.col(f"h_{c}"), F.lit(-width if c == "plain" else width)
-        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(kind, *(F.get(h, i + k) for k in range(width)))))
-
-    def at_of(name: str):
-        return lambda i: F.struct((i + 1).alias("at"), F.get(name, i).alias("hash"))
-
-    every = [(f"w_{c}_{width}", hashes(c, width)) for c in widths for width in widths[c]]
-    each = hashed.select(key, "bits", *(made.alias(name) for name, made in every))
-    places = [F.transform(F.array_compact(F.transform(name, lambda h, i: F.when(may_hold(h), i))), at_of(name)) for name, _ in every]
+        return F.xxhash64(F.lit(-width if c == "plain" else width), *(F.get(f"h_{c}", i + k) for k in range(size)))
+
+    def pieces(c: str, width: int) -> Column:
+        """The places of pieces that the mask may hold."""
+        size, stride = piece(width)
+        every = F.sequence(F.lit(0), F.size(f"h_{c}") - size, F.lit(stride))
+        return F.when(F.size(f"h_{c}") >= width, F.filter(every, lambda q: may_hold(hash_at(c, width, q, size))))
+
+    def around(c: str, width: int, places: str) -> Column:
+        """The windows whose piece begins at these places: no window has two."""
+        last, stride = F.size(f"h_{c}") - width, piece(width)[1]
+        starts = F.flatten(F.transform(places, lambda q: F.sequence(F.greatest(q - (stride - 1), F.lit(0)), F.least(q, last))))
+        made = F.transform(starts, lambda i: F.struct((i + 1).alias("at"), hash_at(c, width, i, width).alias("hash")))
+        return F.filter(made, lambda x: may_hold(x["hash"]))
+
+    every = [(c, width, f"p_{c}_{width}") for c in widths for width in widths[c]]
+    each = hashed.select("*", *(pieces(c, width).alias(name) for c, width, name in every))
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    return each.select(key, F.inline(F.concat(*(F.coalesce(x, none) for x in places)) if places else none))
+    return each.select(key, F.inline(F.concat(*(F.coalesce(around(*x), none) for x in every)) if every else none))
 
 
 def slots(words: str, toks: str, at: Column, width: Column) -> Column:
@@ -140,14 +157,17 @@ def bijective(a: str, b: str) -> Column:
 
 
 def item_windows(items: DataFrame, column: str) -> DataFrame:
-    """item_row, item_id, verbatim, width, item_at, hash, theirs (the slots' words) of each window of the items' column; each item by its own width alone. Of templates those half literal or more."""
+    """item_row, item_id, verbatim, width, item_at, hash, pieces (their hashes), theirs (the slots' words) of each window of the items' column; each item by its own width alone. Of templates those half literal or more."""
     verbatim = column == "plain"
     sized = items.where(F.size(column) >= (1 if verbatim else LEAST)).withColumn("width", F.least(F.size(column), F.lit(WIDTH)))
     each = sized.withColumn("item_at", F.explode(F.sequence(F.lit(1), F.size(column) - F.col("width") + 1)))
     part = F.slice(column, F.col("item_at"), F.col("width"))
     kept = each if verbatim else each.where(F.size(F.filter(part, lambda t: ~t.contains(MARK))) * 2 >= F.col("width"))
     theirs = F.array().cast("array<string>") if verbatim else slots("words", "tokens", F.col("item_at"), F.col("width"))
-    return kept.select("item_row", "item_id", F.lit(verbatim).alias("verbatim"), "width", "item_at", F.xxhash64(-F.col("width") if verbatim else F.col("width"), F.transform(part, lambda t: F.xxhash64(t))).alias("hash"), theirs.alias("theirs"))
+    kind, hashed = -F.col("width") if verbatim else F.col("width"), F.transform(part, lambda t: F.xxhash64(t))
+    size, stride = piece(F.col("width"))
+    pieces = F.transform(F.sequence(F.lit(1), stride), lambda k: F.xxhash64(kind, F.slice(hashed, k, size)))
+    return kept.select("item_row", "item_id", F.lit(verbatim).alias("verbatim"), "width", "item_at", F.xxhash64(kind, hashed).alias("hash"), pieces.alias("pieces"), theirs.alias("theirs"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -162,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing = [F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("long").alias("best_item"), F.lit(False).alias("contaminated")]
     if not any(widths.values()):
         return everyone.select("doc_id", *nothing)
-    places = searched.drop("theirs")
+    places = searched.drop("theirs", "pieces")
     count = places.count()
     small = count <= BROADCAST_WINDOWS
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

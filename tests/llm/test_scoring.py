@@ -453,3 +453,36 @@ def test_items_of_slots_and_short_items_verbatim(spark):
     got = as_dict(decontaminate.contamination(frame(spark, list(enumerate(copies + other))), items), "contaminated", "best_item")
     assert [got[k] for k in range(len(copies))] == [(True, k) for k in range(len(copies))]
     assert not any(got[k][0] for k in range(len(copies), len(copies + other)))
+
+
+def searched_windows(spark, *texts):
+    items = decontaminate.aligned_words(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "item_row long, item_id long, text string"), "item_row", "item_id").cache()
+    searched = decontaminate.item_windows(items, "tokens").union(decontaminate.item_windows(items, "plain")).cache()
+    widths = {c: sorted(r[0] for r in searched.where(kind).select("width").distinct().collect()) for c, kind in (("tokens", "not verbatim"), ("plain", "verbatim"))}
+    return searched, widths, decontaminate.mask_of(searched, searched.count())
+
+
+def test_few_windows_of_other_texts_become_rows(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    searched, widths, mask = searched_windows(spark, *(" ".join(rng.choice(words) for _ in range(60)) for _ in range(20)))
+    docs = frame(spark, [(k, " ".join(rng.choice(words) for _ in range(1000))) for k in range(20)])
+    assert decontaminate.windows(decontaminate.tokens(docs, "doc_id"), "doc_id", widths, mask).count() < 0.02 * 2 * 20_000
+
+
+def test_windows_of_all_widths_wherever_they_stand(spark):
+    """Each place of an item's window in a document is found, once."""
+    rng = random.Random(9)
+    items = [" ".join(f"{'abc'[k % 3]}{rng.randrange(3)}x" for k in range(n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 14)]
+    docs = []
+    for k in range(60):
+        part = [f"{rng.choice('abc')}{rng.randrange(3)}x" for _ in range(rng.randrange(12))]
+        docs.append((k, " ".join([*part, *rng.choice(items).split(), *part[: rng.randrange(3)]])))
+    docs += [(100 + k, t) for k, t in enumerate(items)]
+    searched, widths, mask = searched_windows(spark, *items)
+    assert widths["plain"] == [1, 2, 3, 4, 5, 6, 7, 8]
+    made = decontaminate.windows(decontaminate.tokens(frame(spark, docs), "doc_id"), "doc_id", widths, mask)
+    got = Counter(tuple(r) for r in made.join(searched.where("verbatim").select("hash", "width").distinct(), "hash").select("doc_id", "at", "width").collect())
+    theirs = {tuple(t.split()[i : i + min(8, len(t.split()))]) for t in items for i in range(max(1, len(t.split()) - 7))}
+    want = Counter((d, i + 1, w) for d, t in docs for x in [t.split()] for w in range(1, 9) for i in range(len(x) - w + 1) if tuple(x[i : i + w]) in theirs)
+    assert got == want and len(want) > 200
