@@ -1,15 +1,18 @@
 """Multiple-choice items from extractive question answering: distractors, windows, diagnostics, gates.
 
-Candidates come from a join of questions that share a context. What is decided among one
-question's candidates, and the token window around four options, is a search over few
-values; it runs in one pandas function by question group, and everything before and after
-is DataFrame operations.
+A context stands once, with its questions beside it: no shuffle repeats its text for each of
+them, and no pairs of questions are made. Where each candidate stands is found once for the
+context; a question looks at its nearest ones on either side. That, and the token window around
+four options, runs in one pandas function by context; everything before and after is DataFrame
+operations.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,11 +20,13 @@ from pyspark.sql import functions as F
 
 from pairsight.errors import ContractError
 from pairsight.functions.seeds import seed_of
-from pairsight.functions.text import MAX_OCCURRENCES, digit_class, fold_exact, length_bucket, without_suffix
+from pairsight.functions.text import MAX_OCCURRENCES, digit_class, length_bucket, without_suffix
 
 OPTIONS = 4
 SLACK = 8
 TRIES = 8
+#: Items that a worker holds before it hands them on.
+HELD = 500
 ITEM = "item_id string, lang string, partition string, group_id string, passage string, question string, gold_text string, options array<string>, gold int, distractor_item_ids array<string>, prompt_tokens int, context_tokens int, covering_span_tokens int, overflowed_budget boolean, answer_in_passage boolean, n_options_in_passage int, reason string"
 
 Span = tuple[int, int]
@@ -48,13 +53,14 @@ def drop_report(rows: DataFrame, ceiling: float = 0.02) -> DataFrame:
     return rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("reason", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("total") <= ceiling).alias("within"))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """item_id, other_id, other_answer: answers to other questions on the same context, distinct when folded."""
-    marked = rows.select("item_id", "group_id", F.sha2("context", 256).alias("digest"), "answer", fold_exact("answer").alias("folded"))
-    a, b = marked.alias("a"), marked.alias("b")
-    met = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.item_id") != F.col("b.item_id")) & (F.col("a.folded") != F.col("b.folded")))
-    first = F.min(F.struct(F.col("b.item_id").alias("other_id"), F.col("b.answer").alias("other_answer")))
-    return met.groupBy(F.col("a.item_id").alias("item_id"), F.col("b.folded").alias("folded")).agg(first.alias("x")).select("item_id", "x.other_id", "x.other_answer")
+def contexts(rows: DataFrame) -> DataFrame:
+    """group_id, context, asked (item_id, question, answer, answer_start): each context of a group once, with all its questions."""
+    digest = F.sha2("context", 256)
+    asked = rows.select("group_id", digest.alias("digest"), F.struct("item_id", "question", "answer", "answer_start").alias("q")).groupBy("group_id", "digest").agg(F.collect_list("q").alias("asked"))
+    # different keys are all that this aggregation holds, so texts are not shuffled once for each question
+    texts = rows.select("group_id", "context").distinct().withColumn("digest", digest)
+    a, b = texts.alias("a"), asked.alias("b")
+    return a.join(b, F.col("a.group_id").eqNullSafe(F.col("b.group_id")) & F.col("a.digest").eqNullSafe(F.col("b.digest"))).select("a.group_id", "context", "asked")
 
 
 def places(text: str, part: str, limit: int = MAX_OCCURRENCES) -> list[Span]:
@@ -66,21 +72,54 @@ def places(text: str, part: str, limit: int = MAX_OCCURRENCES) -> list[Span]:
     return out
 
 
-def nearest(found: list[dict], gold: Span, side: str, k: int) -> list[dict]:
-    """The k nearest candidates on one side of the answer, by distance, then surface, then text; each with its nearest place there."""
-    best = []
-    for c in found:
-        there = [s for s in c["places"] if (s[1] <= gold[0] if side == "left" else s[0] >= gold[1])]
-        if there:
-            span = max(there) if side == "left" else min(there)
-            gap = gold[0] - span[0] if side == "left" else span[1] - gold[1]
-            best.append((gap, c["penalty"], c["text"], c["id"], span))
-    return [{"gap": g, "text": t, "id": i, "span": s} for g, _, t, i, s in sorted(best)[:k]]
+class Candidates:
+    """A context's answers, distinct when folded (of equal ones that with the least item_id), and where they stand."""
+
+    def __init__(self, text: str, asked: list[dict]):
+        self.best: dict[str, tuple] = {}
+        for q in asked:
+            if q["item_id"] is not None and q["answer"] is not None:
+                folded, mine = folded_answer(q["answer"]), (q["item_id"], q["answer"], (q["digits"], q["words"]))
+                if folded not in self.best or mine[:2] < self.best[folded][:2]:
+                    self.best[folded] = mine
+        sides: dict[tuple | None, list] = {None: []}
+        for folded, (_, answer, kind) in self.best.items():
+            there = [(*span, folded) for span in places(text, answer)]
+            sides[None] += there
+            sides.setdefault(kind, []).extend(there)
+        #: By surface class, and under None all: spans in order of their starts, in order of their ends, and those starts and ends.
+        self.spans = {}
+        for kind, found in sides.items():
+            by_start, by_end = sorted(found), sorted(found, key=lambda s: (s[1], s[0]))
+            self.spans[kind] = by_start, by_end, [s[0] for s in by_start], [s[1] for s in by_end]
+
+    def nearest(self, gold: Span, own: str, kind: tuple, side: str, k: int, alike: bool) -> list[dict]:
+        """The k nearest candidates other than ``own`` on one side of the answer, by distance, then surface, then text; each with its nearest place there. ``alike``: of the surface class ``kind`` alone."""
+        by_start, by_end, starts, ends = self.spans.get(kind if alike else None, ([], [], [], []))
+        if side == "left":
+            walk = (by_start[x] for x in range(bisect_left(starts, gold[0]) - 1, -1, -1))
+        else:
+            walk = (by_end[x] for x in range(bisect_right(ends, gold[1]), len(by_end)))
+        found, seen = [], {own}
+        for low, high, folded in walk:
+            if folded in seen or (high > gold[0] if side == "left" else low < gold[1]):
+                continue
+            gap = gold[0] - low if side == "left" else high - gold[1]
+            if len(found) >= k and gap > found[k - 1][0]:
+                break  # beyond equal distances nothing comes before those found
+            seen.add(folded)
+            item_id, answer, its_kind = self.best[folded]
+            found.append((gap, int(its_kind != kind), answer, item_id, (low, high)))
+        return [{"gap": g, "text": t, "id": i, "span": s} for g, _, t, i, s in sorted(found)[:k]]
+
+
+def folded_answer(text: str) -> str:
+    """What ``fold_exact`` gives."""
+    return " ".join(text.split()).casefold()
 
 
-def choose(found: list[dict], gold: Span, k: int = OPTIONS - 1) -> tuple[list[dict], Span] | None:
-    """k distractors whose span with the answer is narrowest over all splits between left and right; the first of equal ones."""
-    left, right = nearest(found, gold, "left", len(found)), nearest(found, gold, "right", len(found))
+def choose(left: list[dict], right: list[dict], gold: Span, k: int = OPTIONS - 1) -> tuple[list[dict], Span] | None:
+    """k distractors of the nearest on each side (k of each at least) whose span with the answer is narrowest over all splits between left and right; the first of equal ones."""
     best = None
     for n_left in range(k + 1):
         chosen = left[:n_left]
@@ -114,14 +153,30 @@ def trimmed(text: str, lo: int, hi: int, keep: Span) -> Span:
     return lo, hi
 
 
-def window(text: str, required: list[Span], budget: int, tokens: Callable[[str], list[Span]]) -> tuple[str, int]:
+class Tokens:
+    """The tokens' spans of a text, and which of them a stretch touches."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+        self.ordered = all(a[0] <= b[0] and a[1] <= b[1] for a, b in pairwise(spans))
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def inside(self, lo: int, hi: int) -> tuple[int, int, int]:
+        """(first, end, how many)."""
+        if self.ordered:
+            first, end = bisect_right(self.ends, lo), bisect_left(self.starts, hi)
+            return first, end, max(0, end - first)
+        found = [k for k, (a, b) in enumerate(self.spans) if b > lo and a < hi]
+        return (found[0], found[-1] + 1, len(found)) if found else (0, 0, 0)
+
+
+def window(text: str, required: list[Span], budget: int, tokens: Tokens) -> tuple[str, int]:
     """(passage of at most ``budget`` tokens around all required spans, tokens that they need); the whole span where it needs more."""
-    spans = tokens(text)
+    spans = tokens.spans
     need = min(a for a, _ in required), max(b for _, b in required)
-    inside = [k for k, (a, b) in enumerate(spans) if b > need[0] and a < need[1]]
-    if len(spans) <= budget or not inside:
-        return text.strip(), len(inside)
-    first, last = inside[0], inside[-1] + 1
+    first, last, n = tokens.inside(*need)
+    if len(spans) <= budget or not n:
+        return text.strip(), n
     spare = max(0, budget - (last - first))
     lead = min(first, spare // 2)
     trail = min(len(spans) - last, spare - lead)
@@ -130,11 +185,11 @@ def window(text: str, required: list[Span], budget: int, tokens: Callable[[str],
     return text[lo:hi], last - first
 
 
-def fitted(text: str, required: list[Span], budget: int, frame: int, tokens: Callable[[str], list[Span]]) -> dict:
-    """The window that fits with ``frame`` tokens around it: shrunk by what it is over plus SLACK, TRIES times at most."""
+def fitted(text: str, required: list[Span], budget: int, frame: int, tokens: Callable[[str], list[Span]], whole: Tokens) -> dict:
+    """The window that fits with ``frame`` tokens around it: shrunk by what it is over plus SLACK, TRIES times at most. ``whole``: the text's tokens."""
     room = budget - frame
     for _ in range(TRIES):
-        passage, need = window(text, required, max(room, 1), tokens)
+        passage, need = window(text, required, max(room, 1), whole)
         size = len(tokens(passage))
         if size + frame <= budget or size <= need:
             break
@@ -143,47 +198,71 @@ def fitted(text: str, required: list[Span], budget: int, frame: int, tokens: Cal
 
 
 def build_items(rows: DataFrame, lang: str, partition: str, seed: object, budget: int = 512, tokens: Callable[[str], list[Span]] = whitespace_tokens) -> DataFrame:
-    """ITEM columns; ``reason`` tells why a question gives no item (the other columns are then null). rows: item_id, group_id, context, question, answer, answer_start.
+    """ITEM columns; ``reason`` tells why a question gives no item (the other columns are then null). rows: item_id, group_id, context, question, answer, answer_start; item_id is their key.
 
     Distractors of the gold answer's surface class come first; other classes only where
     those can't make four options within the budget.
     """
-    mine = rows.select("item_id", "group_id", "context", "question", "answer", "answer_start", digit_class(F.col("answer")).alias("digits"), length_bucket(F.col("answer")).alias("words"))
-    others = candidates(rows).withColumns({"od": digit_class(F.col("other_answer")), "ow": length_bucket(F.col("other_answer"))})
-    listed = others.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("other_id", "other_answer", "od", "ow"))).alias("others"))
-    joined = mine.join(listed, "item_id", "left")
-    names = [x.split()[0] for x in ITEM.split(", ")]
-
-    def one(row: dict) -> dict:
-        out = {"item_id": row["item_id"], "lang": lang, "partition": partition, "group_id": row["group_id"]}
-        text, gold = row["context"], (row["answer_start"], row["answer_start"] + len(row["answer"]))
-        found = []
-        for other in row["others"] if row["others"] is not None else []:
-            at = [s for s in places(text, other["other_answer"]) if s[1] <= gold[0] or s[0] >= gold[1]]
-            if at:
-                found.append({"id": other["other_id"], "text": other["other_answer"], "places": at, "penalty": int((other["od"], other["ow"]) != (row["digits"], row["words"]))})
-        if len(found) < OPTIONS - 1:
-            return out | {"reason": "too few distractors"}
-        frame = sum(len(tokens(x)) for x in (row["question"], row["answer"]))
-        for tier in ([c for c in found if not c["penalty"]], found):
-            chosen = choose(tier, gold)
-            if chosen is None:
+    return items_of(contexts(rows), lang, partition, seed, budget, tokens)
+
+
+def items_of(held: DataFrame, lang: str, partition: str, seed: object, budget: int = 512, tokens: Callable[[str], list[Span]] = whitespace_tokens, carry: list[str] | None = None) -> DataFrame:
+    """``build_items`` of contexts that have their questions beside them (the columns of ``contexts``); no shuffle. carry: columns of a context that its items get too."""
+    carried = carry or []
+    classed = F.transform("asked", lambda q: F.struct(q["item_id"].alias("item_id"), q["question"].alias("question"), q["answer"].alias("answer"), q["answer_start"].alias("answer_start"), digit_class(q["answer"]).alias("digits"), length_bucket(q["answer"]).alias("words")))
+    given = held.where(F.size("asked") > 0).select("group_id", "context", classed.alias("asked"), *carried)
+    names = [*(x.split()[0] for x in ITEM.split(", ")), *carried]
+    schema = ", ".join([ITEM, *(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in carried)])
+
+    def of_context(row: dict) -> Iterator[dict]:
+        text, asked = row["context"], list(row["asked"])
+        keyed = row["group_id"] is not None and text is not None
+        others = Candidates(text, asked) if keyed and len(asked) >= OPTIONS else None
+        whole = None
+        for q in asked:
+            out = {"item_id": q["item_id"], "lang": lang, "partition": partition, "group_id": row["group_id"], **{c: row[c] for c in carried}}
+            if others is None or q["item_id"] is None or q["answer"] is None or q["answer_start"] is None:
+                yield out | {"reason": "too few distractors"}
+                continue
+            gold, own, kind = (q["answer_start"], q["answer_start"] + len(q["answer"])), folded_answer(q["answer"]), (q["digits"], q["words"])
+            left, right = (others.nearest(gold, own, kind, side, OPTIONS - 1, False) for side in ("left", "right"))
+            if len({c["text"] for c in left + right}) < OPTIONS - 1:
+                yield out | {"reason": "too few distractors"}
                 continue
-            taken, _ = chosen
-            made = fitted(text, [gold, *(c["span"] for c in taken)], budget, frame + sum(len(tokens(c["text"])) for c in taken), tokens)
-            if made["overflowed_budget"] and tier is not found:
+            frame = sum(len(tokens(x)) for x in (q["question"], q["answer"]))
+            made = None
+            for alike in (True, False):
+                chosen = choose(*((others.nearest(gold, own, kind, side, OPTIONS - 1, True) for side in ("left", "right")) if alike else (left, right)), gold)
+                if chosen is None:
+                    continue
+                taken, _ = chosen
+                whole = whole or Tokens(tokens(text))
+                made = fitted(text, [gold, *(c["span"] for c in taken)], budget, frame + sum(len(tokens(c["text"])) for c in taken), tokens, whole)
+                if not made["overflowed_budget"]:
+                    break
+            if made is None or chosen is None:
+                yield out | {"reason": "no covering span"}
                 continue
-            slot = seed_of(seed, lang, "gold", row["item_id"]) % OPTIONS
+            slot = seed_of(seed, lang, "gold", q["item_id"]) % OPTIONS
             options = [c["text"] for c in taken]
-            options.insert(slot, row["answer"])
-            return out | made | {"question": row["question"], "gold_text": row["answer"], "options": options, "gold": slot + 1, "distractor_item_ids": [c["id"] for c in taken], "answer_in_passage": row["answer"] in made["passage"], "n_options_in_passage": sum(o in made["passage"] for o in options)}
-        return out | {"reason": "no covering span"}
+            options.insert(slot, q["answer"])
+            yield out | made | {"question": q["question"], "gold_text": q["answer"], "options": options, "gold": slot + 1, "distractor_item_ids": [c["id"] for c in taken], "answer_in_passage": q["answer"] in made["passage"], "n_options_in_passage": sum(o in made["passage"] for o in options)}
+
+    def framed(items: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(items, columns=names).astype(object).where(lambda d: d.notna(), None)
 
     def work(frames):
+        items = []
         for frame in frames:
-            yield pd.DataFrame([one(r) for r in frame.to_dict("records")], columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return joined.mapInPandas(work, ITEM)
+            for row in frame.to_dict("records"):
+                for item in of_context(row):
+                    items.append(item)
+                    if len(items) == HELD:
+                        yield framed(items)
+                        items = []
+        yield framed(items)
+
+    return given.mapInPandas(work, schema)
 
 
 def malformed(items: DataFrame) -> DataFrame:
