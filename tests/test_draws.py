@@ -58,3 +58,16 @@ def test_draws_are_dealt_over_tasks(spark):
     tracker = spark.sparkContext.statusTracker()
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("draws") for s in tracker.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) >= 16
+
+
+def test_cross_model_draws_as_many_replicates_as_the_library():
+    """Both sides: the query and its SQL; the other queries keep theirs."""
+    import inspect
+
+    from pairsight.operators import replication
+    from pairsight.plans import catalog
+
+    default = inspect.signature(replication.cross_model).parameters["n_boot"].default
+    assert catalog.CROSS_REPLICATES == default == 20_000 and f"range(0, {default}) t(rep)" in catalog.ORACLES["cross_model"]
+    assert "CROSS_REPLICATES, 1, hashed=True" in inspect.getsource(catalog.cross_model)
+    assert all(f"range(0, {catalog.REPLICATES}) t(rep)" in catalog.ORACLES[q] for q in ("grid_rq1", "grid_rq2"))
